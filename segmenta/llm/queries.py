@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op1_language_id
 from .mixing import op3_mix_sources
+from .quality import op8_quality_rules
+from .secrets import op10_secret_scans
 from .simhash import op2_simhash_near_dedup
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_simhash_near_dedup, op3_mix_sources]
+    found = [op1_language_id, op2_simhash_near_dedup, op3_mix_sources, op7_toxicity, op8_quality_rules, op10_secret_scans]
     return {f.__name__: f for f in found}
 
 
