@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op9_bpe_round_trip
 from .language_id import op1_language_id
+from .lm import op6_lm_scoring
 from .mixing import op3_mix_sources
 from .quality import op8_quality_rules
 from .records import op5_binary_records
@@ -18,7 +19,7 @@ from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_language_id, op2_simhash_near_dedup, op3_mix_sources, op4_telephony_media, op5_binary_records, op7_toxicity, op8_quality_rules, op9_bpe_round_trip, op10_secret_scans]
+    found = [op1_language_id, op2_simhash_near_dedup, op3_mix_sources, op4_telephony_media, op5_binary_records, op6_lm_scoring, op7_toxicity, op8_quality_rules, op9_bpe_round_trip, op10_secret_scans]
     return {f.__name__: f for f in found}
 
 
