@@ -96,6 +96,7 @@ def water_level(sources: DataFrame, total: int, max_repeat: int) -> float:
 def mix_plan(
     docs: DataFrame,
     *,
+    keep: Sequence[str] = (),
     weights: Sequence[int] = (5, 2, 1),
     max_repeat: int = 3,
     block_words: int = 64,
@@ -105,14 +106,15 @@ def mix_plan(
     """What the mix takes of each row of ``docs`` (doc_id, text, source).
 
     Returns one row per input row: doc_id, size, source_size, target, taken, and ``passes`` (whole copies), ``start``
-    (first word in its stream), ``blocks``, ``chosen``, ``stride``, ``shift`` (which blocks are taken once more).
+    (first word in its stream), ``blocks``, ``chosen``, ``stride``, ``shift`` (which blocks are taken once more), and the
+    columns named in ``keep``.
 
     Null or empty text: size 0, nothing taken.  Null source: a source of its own, last.  Null or repeated ids: each row
     counts by itself.  An empty table gives no rows.  Other columns of ``docs`` are not read.  Reruns agree, whatever
     the number of partitions.
     """
     sized = written(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes"
+        docs.select("doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes"
     )
     sources = ranked(sized.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn(
         "weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
@@ -153,7 +155,27 @@ def mix_plan(
             sequence(start div {block_words}, (start + size - 1) div {block_words}), 0L, (sum, i) -> sum + if((i * stride + shift) % blocks < chosen,
             least(start + size, (i + 1) * {block_words}) - greatest(start, i * {block_words}), 0L))))"""
     )
-    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "passes", "start", "blocks", "chosen", "stride", "shift")
+    return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "passes", "start", "blocks", "chosen", "stride", "shift", *keep)
+
+
+def mix(docs: DataFrame, *, block_words: int = 64, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each row as often as it is taken whole, and once more with the words
+    of its chosen blocks if some are taken once more (white space before a word goes with it; n_chars is counted anew).
+
+    Rows of which nothing is taken go, and so do texts without a word.
+    """
+    columns = docs.columns
+    numbered = written(docs.toDF(*(f"c_{c}" for c in columns)).withColumn("mix_row", F.monotonically_increasing_id()), "mixed")
+    slim = numbered.select("mix_row", *(F.col(f"c_{c}").alias(c) for c in ("doc_id", "text", "source")))
+    plan = mix_plan(slim, keep=["mix_row"], block_words=block_words, **options).where("taken > 0")
+    plan = plan.select("mix_row", "size", "taken", "passes", "start", "blocks", "chosen", "stride", "shift")
+    block = lambda i: F.floor((F.col("start") + i) / block_words)
+    words = F.regexp_extract_all("c_text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    once = F.array_join(F.filter(words, lambda w, i: (block(i) * F.col("stride") + F.col("shift")) % F.col("blocks") < F.col("chosen")), "")
+    copies = F.concat(F.array_repeat(F.col("c_text"), F.col("passes").cast("int")), F.when(F.col("taken") > F.col("passes") * F.col("size"), F.array(once)).otherwise(F.array().cast("array<string>")))
+    taken = numbered.join(plan, "mix_row").withColumn("copy", F.explode(copies))
+    out = {c: F.col(f"c_{c}") for c in columns} | {"text": F.col("copy")} | ({"n_chars": F.length("copy").cast("long")} if "n_chars" in columns else {})
+    return taken.select(*(out[c].alias(c) for c in columns))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,6 +196,18 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
+def redact_secrets(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``, each secret in the text replaced by a mark and n_chars counted anew.
+
+    A null text stays null.
+    """
+    found = secret_spans(docs, keep=docs.columns)
+    changed = found.withColumn("text", redacted(F.col("text"), F.col("all_spans")))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.size("all_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     found = secret_spans(documents(spark, sf_dir))

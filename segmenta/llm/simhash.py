@@ -14,13 +14,14 @@ keeps every connection with a number of rows that is linear in the fingerprints.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import connected_components
 from .shared import documents, written
@@ -50,15 +51,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and its fingerprint as a signed long (``fp``)."""
+def fingerprints(docs: DataFrame, width: int = 3, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns of each row and its fingerprint as a signed long (``fp``)."""
+    at = list(keep).index("text") if "text" in keep else len(keep)
+    shape = docs.select(*keep).schema.add("fp", T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+            prints = np.array([fingerprint(x.as_py(), width) for x in batch.column(at)], np.uint64).view(np.int64)
+            yield pa.record_batch([*batch.columns[: len(keep)], pa.array(prints)], [*keep, "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, shape)
 
 
 def links(prints: DataFrame, bucket: int = 64) -> DataFrame:
@@ -99,6 +102,12 @@ def links(prints: DataFrame, bucket: int = 64) -> DataFrame:
     return found.union(far.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct())
 
 
+def roots(distinct: DataFrame, bucket: int) -> DataFrame:
+    """(fp, root) of the fingerprints that have links; root names the component."""
+    groups = connected_components(links(distinct.select("fp"), bucket))
+    return groups.select(F.col("node").alias("fp"), F.col("component").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 3, bucket: int = 64) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -109,14 +118,29 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, bucket: int = 64) -> Dat
     """
     prints = written(fingerprints(docs, width), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    edges = links(distinct.select("fp"), bucket)
-    groups = connected_components(edges)
-    least = groups.join(distinct, groups["node"] == distinct["fp"]).groupBy("component").agg(F.min("least").alias("component_id"))
-    linked = groups.join(least, "component").select(F.col("node").alias("fp"), "component_id")
-    labels = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    groups = written(roots(distinct, bucket), "roots")
+    least = groups.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = written(distinct.join(groups.join(least, "root").select("fp", "component_id"), "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "labels")
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def drop_near_duplicates(docs: DataFrame, *, width: int = 3, bucket: int = 64) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that of the smallest doc_id (null last).
+
+    Of rows that share this id one stays.
+    """
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    renamed = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    text, doc_id = (next(k for k, c in renamed.items() if c == name) for name in ("text", "doc_id"))
+    names = ["text" if k == text else k for k in renamed]
+    prints = written(fingerprints(plain.withColumnRenamed(text, "text"), width, names).withColumn("row", F.monotonically_increasing_id()), "prints")
+    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row").alias("row")))
+    distinct = written(prints.groupBy("fp").agg(first.alias("first")), "distinct")
+    groups = distinct.join(roots(distinct, bucket), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = written(groups.select(F.col("first.row").alias("row")), "kept")
+    return prints.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: doc_id, fingerprint, component_id."""
     return near_duplicates(documents(spark, sf_dir))

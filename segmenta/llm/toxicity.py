@@ -245,14 +245,24 @@ def scored(docs: DataFrame, model: Model, *, keep: Sequence[str] = ("doc_id",))
     rows.  Columns outside ``keep`` (and text) are not read.
     """
     shape = docs.select(*keep).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    names = [f"k{i}" for i in range(len(keep))]
+    at = list(keep).index("text") if "text" in keep else len(keep)
+    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)] + ([] if "text" in keep else [F.col("text").alias("k")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.scores([t.as_py() for t in batch.column(len(keep))]).clip(0, 1)
+            score = model.scores([t.as_py() for t in batch.column(at)]).clip(0, 1)
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*(F.col(c).alias(k) for c, k in zip(keep, names, strict=True)), F.col("text").alias("text")).mapInArrow(run, shape)
+    return docs.select(*columns).mapInArrow(run, shape)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that a model learned from them and ``labels`` does not call toxic."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    renamed = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    text = next(k for k, c in renamed.items() if c == "text")
+    found = scored(plain.withColumnRenamed(text, "text"), learn(docs, labels), keep=["text" if k == text else k for k in renamed])
+    return found.where("predicted = 0").drop("score", "predicted").toDF(*docs.columns)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
