@@ -1,0 +1 @@
+"""Where segments, corpora and recordings come from."""
