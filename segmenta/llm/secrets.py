@@ -176,6 +176,11 @@ def secret_spans(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), level: f
     return joined.select(*(F.col(f"k_{c}").alias(c) for c in keep), F.col("base").alias("base_spans"), spans.alias("all_spans"))
 
 
+def counted(spans: str, rank: int) -> Column:
+    """How many spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["rank"] == rank))
+
+
 def listed(spans: str) -> Column:
     """kind:start:end of each span, joined by commas."""
     kinds = F.array(*map(F.lit, KINDS))
@@ -211,5 +216,5 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     found = secret_spans(documents(spark, sf_dir))
-    counts = [F.size(F.filter("base_spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{KINDS[i]}") for i in range(3)]
+    counts = [counted("base_spans", rank).cast("long").alias(f"n_{KINDS[rank]}") for rank in range(3)]
     return found.select("doc_id", *counts, F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("all_spans").alias("spans"))

@@ -33,6 +33,19 @@ def test_listed_digest(docs, rows):
     assert got == Counter((r[0], hashlib.sha256(text(r[1]).encode()).hexdigest()) for r in rows)
 
 
+def test_query_counts(spark, rows, tmp_path):
+    from .conftest import SCHEMA
+
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(tuple(r)[:4] for r in S.op10_secret_scans(spark, str(tmp_path)).collect())
+    want = Counter()
+    for r in rows:
+        kinds = Counter(k for _, k, _ in brute(r[1]))
+        want[r[0], kinds[0], kinds[1], kinds[2]] += 1
+    assert got == want
+    assert any(k[2] and k[3] for k in got)
+
+
 def test_random_runs_are_found_and_words_are_not(spark):
     rng = random.Random(5)
     chars = S.UPPER + S.LOWER + S.DIGITS
