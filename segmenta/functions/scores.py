@@ -90,7 +90,11 @@ def content_mode(recent: Column) -> Column:
 def markers(text_: Column | str) -> Column:
     """Hits of narration markers, in order of pattern: category and matched text.  Trimmed texts under five characters have none."""
     t = text.column(text_)
-    hits = [F.transform(F.regexp_extract_all(t, F.lit(text.edged(p)), F.lit(0)), lambda m, k=k: F.struct(F.lit(k).alias("category"), m.alias("matched"))) for k, p in lexicon.NARRATION_MARKERS]
+
+    def found(category: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(text.edged(pattern)), F.lit(0)), lambda m: F.struct(F.lit(category).alias("category"), m.alias("matched")))
+
+    hits = [found(*marker) for marker in lexicon.NARRATION_MARKERS]
     return F.when(F.length(F.trim(t)) < 5, F.slice(F.concat(*hits), 1, 0)).otherwise(F.concat(*hits))
 
 

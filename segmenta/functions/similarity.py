@@ -13,6 +13,25 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+DIVERGENCE = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("asr_token", T.StringType()),
+            T.StructField("retrieval_token", T.StringType()),
+            T.StructField("position", T.IntegerType()),
+            T.StructField("asr_word_confidence", T.DoubleType()),
+            T.StructField("is_divergent", T.BooleanType()),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
+)
 
 
 def common(a: Sequence, b: Sequence) -> int:
@@ -126,7 +145,7 @@ MEASURES = {"ratio": ratio, "partial": partial_ratio, "token_sort": token_sort_r
 def scored(*names: str):
     """A vectorised function (a, b) to a struct of the named measures; null counts as empty."""
 
-    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    @F.pandas_udf(doubles(*names))
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         pairs = [(x or "", y or "") for x, y in zip(a, b, strict=True)]
         return pd.DataFrame({n: [MEASURES[n](x, y) for x, y in pairs] for n in names}, dtype="float64")
@@ -134,20 +153,20 @@ def scored(*names: str):
     return run
 
 
-@F.pandas_udf("array<struct<asr_token:string,retrieval_token:string,position:int,asr_word_confidence:double,is_divergent:boolean,similarity:double>>")
+@F.pandas_udf(DIVERGENCE)
 def token_divergence(heard: pd.Series, source: pd.Series, confidences: pd.Series) -> pd.Series:
     names = ("asr_token", "retrieval_token", "position", "asr_word_confidence", "is_divergent", "similarity")
     rows = (divergence(a or "", b or "", None if c is None else list(c)) for a, b, c in zip(heard, source, confidences, strict=True))
     return pd.Series([[dict(zip(names, t, strict=True)) for t in r] for r in rows])
 
 
-@F.pandas_udf("token_overlap double, fuzzy_similarity double, combined double")
+@F.pandas_udf(doubles("token_overlap", "fuzzy_similarity", "combined"))
 def retrieval_scores(heard: pd.Series, source: pd.Series) -> pd.DataFrame:
     rows = [retrieval_score(a or "", b or "") for a, b in zip(heard, source, strict=True)]
     return pd.DataFrame(rows, columns=["token_overlap", "fuzzy_similarity", "combined"], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def word_error_rate(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([word_errors(r.split(), (h or "").split()) / len(r.split()) if r and r.split() else 0.0 for r, h in zip(reference, hypothesis, strict=True)], dtype="float64")
 

@@ -13,6 +13,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import lexicon
 
@@ -42,7 +43,7 @@ def column(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
@@ -121,7 +122,7 @@ def arabic_spans(text: Column | str) -> Column:
     plain = lambda w: w.rlike(f"[{ARABIC_NARROW}]") & ~w.rlike(f"[{URDU_ONLY}]")
     # other words become a separator; runs are what stands between them
     marked = F.array_join(F.transform(words(column(text)), lambda w: F.when(plain(w), w).otherwise(F.lit("\u0001"))), " ")
-    runs = F.filter(F.transform(F.split(marked, "\u0001"), F.trim), lambda r: r.contains(" "))
+    runs = F.filter(F.transform(F.split(marked, "\u0001"), lambda r: F.trim(r)), lambda r: r.contains(" "))
     article = f"(?<!{WORD})ال{WORD}{{2,}}"
     own = F.array(*map(F.lit, lexicon.ARABIC_STOPWORDS))
 

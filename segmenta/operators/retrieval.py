@@ -11,6 +11,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import plain, scores, similarity, text
 
@@ -55,7 +56,7 @@ def gram_candidates(queries: DataFrame, index: DataFrame, *, n: int = 80) -> Dat
     return first_rows(hits, ["qid"], [F.desc("shared"), "first", "idx"], n).select("qid", "idx", "shared", "rank")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _verse_score(query: pd.Series, canon: pd.Series, bar: pd.Series) -> pd.Series:
     """The weighted score where it reaches the bar, else null; the cheapest measure that can reject goes first."""
 
@@ -189,7 +190,7 @@ def rerank(pairs: DataFrame, *, n: int = 10, above: int = 5) -> DataFrame:
     return laid.where((F.col("found") <= above) | (F.col("place") <= n)).withColumn("rank", F.when(F.col("found") <= above, F.col("rank")).otherwise(F.col("place"))).drop("found", "place")
 
 
-@F.pandas_udf("partial double, token_set double, token_sort double, ratio double")
+@F.pandas_udf(similarity.doubles("partial", "token_set", "token_sort", "ratio"))
 def _narration_measures(query: pd.Series, canon: pd.Series, least_set: pd.Series) -> pd.DataFrame:
     rows = []
     for q, c, least in zip(query, canon, least_set, strict=True):

@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 
@@ -111,7 +112,7 @@ def json_array(df: DataFrame) -> DataFrame:
     return laid.select("file_id", F.concat(F.lit("[\n"), F.array_join("lines", ",\n"), F.lit("\n]")).alias("content"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _wrapped(lines: pd.Series) -> pd.Series:
     """Wraps at double spaces, at 72 characters, following lines indented by eleven."""
 
