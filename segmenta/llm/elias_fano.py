@@ -85,19 +85,23 @@ class EliasFano:
         return (high << np.uint64(self.l)) | self.lows(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each ``x`` in the sequence, -1 where it isn't: from where its high bits start, along the low bits."""
+        """The place of each ``x`` in the sequence, -1 where it isn't: by halves among those of its high bits, which may be
+        many where the sequence is dense."""
         high, low = (x >> np.uint64(self.l)).astype(np.int64), x & np.uint64((1 << self.l) - 1)
         end = select(self.high, self.zeros, high, False) - high
         start = np.zeros(len(x), np.int64)
         later = np.flatnonzero(high > 0)
         start[later] = select(self.high, self.zeros, high[later] - 1, False) - high[later] + 1
-        out, open_ = np.full(len(x), -1, np.int64), np.flatnonzero(start < end)
+        last, open_ = end.copy(), np.flatnonzero(start < end)
         while len(open_):
-            got = self.lows(start[open_])
-            out[open_[got == low[open_]]] = start[open_[got == low[open_]]]
-            open_ = open_[got < low[open_]]
-            start[open_] += 1
-            open_ = open_[start[open_] < end[open_]]
+            middle = (start[open_] + last[open_]) >> 1
+            less = self.lows(middle) < low[open_]
+            start[open_[less]] = middle[less] + 1
+            last[open_[~less]] = middle[~less]
+            open_ = open_[start[open_] < last[open_]]
+        out, inside = np.full(len(x), -1, np.int64), np.flatnonzero(start < end)
+        hit = inside[self.lows(start[inside]) == low[inside]]
+        out[hit] = start[hit]
         return out
 
     def arrays(self) -> dict[str, np.ndarray]:
