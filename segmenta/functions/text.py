@@ -7,7 +7,7 @@ and the edges of words are spelled out (BLANK, WORD, ``edged``).
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -57,6 +57,11 @@ def edged(pattern: str) -> str:
     return pattern.replace(r"\s", BLANK)
 
 
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(value)`` with the value computed once: a lambda that names an outer expression would compute it for each element."""
+    return F.get(F.transform(F.array(value), lambda x: make(x)), F.lit(0))
+
+
 def collapse(text: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(text, f"{BLANK}+", " "))
@@ -195,16 +200,19 @@ def timestamp(seconds: Column | str, *, millis: bool = False, comma: bool = Fals
 
 def trigrams(text: Column | str) -> Column:
     """All runs of three characters, repeats included."""
-    text = column(text)
-    return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substring(text, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
+    return let(column(text), lambda t: F.when(F.length(t) >= 3, grams(t)).otherwise(none))
 
 
 def word_windows(text: Column | str, least: int = 5, most: int = 12, chars: int = 20) -> Column:
     """Windows of words, the widest first, then from left to right, that have ``chars`` characters."""
-    parts = words(column(text))
-    sizes = F.when(F.size(parts) >= least, F.sequence(F.least(F.lit(most), F.size(parts)), F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    windows = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(parts) - n + 1), lambda i: F.array_join(F.slice(parts, i, n), " "))))
-    return F.filter(windows, lambda w: F.length(w) >= chars)
+
+    def windows(parts: Column) -> Column:
+        sizes = F.when(F.size(parts) >= least, F.sequence(F.least(F.lit(most), F.size(parts)), F.lit(least), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.size(parts) - n + 1), lambda i: F.array_join(F.slice(parts, i, n), " "))))
+
+    return F.filter(let(words(column(text)), windows), lambda w: F.length(w) >= chars)
 
 
 def distinctive_words(text: Column | str) -> Column:
@@ -215,13 +223,16 @@ def distinctive_words(text: Column | str) -> Column:
 
 def repetitive(text: Column | str) -> Column:
     """Six words or more and a pair of words more than three times."""
-    parts = words(column(text))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat_ws(" ", F.element_at(parts, i), F.element_at(parts, i + 1)))
-    ordered = F.array_sort(pairs)
-    # after sorting, a pair that occurs four times stands equal three places apart
-    return F.when(F.size(parts) < 6, False).otherwise(
-        F.exists(F.sequence(F.lit(1), F.size(ordered) - 3), lambda i: (F.size(ordered) > 3) & (F.element_at(ordered, i) == F.element_at(ordered, i + 3)))
-    )
+    def pairs(parts: Column) -> Column:
+        own = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat_ws(" ", F.element_at(parts, i), F.element_at(parts, i + 1)))
+        return F.when(F.size(parts) >= 6, F.array_sort(own)).otherwise(F.array().cast("array<string>"))
+
+    def often(ordered: Column) -> Column:
+        # after sorting, a pair that occurs four times stands equal three places apart
+        places = F.when(F.size(ordered) > 3, F.sequence(F.lit(1), F.size(ordered) - 3)).otherwise(F.array().cast("array<int>"))
+        return F.exists(places, lambda i: F.element_at(ordered, i) == F.element_at(ordered, i + 3))
+
+    return let(let(words(column(text)), pairs), often)
 
 
 def preview(text: Column | str, n: int = 60) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import plain, scores, similarity, text
+from .stored import stored
 
 
 def first_rows(df: DataFrame, by: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
@@ -126,7 +127,8 @@ def match_verses(queries: DataFrame, corpus: DataFrame, *, formula_exclusive: bo
     rest = asked.where("label IS NULL") if formula_exclusive else asked
     by_text = exact(rest.drop("label"), corpus)
     rest = rest.drop("label").where("allow_fuzzy").join(by_text.select("qid"), "qid", "left_anti")
-    whole = fuzzy(rest, corpus).withColumn("is_exact", F.lit(False))
+    # read twice, by the result and by the step after it
+    whole = stored(fuzzy(rest, corpus), "fuzzy").withColumn("is_exact", F.lit(False))
     parts = window_fuzzy(rest.join(whole.select("qid"), "qid", "left_anti"), corpus).withColumn("is_exact", F.lit(False))
     found = shaped(by_text, "exact").union(shaped(whole, "fuzzy")).union(shaped(parts, "window"))
     if formula_exclusive:

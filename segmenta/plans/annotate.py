@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import language, scores, text
 from ..operators import cleaning, folds, retrieval, verification
+from ..operators.stored import stored
 from ..sinks.transcripts import FORMULA, NARRATION, VERSE
 from .config import Settings, settings
 
@@ -60,14 +61,15 @@ def annotate(segments: DataFrame, verses: DataFrame, narrations: DataFrame | Non
     chapter, canon), or none.  Segments that need a source and have none are flagged with the reason.
     """
     s = config or settings()
-    out = routed(corrected(classified(folds.trim_overlaps(cleaned(segments, nfc=nfc), overlap=s.chunk_overlap), s, nfc=nfc), nfc=nfc), s)
+    cut = folds.trim_overlaps(cleaned(segments, nfc=nfc), overlap=s.chunk_overlap)
+    out = stored(routed(corrected(classified(cut, s, nfc=nfc), nfc=nfc), s), "routed")
     key = F.struct("file_id", "seq")
     spans = F.when(c("route") == "arabic", F.array("text")).when(c("route") == "urdu", text.arabic_spans("text")).otherwise(F.array().cast("array<string>"))
     asked = out.select(key.alias("segment"), F.posexplode(spans).alias("pos", "span"), "avg_word_confidence", "low_confidence")
     asked = asked.select(F.struct("segment", "pos").alias("qid"), "span", text.canonical("span", nfc=nfc).alias("query"), c("avg_word_confidence").alias("word_confidence"), (~c("low_confidence")).alias("allow_fuzzy"))
     found = retrieval.match_verses(asked, verses, formula_exclusive=s.formula_exclusive).where("kind IS NOT NULL")
     # the first span with a hit counts
-    first = retrieval.first_rows(found, ["qid.segment"], ["qid.pos"], 1, "_first")
+    first = stored(retrieval.first_rows(found, ["qid.segment"], ["qid.pos"], 1, "_first"), "verses")
     meta = verses.select("idx", "surah_id", "surah_name", "ayah_id", c("text").alias("original"))
     refs = verses.select(c("idx").alias("ref"), F.struct("surah_id", "surah_name", "ayah_id").alias("r"))
     others = first.where("refs IS NOT NULL").select("qid", F.posexplode("refs").alias("n", "ref")).join(refs, "ref").groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "r"))), lambda x: x["r"]).alias("alternate_refs"))
@@ -92,6 +94,7 @@ def annotate(segments: DataFrame, verses: DataFrame, narrations: DataFrame | Non
     )
     out = out.withColumns({"pending_hadith": open_ & ~c("low_confidence"), "flag_reason": F.when(open_ & c("low_confidence"), low)})
     out = out.drop("_verse", "label", "span", "query", "confidence", "is_exact", "is_ambiguous", "n_refs", "surah_id", "surah_name", "ayah_id", "original", "alternate_refs")
+    out = stored(out, "matched")
     if narrations is None or s.no_hadith:
         out = out.withColumns({"hadith_match": F.lit(None).cast(NARRATION), "flag_reason": F.when(c("pending_hadith"), "Hadith matching disabled; no Quran match").otherwise(c("flag_reason"))})
     else:
