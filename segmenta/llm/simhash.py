@@ -137,7 +137,8 @@ def drop_near_duplicates(docs: DataFrame, *, width: int = 3, bucket: int = 64) -
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row").alias("row")))
     distinct = written(prints.groupBy("fp").agg(first.alias("first")), "distinct")
     groups = distinct.join(roots(distinct, bucket), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = written(groups.select(F.col("first.row").alias("row")), "kept")
+    # as many rows are kept as there are components, so they are never broadcast, however small the table
+    kept = written(groups.select(F.col("first.row").alias("row")), "kept").hint("merge")
     return prints.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
 
 
