@@ -14,6 +14,7 @@ keeps every connection with a number of rows that is linear in the fingerprints.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -27,8 +28,21 @@ from .components import connected_components
 from .shared import documents, written
 
 SEED = 42
-#: Shingles whose bits are counted at once, which bounds the memory for a long text.
-CHUNK = 65_536
+#: Shingles whose bits are counted at once, and bytes whose words are held at once: they bound the memory for a long text.
+CHUNK, PIECE = 65_536, 4 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def word_groups(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some megabytes of it at once."""
+    at = 0
+    while at < len(raw):
+        end = at + PIECE
+        if end < len(raw):
+            blank = BLANK.search(raw, end)
+            end = blank.start() if blank else len(raw)
+        yield raw[at:end].split()
+        at = end
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -37,18 +51,17 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     A-Z is lower-cased; words are runs without ASCII white space; shingles are ``width`` words joined by spaces, repeats
     included.  Fewer words: one shingle of them all.  No word (or null): 0.
     """
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return 0
-    if len(words) <= width:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)))
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(shingles), CHUNK):
-        hashes = np.array([digest(s, SEED) for s in shingles[at : at + CHUNK]], "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(shingles), bitorder="little").view("<u8")[0])
+    counts, n, held, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_intdigest
+    for more in word_groups((text or "").encode("utf-8", "replace").lower()):
+        words = held + more
+        hashes = np.fromiter((digest(b" ".join(s), SEED) for s in zip(*(words[k:] for k in range(width)), strict=False)), np.uint64)
+        for at in range(0, len(hashes), CHUNK):
+            counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(hashes)
+        held = words[-(width - 1) :] if width > 1 else []
+    if not n:
+        return digest(b" ".join(held), SEED) if held else 0
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, width: int = 3, keep: Sequence[str] = ("doc_id",)) -> DataFrame:

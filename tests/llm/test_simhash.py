@@ -47,6 +47,16 @@ def test_rows_equal_brute_force(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_pieces_of_a_long_text_do_not_show(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "bb", "É", "x\ty", "word\n"]) for _ in range(n)) for n in (1, 2, 3, 4, 50, 400)] + ["", "  ", "z" * 100]
+    want = [brute_print(t) for t in texts]
+    assert [simhash.fingerprint(t) for t in texts] == want
+    for piece in (1, 2, 7, 64):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert [simhash.fingerprint(t) for t in texts] == want
+
+
 @pytest.mark.parametrize("bucket", [64, 3])
 def test_crowded_segments_lose_no_link(spark, bucket):
     rng = random.Random(bucket)
