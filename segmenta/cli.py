@@ -25,6 +25,7 @@ def configure_logging(verbose: bool = False, file: str | None = None) -> None:
     if file:
         handlers.append(RotatingFileHandler(file, maxBytes=5_000_000, backupCount=3, encoding="utf-8"))
     logging.basicConfig(level=logging.DEBUG if verbose else logging.INFO, handlers=handlers, format="%(asctime)s %(levelname)s %(name)s: %(message)s", force=True)
+    logging.getLogger("py4j").setLevel(logging.WARNING)
 
 
 def main(argv: list[str] | None = None) -> int:
