@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from segmenta.llm.bpe import VOCABULARY, round_trip
 from segmenta.llm.mixing import mix
+from segmenta.llm.near_text import drop_near_copies
 from segmenta.llm.secrets import redact_secrets
 from segmenta.llm.shared import documents, written
-from segmenta.llm.simhash import drop_near_duplicates
 from segmenta.llm.toxicity import drop_toxic
 
 
@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that of the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near copies (five-word similarity of 0.8) stays, that of the smallest id."""
+    return drop_near_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
