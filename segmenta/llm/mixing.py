@@ -4,10 +4,13 @@
    and share the total of all sizes.  A target stops at ``max_repeat`` times its source's size and the excess goes to
    the others by weight, until none is above (``water_level``).
 2. Documents are dealt to shards by a hash of their id; the number of shards follows the words, so one source with a
-   third of all rows is spread over all shards.  In a shard, a source's documents stand in a seeded order and form one
-   stream of words, cut into blocks of ``block_words`` words.
-3. Each shard allocates its blocks to the sources one by one to the highest quotient target / (2 q + 1), which gives an
-   integer quota of blocks per source and shard (``apportion``).
+   third of all rows is spread over all shards.  A source that is small against the rest is dealt to as many of them as
+   leave it ``least_blocks`` blocks in each, from a place chosen by a hash of its name: what is rounded is small against
+   what it has there.  In a shard, a source's documents stand in a seeded order and form one stream of words, cut into
+   blocks of ``block_words`` words.
+3. Each shard allocates its blocks to the sources one by one to the highest quotient share / (2 q + 1), which gives an
+   integer quota of blocks per source and shard (``apportion``).  The share is in blocks as they are there, the last of
+   which is short: target / size of the source, times its blocks, so that quota * words / blocks has no bias.
 4. A quota of q blocks out of n takes every block q div n times and q mod n of them once more: those to which a seeded
    permutation of the block numbers gives the lowest places.  What a document contributes follows from its place.
 """
@@ -101,6 +104,7 @@ def mix_plan(
     max_repeat: int = 3,
     block_words: int = 64,
     shard_words: int = 200_000,
+    least_blocks: int = 50,
     seed: int = 20,
 ) -> DataFrame:
     """What the mix takes of each row of ``docs`` (doc_id, text, source).
@@ -123,15 +127,19 @@ def mix_plan(
     level = water_level(sources, total, max_repeat)
     sources = sources.select("source", "source_size", F.least(F.col("weight") * F.lit(float(level)), (max_repeat * F.col("source_size")).cast("double")).alias("target"))
     shards = max(1, -(-total // max(shard_words, 50 * block_words * n_sources)))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(shards)))
+    own = F.least(F.lit(shards), F.greatest(F.lit(1), F.floor(F.col("source_size") / (least_blocks * block_words)))).cast("long")
+    spread = sources.select(F.col("source").alias("of"), own.alias("own"), F.pmod(F.xxhash64("source", F.lit(seed + 3)), F.lit(shards)).alias("from"))
+    shard = (F.col("from") + F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("own"))) % shards
+    dealt = sized.join(spread, F.col("source").eqNullSafe(F.col("of"))).withColumn("shard", shard).drop("of", "own", "from")
     parts = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumnRenamed("source", "of")
     parts = parts.join(sources, F.col("of").eqNullSafe(F.col("source"))).drop("of")
-    parts = parts.withColumn("share", F.when(F.col("source_size") > 0, F.col("target") * F.col("words") / F.col("source_size")).otherwise(0.0))
+    parts = parts.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
 
     def quotas(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("source", na_position="last", kind="stable").reset_index(drop=True)
         blocks = -(-rows["words"] // block_words)
-        got = apportion(list(rows["share"]), list(max_repeat * blocks), round(rows["share"].sum() / block_words))
+        share = rows["rate"] * blocks
+        got = apportion(list(share), list(max_repeat * blocks), round(share.sum()))
         return rows.assign(blocks=blocks, quota=got)[["source", "shard", "source_size", "target", "blocks", "quota"]]
 
     quota = parts.groupBy("shard").applyInPandas(quotas, "source string, shard long, source_size long, target double, blocks long, quota long")
