@@ -2,7 +2,9 @@
 
 A bounded sample of labelled rows gives a lexicon (words, and stems of 4 to 6 letters, far more frequent in toxic texts),
 trees fitted to the log-loss on binned features, and a monotone map from their margin to a chance, fitted on rows that
-the trees didn't see.  The model is a few kilobytes; every text is then scored where it lies, in one pass over its bytes.
+the trees didn't see.  The executors read the sampled texts; four hashes, counts of entries and twelve numbers a row come
+to the driver, never a text.  The model is a few kilobytes; every text is then scored where it lies, in one pass over its
+bytes: the text alone goes to Python and a number comes back, other columns stay with Spark.
 """
 
 from __future__ import annotations
@@ -10,18 +12,18 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import islice
 from zlib import crc32
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import documents, fold
+from .shared import documents, fold, written
 
 TOKEN = re.compile(r"[^\W\d_]+")
 # Second-person pronouns of four languages, and the letters that digits and signs stand for.
@@ -35,6 +37,11 @@ CLASSES[33:127] = 3
 CLASSES[48:58] = 2
 CLASSES[65:91] = CLASSES[97:123] = 1
 CLASSES[128:] = 1
+#: Signs and digits that stand for a letter next to one; hyphens, stops and exclamation marks only between two.
+INSTEAD = np.isin(np.arange(256), list(b"@$*013457"))
+STARRED = re.compile(r"[^\W\d_]+\*[^\W\d_*]*(?:\*[^\W\d_*]*)*")
+#: Texts whose features are held at once.
+SLICE = 512
 
 
 class Lexicon:
@@ -61,43 +68,51 @@ class Lexicon:
                     found[start] = entry
         return list(found.items())
 
+    def masked(self, lower: str) -> int:
+        """Words with letters starred out that an entry fits, a star for each letter."""
+        n = 0
+        for word in set(STARRED.findall(lower)):
+            fits = re.compile(word.replace("*", r"[^\W\d_]"))
+            n += len(word) < 40 and any(fits.match(e[:-1]) if e.endswith("*") else fits.fullmatch(e) for e in self.entries)
+        return n
 
-def copies(texts: Sequence[str], keys: int = 4) -> list[bool]:
-    """Whether a text shares one of its ``keys`` smallest five-word shingle hashes with an earlier one: likely a copy."""
+
+def least_keys(text: str, keys: int = 4) -> list[int]:
+    """The ``keys`` smallest hashes of a text's five-word shingles."""
+    words = text.encode("utf-8", "replace").split()
+    return sorted({crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))})[:keys]
+
+
+def copies(keys: Sequence[Sequence[int]]) -> list[bool]:
+    """Whether a text shares one of its ``least_keys`` with an earlier one: likely a copy."""
     seen: set[int] = set()
     found = []
-    for text in texts:
-        words = text.encode("utf-8", "replace").split()
-        own = sorted({crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))})[:keys]
+    for own in keys:
         found.append(not seen.isdisjoint(own))
         seen.update(own)
     return found
 
 
-def learn_lexicon(texts: Sequence[str], labels: Sequence[int], ratio: float = 15.0, part: float = 0.012) -> Lexicon:
-    """Words and stems that are in at least ``part`` of the toxic texts (four at least), and ``ratio`` times as often as in others.
+def entries_of(text: str) -> set[str]:
+    """The words of a text that may enter the lexicon, and their stems."""
+    words = {w for w in TOKEN.findall(text.lower()) if len(w) < 40}
+    return words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k}
 
-    Likely copies of an earlier text count once, else the rare words of one much-copied toxic text would enter.
-    """
-    counts, sizes = (Counter(), Counter()), [0, 0]
-    for text, label, copy in zip(texts, labels, copies(texts), strict=True):
-        if copy:
-            continue
-        words = {w for w in TOKEN.findall(text.lower()) if len(w) < 40}
-        counts[label].update(words | {w[:k] + "*" for w in words for k in STEMS if len(w) > k})
-        sizes[label] += 1
-    least = max(4, part * sizes[1])
 
-    def odds(entry: str) -> float:
-        return (counts[1][entry] + 0.5) / (counts[0][entry] + 0.5) * (sizes[0] + 1) / (sizes[1] + 1)
+def odds(toxic: int, other: int, sizes: Sequence[int]) -> float:
+    """How much more often an entry is in toxic texts than in others; sizes: the texts that are not toxic, and those that are."""
+    return (toxic + 0.5) / (other + 0.5) * (sizes[0] + 1) / (sizes[1] + 1)
 
-    kept = {e for e, n in counts[1].items() if n >= least and odds(e) >= ratio}
+
+def chosen_entries(counts: dict[str, tuple[int, int]]) -> Lexicon:
+    """The lexicon of entries far more frequent in toxic texts, with their counts (in others, in toxic texts)."""
+    kept = set(counts)
 
     def covers(stem: str, entry: str) -> bool:
         return stem != entry and stem.endswith("*") and entry.startswith(stem[:-1])
 
     # a stem gives way to a longer entry that nearly always completes it, and covers the other longer ones
-    exact = {e for e in kept if not any(covers(e, f) and counts[1][f] >= 0.9 * counts[1][e] for f in kept)}
+    exact = {e for e in kept if not any(covers(e, f) and counts[f][1] >= 0.9 * counts[e][1] for f in kept)}
     return Lexicon(sorted(e for e in exact if not any(covers(s, e) for s in exact)))
 
 
@@ -113,7 +128,8 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     lower = text.lower()
     hits = lexicon.hits(lower)
     near = sum(bool(SECOND_PERSON.search(lower[max(0, at - 30) : at + 40])) for at, _ in hits)
-    uncovered = len(lexicon.hits(lower.translate(LEET))) - len(hits) if inner else 0
+    beside = inner or bool((INSTEAD[raw[1:]] & (kind[:-1] == 1)).any() or (INSTEAD[raw[:-1]] & (kind[1:] == 1)).any())
+    uncovered = len(lexicon.hits(lower.translate(LEET))) - len(hits) + (lexicon.masked(lower) if seen[42] else 0) if beside else 0
     per = 1.0 / max(1, words)
     signs = int(seen[33:48].sum() + seen[58:65].sum() + seen[91:97].sum() + seen[123:127].sum())
     return [
@@ -203,66 +219,102 @@ class Model:
     trees: Boosted | None
     knots: tuple[np.ndarray, np.ndarray]
 
-    def scores(self, texts: Sequence[str | None]) -> np.ndarray:
-        if self.trees is None:
-            return np.full(len(texts), self.knots[1][0])
-        x = np.array([features(t or "", self.lexicon) for t in texts]).reshape(len(texts), len(FEATURES))
-        return np.interp(self.trees.margin(x), *self.knots)
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        """Chances of texts, 0 to 1; some hundred texts are held at once."""
+        out, texts = [np.zeros(0)], iter(texts)
+        while some := list(islice(texts, SLICE)):
+            if self.trees is None:
+                out.append(np.full(len(some), self.knots[1][0]))
+            else:
+                x = np.array([features(t or "", self.lexicon) for t in some]).reshape(len(some), len(FEATURES))
+                out.append(np.interp(self.trees.margin(x), *self.knots))
+        return np.concatenate(out).clip(0, 1)
+
+
+def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray, lexicon: Lexicon) -> Model:
+    """Trees from the rows that are not held back, calibration from those that are."""
+    trees = boost(x[~held], y[~held])
+    return Model(lexicon, trees, isotonic(trees.margin(x[held]), y[held]))
+
 
+def sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, text, toxic 0 or 1) of about ``max_rows`` labelled ids, chosen by a hash, one text an id (the least)."""
+    known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = known.count()
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, max_rows / max(1, n))) + 1)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known.where(part).limit(2 * max_rows)), "doc_id")
+    return rows.groupBy("doc_id").agg(F.coalesce(F.min("text"), F.lit("")).alias("text"), (F.max("toxic") > 0).cast("long").alias("toxic"))
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, ratio: float = 15.0, part: float = 0.012) -> Model:
+    """A model from at most about ``max_rows`` labelled ids, chosen by a hash of the id, with their whole texts.
+
+    Rows whose crc32 of the id modulo 5 is 0 are never learned from; neither are null labels and null ids.  Of repeated
+    labels the larger counts, of repeated ids the least text.  The chosen ids (bounded by ``max_rows``) are broadcast; a
+    few numbers a row come back.  A quarter of the rows (by crc32 of the text) is held back for calibration.  The lexicon
+    has words and stems that are in at least ``part`` of the toxic texts (four at least) and ``ratio`` times as often as
+    in others; likely copies of an earlier text count once, else the rare words of a much-copied one would enter.  With
+    fewer than 20 rows, or one label, every chance is the mean of the labels, 0.49 at most (0 without any): none is rejected.
+    """
+    rows = written(sample(docs, labels, max_rows), "sample")
 
-def fit(texts: Sequence[str], labels: Sequence[int]) -> Model:
-    """Lexicon and trees from three quarters of the rows (by crc32 of the text), calibration from the rest."""
-    y = np.array(labels, float)
+    @F.arrow_udf("struct<fold:bigint,keys:array<bigint>>")
+    def marks(text: pa.Array) -> pa.Array:
+        texts = [t.as_py() for t in text]
+        return pa.StructArray.from_arrays([pa.array([crc32(t.encode("utf-8", "replace")) % 4 for t in texts], pa.int64()), pa.array([least_keys(t) for t in texts], pa.list_(pa.int64()))], ["fold", "keys"])
+
+    found = rows.select("doc_id", "toxic", marks("text").alias("m")).select("doc_id", "toxic", "m.fold", "m.keys").orderBy("doc_id").collect()
+    y = np.array([r["toxic"] for r in found], float)
     if len(y) < 20 or y.min() == y.max():
-        return Model(Lexicon(()), None, (np.zeros(1), np.array([y.mean() if len(y) else 0.0])))
-    held = np.array([crc32(t.encode("utf-8", "replace")) % 4 == 3 for t in texts])
+        return Model(Lexicon(()), None, (np.zeros(1), np.array([min(0.49, y.mean()) if len(y) else 0.0])))
+    held = np.array([r["fold"] == 3 for r in found])
     if held.all() or not held.any() or y[~held].min() == y[~held].max():
         held = np.arange(len(y)) % 4 == 3
-    own = np.flatnonzero(~held)
-    lexicon = learn_lexicon([texts[i] for i in own], [int(y[i]) for i in own])
-    x = np.array([features(t, lexicon) for t in texts])
-    trees = boost(x[own], y[own])
-    return Model(lexicon, trees, isotonic(trees.margin(x[held]), y[held]))
+    own = [r for r, h in zip(found, held, strict=True) if not h]
+    counted = {r["doc_id"] for r, copy in zip(own, copies([r["keys"] for r in own]), strict=True) if not copy}
+    sizes = [sum(r["doc_id"] in counted and r["toxic"] == k for r in own) for k in (0, 1)]
 
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = (Counter(), Counter())
+        for batch in batches:
+            for doc_id, text, toxic in zip(*batch.columns, strict=True):
+                if doc_id.as_py() in counted:
+                    counts[toxic.as_py()].update(entries_of(text.as_py()))
+        every = list(counts[0] | counts[1])
+        yield pa.record_batch([pa.array(every, pa.string()), *(pa.array([c[e] for e in every], pa.int64()) for c in counts)], ["entry", "other", "toxic"])
 
-def learn(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000) -> Model:
-    """A model from at most about ``max_rows`` labelled rows, chosen by a hash of the id, with their whole texts.
+    most = rows.mapInArrow(entries, "entry string, other long, toxic long").groupBy("entry").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic"))
+    frequent = most.where((F.col("toxic") >= max(4, part * sizes[1])) & (odds(F.col("toxic"), F.col("other"), sizes) >= ratio))
+    lexicon = chosen_entries({r[0]: (r[1], r[2]) for r in frequent.collect()})
+    described = F.arrow_udf(lambda text: pa.array([features(t.as_py(), lexicon) for t in text], pa.list_(pa.float64())), "array<double>")
+    x = np.array([r[1] for r in rows.select("doc_id", described("text")).orderBy("doc_id").collect()])
+    return fit(x, y, held, lexicon)
 
-    Rows whose crc32 of the id modulo 5 is 0 are never learned from; neither are null labels.  Of repeated labels the
-    larger counts.  The chosen ids (bounded by ``max_rows``) are broadcast.
-    """
-    known = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, max_rows / max(1, n))) + 1)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known.where(part).limit(2 * max_rows)), "doc_id").select(F.coalesce("text", F.lit("")), "toxic").orderBy("doc_id").collect()
-    return fit([r[0] for r in rows], [int(r[1] > 0) for r in rows])
+
+def chance(text: Column, model: Model) -> Column:
+    """The score of a text."""
+    return F.arrow_udf(lambda x: pa.array(model.scores(t.as_py() for t in x)), "double")(text)
 
 
 def scored(docs: DataFrame, model: Model, *, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of every row with score (0 to 1, higher is more toxic) and predicted (1 if score >= 0.5).
 
-    Null texts count as empty; equal texts have equal scores; repeated and null ids are kept; an empty table gives no
-    rows.  Columns outside ``keep`` (and text) are not read.
+    Null texts count as empty; very long texts are scored whole; equal texts have equal scores; repeated and null ids are
+    kept; an empty table gives no rows.  Columns outside ``keep`` (and text) are not read; ``keep`` has neither score nor
+    predicted.
     """
-    shape = docs.select(*keep).schema.add("score", T.DoubleType()).add("predicted", T.IntegerType())
-    at = list(keep).index("text") if "text" in keep else len(keep)
-    columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)] + ([] if "text" in keep else [F.col("text").alias("k")])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = model.scores([t.as_py() for t in batch.column(at)]).clip(0, 1)
-            yield pa.record_batch([*batch.columns[: len(keep)], pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
-
-    return docs.select(*columns).mapInArrow(run, shape)
+    found = docs.select(*keep, chance(F.col("text"), model).alias("score"))
+    return found.select(*keep, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that a model learned from them and ``labels`` does not call toxic."""
-    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    renamed = {f"c{i}": c for i, c in enumerate(docs.columns)}
-    text = next(k for k, c in renamed.items() if c == "text")
-    found = scored(plain.withColumnRenamed(text, "text"), learn(docs, labels), keep=["text" if k == text else k for k in renamed])
-    return found.where("predicted = 0").drop("score", "predicted").toDF(*docs.columns)
+    """The rows of ``docs``, with all their columns, that a model learned from them and ``labels`` does not call toxic.
+
+    Null and empty texts are judged like any other; very long ones whole; equal texts, so repeated rows too, share their
+    fate.  Null and repeated ids are kept.  Extra columns may have any name.  An empty table gives no rows; without
+    labels all rows stay.
+    """
+    return docs.where(chance(F.col("text"), learn(docs, labels)) < 0.5)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
