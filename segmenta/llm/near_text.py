@@ -1,13 +1,17 @@
 """Near copies by the similarity of their texts: at least 0.8 of all five-word shingles of two texts are in both.
 
-Texts with the same set of shingles are one from the start.  For the others, the least values of 80 hash functions over the
-set form 20 keys of four; texts that share a key are candidates (of pairs at 0.8, one in 40,000 shares none), and a pair
-links only if the similarity of its sets, counted whole, reaches the bound.
-
-Keys are not expanded into all pairs at once.  First every key compares its texts with one of them, chosen by a hash, and a
-key whose texts are all connected is done, so a large group of near copies takes work of linear size.  Of a key that stays
-open all pairs of unconnected texts are looked at: sketches of 80 bytes screen them (of pairs at 0.8, about one in 12,000
-is lost), and the rest are verified.  That work grows with the square of the unconnected texts that share a key.
+Texts with the same set of shingles are one from the start.  The others are compared in three steps, each for the texts
+that the ones before left unconnected; a pair links only if the similarity of its sets, counted whole, reaches the bound.
+
+1. SimHash: 64-bit fingerprints of the sets, and multi-index hashing (``simhash.links``) for those within three bits.
+   Fingerprints of a pair at 0.8 differ in about ten bits of 64 (an angle of acos(8/9)), far more than small balls around
+   segments reach, so this step alone would lose most links; the next ones find them.
+2. MinHash: the least values of 80 hash functions over a set form 20 keys of four; texts that share a key are candidates
+   (of pairs at 0.8, one in 40,000 shares none).  Every key compares its texts with one of them, chosen by a hash, and a
+   key whose texts are all connected is done, so a large group of near copies takes work of linear size.
+3. Of a key that stays open all pairs of unconnected texts are looked at: sketches of 80 bytes screen them (of pairs at
+   0.8, about one in 12,000 is lost), and the rest are verified.  That work grows with the square of the unconnected
+   texts that share a key.
 """
 
 from __future__ import annotations
@@ -19,11 +23,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from . import simhash
 from .components import connected_components
 from .shared import written
-from .simhash import SEED, word_groups
+from .simhash import SEED, print_of, word_groups
 
 WIDTH = 5
 #: A pair links if inner * LEAST[1] >= union * LEAST[0].
@@ -64,22 +68,16 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return inner * LEAST[1] >= (len(a) + len(b) - inner) * LEAST[0]
 
 
-def sketched(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` (one of them ``text``) with ``same`` (digest of the set of shingles), ``n`` (its size), ``keys`` and ``sketch``."""
-    names = docs.columns
-    shape = T.StructType([*docs.schema.fields, T.StructField("same", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same, sizes, keys = [], [], []
-            for x in batch.column(names.index("text")):
-                own = shingles(x.as_py())
-                same.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sizes.append(len(own))
-                keys.append(keys_of(own))
-            yield pa.record_batch([*batch.columns, pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array([k for k, _ in keys], pa.list_(pa.int64())), pa.array([x for _, x in keys], pa.binary())], shape.names)
-
-    return docs.mapInArrow(run, shape)
+def marks(text: pa.Array) -> pa.Array:
+    """Of each text: the digest of its set of shingles, the size of the set, its keys and sketch, and its fingerprint."""
+    same, sizes, keys, sketches, prints = [], [], [], [], []
+    for x in text:
+        own = shingles(x.as_py())
+        found, sketch = keys_of(own)
+        for held, value in ((same, xxhash.xxh3_128_digest(own.tobytes())), (sizes, len(own)), (keys, found), (sketches, sketch), (prints, print_of(own))):
+            held.append(value)
+    arrays = [pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+    return pa.StructArray.from_arrays(arrays, ["same", "n", "keys", "sketch", "fp"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -124,26 +122,37 @@ def screened(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"a": pairs[0], "b": pairs[1]})
 
 
+def by_fingerprint(nodes: DataFrame, bucket: int = 64) -> DataFrame:
+    """Candidates (a, b): a node and the least one of its fingerprint, and the least ones of fingerprints within three bits."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "prints")
+    same = nodes.join(least, "fp").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    first, second = (least.select(F.col("fp").alias(k), F.col("hub").alias(f"hub_{k}")) for k in "ab")
+    near = simhash.links(least.select("fp"), bucket).join(first, "a").join(second, "b")
+    return same.union(near.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b"))).distinct()
+
+
 def links(nodes: DataFrame, texts: DataFrame, *, rounds: int = 1) -> DataFrame:
-    """Verified links (a, b) that connect all candidates of ``nodes`` (node, n, keys, sketch) that are alike.
+    """Verified links (a, b) that connect all candidates of ``nodes`` (node, n, keys, sketch, fp) that are alike.
 
-    In each of ``rounds`` every open key compares its texts with one of them; then the pairs left are all compared.
+    First fingerprints, then ``rounds`` in which every open key compares its texts with one of them, then all pairs left.
     """
     near = F.least("n", "hub_n") * LEAST[1] >= F.greatest("n", "hub_n") * LEAST[0]  # else the sets can't be alike
-    held = nodes.select("node", "n", F.explode("keys").alias("key"))
-    several = held.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    held = written(held.join(several, "key").withColumn("part", F.col("node")), "held")
-    found = nodes.sparkSession.createDataFrame([], "a long, b long")
+    found = written(verified(written(by_fingerprint(nodes), "pairs"), texts), "alike")
+
+    def connected(held: DataFrame) -> DataFrame:
+        """The keys that stay open, with the components so far."""
+        parts = connected_components(found).select("node", F.col("component").alias("found"))
+        held = written(held.join(parts, "node", "left").select("node", "n", "key", F.coalesce("found", "node").alias("part")), "held")
+        return written(held.join(held.groupBy("key").agg((F.min("part") < F.max("part")).alias("open")).where("open").select("key"), "key"), "held")
+
+    held = connected(nodes.select("node", "n", F.explode("keys").alias("key")))
     for k in range(rounds):
         hub = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part")))
         hubs = held.groupBy("key").agg(hub.alias("h")).select("key", "h.*")
         pairs = held.join(hubs, "key").where((F.col("part") != F.col("hub_part")) & near)
         pairs = written(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
         found = found.union(written(verified(pairs, texts), "alike"))
-        parts = connected_components(found).select("node", F.col("component").alias("found"))
-        held = written(held.join(parts, "node", "left").select("node", "n", "key", F.coalesce("found", "node").alias("part")), "held")
-        unconnected = held.groupBy("key").agg((F.min("part") < F.max("part")).alias("open")).where("open").select("key")
-        held = written(held.join(unconnected, "key"), "held")
+        held = connected(held.select("node", "n", "key"))
     left = held.join(nodes.select("node", "sketch"), "node").groupBy("key").applyInArrow(screened, "a long, b long")
     return found.union(written(verified(written(left.distinct(), "pairs"), texts), "alike"))
 
@@ -151,20 +160,21 @@ def links(nodes: DataFrame, texts: DataFrame, *, rounds: int = 1) -> DataFrame:
 def drop_near_copies(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     """One row of each group of near copies in ``docs``, with all its columns: that of the smallest doc_id (null last).
 
-    A group is what links between texts of similarity 0.8 or more connect.  Texts without a word (or null) are alike.  Of
-    rows that share the smallest id one stays; an empty table gives no rows.
+    A group is what links between texts of similarity 0.8 or more connect.  Texts without a word (or null) are alike; a
+    text of fewer than five words has one shingle, of them all; very long texts count whole.  Of rows that share the
+    smallest id one stays, so repeated rows leave one.  Extra columns may have any name.  An empty table gives no rows.
     """
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    plain = plain.withColumnRenamed(at["text"], "text")
-    names, doc_id = plain.columns, at["doc_id"]
-    rows = written(sketched(plain).withColumn("row", F.monotonically_increasing_id()), "rows")
+    names, text, doc_id = plain.columns, F.col(at["text"]), at["doc_id"]
+    seen = F.arrow_udf(marks, "struct<same:binary,n:bigint,keys:array<bigint>,sketch:binary,fp:bigint>")
+    rows = plain.withColumns({"seen": seen(text), "row": F.monotonically_increasing_id()}).select(*names, "row", "seen.*")
+    rows = written(rows, "rows")
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row").alias("row")))
     distinct = written(rows.groupBy("same").agg(first.alias("first")).select("first", F.col("first.row").alias("node")), "distinct")
-    nodes = rows.select(F.col("row").alias("node"), "n", "keys", "sketch").join(distinct.select("node"), "node")
-    groups = connected_components(links(nodes, rows.select(F.col("row").alias("node"), "text"), rounds=rounds))
+    nodes = rows.select(F.col("row").alias("node"), "n", "keys", "sketch", "fp").join(distinct.select("node"), "node")
+    groups = connected_components(links(written(nodes, "nodes"), rows.select(F.col("row").alias("node"), text.alias("text")), rounds=rounds))
     groups = distinct.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
     # as many rows are kept as there are groups, so they are never broadcast, however small the table
     kept = written(groups.select(F.col("first.row").alias("row")), "kept").hint("merge")
     return rows.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
-

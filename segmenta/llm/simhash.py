@@ -15,14 +15,13 @@ keeps every connection with a number of rows that is linear in the fingerprints.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .components import connected_components
 from .shared import documents, written
@@ -45,6 +44,14 @@ def word_groups(raw: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of ``hashes`` (uint64); 0 of none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        counts += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """SimHash of a text: bit b is set if it is set in over half of the shingles' hashes.
 
@@ -64,17 +71,9 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns of each row and its fingerprint as a signed long (``fp``)."""
-    at = list(keep).index("text") if "text" in keep else len(keep)
-    shape = docs.select(*keep).schema.add("fp", T.LongType())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(x.as_py(), width) for x in batch.column(at)], np.uint64).view(np.int64)
-            yield pa.record_batch([*batch.columns[: len(keep)], pa.array(prints)], [*keep, "fp"])
-
-    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, shape)
+def signed_print(text: Column, width: int) -> Column:
+    """The fingerprint of a text as a signed long."""
+    return F.arrow_udf(lambda x: pa.array(np.array([fingerprint(t.as_py(), width) for t in x], np.uint64).view(np.int64)), "long")(text)
 
 
 def links(prints: DataFrame, bucket: int = 64) -> DataFrame:
@@ -126,10 +125,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, bucket: int = 64) -> Dat
 
     component_id is the smallest doc_id that links of at most three differing bits reach, itself included.  Null and
     empty texts have fingerprint zero and link like any other.  Equal texts have equal fingerprints and meet there, so
-    copies are never paired.  Null ids are kept, in the component of their fingerprint.  Other columns are not read; an
-    empty table gives no rows.
+    copies are never paired.  Null ids are kept, in the component of their fingerprint; repeated rows are.  Very
+    long texts count whole, some megabytes of words at once.  Other columns are not read; an empty table gives no rows.
     """
-    prints = written(fingerprints(docs, width), "prints")
+    prints = written(docs.select("doc_id", signed_print(F.col("text"), width).alias("fp")), "prints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     groups = written(roots(distinct, bucket), "roots")
     least = groups.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
@@ -137,24 +136,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, bucket: int = 64) -> Dat
     return prints.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, *, width: int = 3, bucket: int = 64) -> DataFrame:
-    """One row of each component of ``docs``, with all its columns: that of the smallest doc_id (null last).
-
-    Of rows that share this id one stays.
-    """
-    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    renamed = {f"c{i}": c for i, c in enumerate(docs.columns)}
-    text, doc_id = (next(k for k, c in renamed.items() if c == name) for name in ("text", "doc_id"))
-    names = ["text" if k == text else k for k in renamed]
-    prints = written(fingerprints(plain.withColumnRenamed(text, "text"), width, names).withColumn("row", F.monotonically_increasing_id()), "prints")
-    first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row").alias("row")))
-    distinct = written(prints.groupBy("fp").agg(first.alias("first")), "distinct")
-    groups = distinct.join(roots(distinct, bucket), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    # as many rows are kept as there are components, so they are never broadcast, however small the table
-    kept = written(groups.select(F.col("first.row").alias("row")), "kept").hint("merge")
-    return prints.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
-
-
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: doc_id, fingerprint, component_id."""
     return near_duplicates(documents(spark, sf_dir))

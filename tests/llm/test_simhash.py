@@ -4,7 +4,6 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from segmenta.llm import simhash
 from segmenta.llm.components import connected_components
@@ -82,16 +81,3 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 150), (7, 7), (200, 100)]
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100}
-
-
-def test_one_of_each_component_stays(docs, rows):
-    kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
-    found = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    prints = [(r[0], brute_print(r[1])) for r in rows]
-    want = Counter(set(brute_components(prints)))
-    assert Counter(found) == want
-
-
-def test_a_clean_column_stays(docs):
-    assert simhash.drop_near_duplicates(docs).where(F.col("fp") != "extra").count() == 0
