@@ -7,10 +7,11 @@ that the ones before left unconnected; a pair links only if the similarity of it
    Fingerprints of a pair at 0.8 differ in about ten bits of 64 (an angle of acos(8/9)), far more than small balls around
    segments reach, so this step alone would lose most links; the next ones find them.
 2. MinHash: the least values of 80 hash functions over a set form 20 keys of four; texts that share a key are candidates
-   (of pairs at 0.8, one in 40,000 shares none).  Every key compares its texts with one of them, chosen by a hash, and a
-   key whose texts are all connected is done, so a large group of near copies takes work of linear size.
-3. Of a key that stays open all pairs of unconnected texts are looked at: sketches of 80 bytes screen them (of pairs at
-   0.8, about one in 12,000 is lost), and the rest are verified.  That work grows with the square of the unconnected
+   (of pairs at 0.8, one in 40,000 shares none).  Every key compares its texts with its most central one, that which
+   shares the most keys with others, then with the next, and a key whose texts are all connected is done.  So a large
+   group of near copies takes work of linear size.
+3. Of a key that stays open all pairs of unconnected texts are looked at: sketches of 256 bytes screen them (of pairs at
+   0.8, about one in 10,000 is lost), and the rest are verified.  That work grows with the square of the unconnected
    texts that share a key.
 """
 
@@ -34,9 +35,9 @@ WIDTH = 5
 LEAST = (4, 5)
 KEYS, EACH = 20, 4
 #: Bytes of a sketch, and how many of them agree at least in a pair that is verified.
-SKETCH, AGREE = 80, 50
-#: Odd factors and offsets of the hash functions.
-FACTORS, OFFSETS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, KEYS * EACH, 1), np.uint64)
+SKETCH, AGREE = 256, 181
+#: Odd factors and offsets of the hash functions, those of keys first.
+FACTORS, OFFSETS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, KEYS * EACH + SKETCH, 1), np.uint64)
 FACTORS = FACTORS * np.uint64(2) + np.uint64(1)
 #: Shingles hashed at once, and shingles of sets that a task remembers.
 CHUNK, REMEMBER = 1024, 1 << 20
@@ -54,13 +55,21 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
-def keys_of(own: np.ndarray) -> tuple[list[int], bytes]:
-    """The keys of a set of shingles, as signed longs, and its sketch; the empty set has no key."""
+def least(own: np.ndarray, functions: slice) -> np.ndarray:
+    """The least value of each hash function over a set that is not empty."""
+    return np.min([(own[at : at + CHUNK] * FACTORS[functions] + OFFSETS[functions]).min(1) for at in range(0, len(own), CHUNK)], axis=0)
+
+
+def keys_of(own: np.ndarray) -> list[int]:
+    """The keys of a set of shingles, as signed longs; the empty set has none."""
     if not len(own):
-        return [], bytes(SKETCH)
-    least = np.min([(own[at : at + CHUNK] * FACTORS + OFFSETS).min(1) for at in range(0, len(own), CHUNK)], axis=0)
-    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(KEYS, EACH))]
-    return np.array(keys, np.uint64).view(np.int64).tolist(), least[:SKETCH].astype(np.uint8).tobytes()
+        return []
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least(own, slice(KEYS * EACH)).reshape(KEYS, EACH))]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def sketch_of(own: np.ndarray) -> bytes:
+    return least(own, slice(KEYS * EACH, None)).astype(np.uint8).tobytes() if len(own) else bytes(SKETCH)
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -69,15 +78,14 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def marks(text: pa.Array) -> pa.Array:
-    """Of each text: the digest of its set of shingles, the size of the set, its keys and sketch, and its fingerprint."""
-    same, sizes, keys, sketches, prints = [], [], [], [], []
+    """Of each text: the digest of its set of shingles, the size of the set, its keys, and its fingerprint."""
+    same, sizes, keys, prints = [], [], [], []
     for x in text:
         own = shingles(x.as_py())
-        found, sketch = keys_of(own)
-        for held, value in ((same, xxhash.xxh3_128_digest(own.tobytes())), (sizes, len(own)), (keys, found), (sketches, sketch), (prints, print_of(own))):
+        for held, value in ((same, xxhash.xxh3_128_digest(own.tobytes())), (sizes, len(own)), (keys, keys_of(own)), (prints, print_of(own))):
             held.append(value)
-    arrays = [pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
-    return pa.StructArray.from_arrays(arrays, ["same", "n", "keys", "sketch", "fp"])
+    arrays = [pa.array(same, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(np.array(prints, np.uint64).view(np.int64))]
+    return pa.StructArray.from_arrays(arrays, ["same", "n", "keys", "fp"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -131,33 +139,43 @@ def by_fingerprint(nodes: DataFrame, bucket: int = 64) -> DataFrame:
     return same.union(near.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b"))).distinct()
 
 
-def links(nodes: DataFrame, texts: DataFrame, *, rounds: int = 1) -> DataFrame:
-    """Verified links (a, b) that connect all candidates of ``nodes`` (node, n, keys, sketch, fp) that are alike.
+def links(nodes: DataFrame, texts: DataFrame, *, rounds: int = 3) -> DataFrame:
+    """Links (a, b) that connect all candidates of ``nodes`` (node, n, keys, fp) that are alike.
 
     First fingerprints, then ``rounds`` in which every open key compares its texts with one of them, then all pairs left.
+    Links found so far are held as stars, one link a node.
     """
     near = F.least("n", "hub_n") * LEAST[1] >= F.greatest("n", "hub_n") * LEAST[0]  # else the sets can't be alike
-    found = written(verified(written(by_fingerprint(nodes), "pairs"), texts), "alike")
+    stars, used = nodes.sparkSession.createDataFrame([], "a long, b long"), nodes.sparkSession.createDataFrame([], "node long")
+
+    def more(pairs: DataFrame) -> DataFrame:
+        """The stars with what is alike of ``pairs``."""
+        found = written(verified(written(pairs, "pairs"), texts), "alike")
+        return connected_components(stars.union(found)).where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
     def connected(held: DataFrame) -> DataFrame:
         """The keys that stay open, with the components so far."""
-        parts = connected_components(found).select("node", F.col("component").alias("found"))
-        held = written(held.join(parts, "node", "left").select("node", "n", "key", F.coalesce("found", "node").alias("part")), "held")
+        held = held.join(stars.select(F.col("b").alias("node"), F.col("a").alias("found")), "node", "left")
+        held = written(held.select("node", "n", "central", "key", F.coalesce("found", "node").alias("part")), "held")
         return written(held.join(held.groupBy("key").agg((F.min("part") < F.max("part")).alias("open")).where("open").select("key"), "key"), "held")
 
-    held = connected(nodes.select("node", "n", F.explode("keys").alias("key")))
+    stars = more(by_fingerprint(nodes))
+    held = written(nodes.select("node", "n", F.explode("keys").alias("key")), "keys")
+    shared = written(held.join(held.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "shared")
+    held = connected(shared.join(shared.groupBy("node").agg(F.sum("size").alias("central")), "node"))
     for k in range(rounds):
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("order"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part")))
-        hubs = held.groupBy("key").agg(hub.alias("h")).select("key", "h.*")
+        hub = F.max(F.struct("central", F.xxhash64("node", F.lit(k)).alias("order"), F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("part").alias("hub_part")))
+        hubs = written(held.join(used, "node", "left_anti").groupBy("key").agg(hub.alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_part"), "hubs")
+        used = used.union(hubs.select("hub")).distinct()
         pairs = held.join(hubs, "key").where((F.col("part") != F.col("hub_part")) & near)
-        pairs = written(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-        found = found.union(written(verified(pairs, texts), "alike"))
-        held = connected(held.select("node", "n", "key"))
-    left = held.join(nodes.select("node", "sketch"), "node").groupBy("key").applyInArrow(screened, "a long, b long")
-    return found.union(written(verified(written(left.distinct(), "pairs"), texts), "alike"))
+        stars = more(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+        held = connected(held.select("node", "n", "central", "key"))
+    sketch = F.arrow_udf(lambda text: pa.array([sketch_of(shingles(x.as_py())) for x in text], pa.binary()), "binary")
+    sketches = written(texts.join(held.select("node").distinct(), "node").select("node", sketch("text").alias("sketch")), "sketches")
+    return more(held.join(sketches, "node").groupBy("key").applyInArrow(screened, "a long, b long").distinct())
 
 
-def drop_near_copies(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
+def drop_near_copies(docs: DataFrame, *, rounds: int = 3) -> DataFrame:
     """One row of each group of near copies in ``docs``, with all its columns: that of the smallest doc_id (null last).
 
     A group is what links between texts of similarity 0.8 or more connect.  Texts without a word (or null) are alike; a
@@ -167,14 +185,14 @@ def drop_near_copies(docs: DataFrame, *, rounds: int = 1) -> DataFrame:
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     names, text, doc_id = plain.columns, F.col(at["text"]), at["doc_id"]
-    seen = F.arrow_udf(marks, "struct<same:binary,n:bigint,keys:array<bigint>,sketch:binary,fp:bigint>")
+    seen = F.arrow_udf(marks, "struct<same:binary,n:bigint,keys:array<bigint>,fp:bigint>")
     rows = plain.withColumns({"seen": seen(text), "row": F.monotonically_increasing_id()}).select(*names, "row", "seen.*")
     rows = written(rows, "rows")
     first = F.min(F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.col("row").alias("row")))
     distinct = written(rows.groupBy("same").agg(first.alias("first")).select("first", F.col("first.row").alias("node")), "distinct")
-    nodes = rows.select(F.col("row").alias("node"), "n", "keys", "sketch", "fp").join(distinct.select("node"), "node")
-    groups = connected_components(links(written(nodes, "nodes"), rows.select(F.col("row").alias("node"), text.alias("text")), rounds=rounds))
-    groups = distinct.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("root")).agg(F.min("first").alias("first"))
+    nodes = rows.select(F.col("row").alias("node"), "n", "keys", "fp").join(distinct.select("node"), "node")
+    stars = links(written(nodes, "nodes"), rows.select(F.col("row").alias("node"), text.alias("text")), rounds=rounds)
+    groups = distinct.join(stars.withColumnRenamed("b", "node"), "node", "left").groupBy(F.coalesce("a", "node").alias("root")).agg(F.min("first").alias("first"))
     # as many rows are kept as there are groups, so they are never broadcast, however small the table
     kept = written(groups.select(F.col("first.row").alias("row")), "kept").hint("merge")
     return rows.join(kept, "row", "left_semi").select(*names).toDF(*docs.columns)
