@@ -10,13 +10,15 @@ Patterns find the base spans.  Beyond them every long run of letters, digits and
 * Benjamini-Hochberg over these chances, by class of length over the whole table, keeps the expected part of false
   discoveries at ``level`` in each class.  Short candidates, whose tests have little power, thus need far better values.
 
-Only counts by class and rounded chance come to the driver.
+Places are running sums over the pieces of a text, in as many passes as their number has binary digits, and every step
+reads its arrays in order, so the work grows with the matches of a text and not with their square.  Only counts by class
+and rounded chance come to the driver.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,33 +49,54 @@ ENCODINGS = (
 COINCIDENCE = 0.065
 
 
+#: Distances of a running sum's passes; code points of the pieces in which a long text is cut for redaction.
+POWERS = tuple(1 << k for k in range(31))
+PIECE = 4096
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array of numbers, doubling the distance from pass to pass."""
+    add = lambda acc, p: F.transform(acc, lambda x, i: x + F.coalesce(F.get(acc, i - p), F.lit(0)))
+    return let(values, lambda v: F.aggregate(F.filter(F.array(*map(F.lit, POWERS)), lambda p: p < F.size(v)), v, add))
+
+
 def matches(text: Column, pattern: str, rank: int, keep: Column | None = None) -> Column:
     """Spans (code points, end exclusive) of the leftmost non-overlapping matches; keep: an array of booleans by match.
 
     The text between matches and the matches themselves alternate, so running lengths give the places.
     """
-    spans = F.aggregate(
-        F.arrays_zip(
-            F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
-            F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length).alias("size"),
-            (keep if keep is not None else F.array().cast("array<boolean>")).alias("keep"),
-        ),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + F.coalesce(m["size"], F.lit(0))).alias("at"),
-            F.when(
-                m["size"].isNotNull() & F.coalesce(m["keep"], F.lit(True)),
-                F.array_append(
-                    acc["spans"],
-                    F.struct((acc["at"] + m["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + m["gap"] + m["size"]).alias("end")),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+    parts = F.arrays_zip(
+        F.transform(F.split(text, pattern, -1), F.length).alias("gap"),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length).alias("size"),
+        (keep if keep is not None else F.array().cast("array<boolean>")).alias("keep"),
     )
-    return spans
+
+    def spans(parts: Column, ends: Column) -> Column:
+        span = lambda m, i: F.struct((F.get(ends, i) - m["size"]).alias("start"), F.lit(rank).alias("rank"), F.get(ends, i).alias("end"))
+        return F.filter(F.transform(parts, lambda m, i: F.when(m["size"].isNotNull() & F.coalesce(m["keep"], F.lit(True)), span(m, i))), lambda s: s.isNotNull())
+
+    return let(parts, lambda p: let(running(F.transform(p, lambda m: m["gap"] + F.coalesce(m["size"], F.lit(0)))), lambda ends: spans(p, ends)))
+
+
+def apart(runs: Column, base: Column) -> Column:
+    """Of runs, in order and apart from each other, whether they overlap no base span.
+
+    Sorted ends and starts are counted in passing: a run is free if as many base spans end before it as start before its end.
+    """
+    mark = lambda at, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"))
+    places = F.concat(F.transform(runs, lambda r: mark(r["end"], 0)), F.transform(base, lambda b: mark(b["end"], 1)), F.transform(base, lambda b: mark(b["start"], 2)), F.transform(runs, lambda r: mark(r["start"], 3)))
+
+    def free(places: Column, sums: Column) -> Column:
+        at = lambda kind: F.filter(F.transform(places, lambda e, i: F.when(e["kind"] == kind, F.get(sums, i))), lambda x: x.isNotNull())
+        return F.zip_with(at(0), at(3), lambda end, start: F.shiftrightunsigned(end, 32) <= start.bitwiseAND(F.lit((1 << 32) - 1)))
+
+    count = lambda e: F.when(e["kind"] == 2, F.lit(1 << 32)).when(e["kind"] == 1, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+    return let(F.sort_array(places), lambda p: let(running(F.transform(p, count)), lambda sums: free(p, sums)))
 
 
 def base_spans(text: Column) -> Column:
@@ -153,15 +176,17 @@ def least_evidence(counts: Sequence[tuple[int, int, int]], level: float) -> dict
 def secret_spans(docs: DataFrame, *, keep: Sequence[str] = ("doc_id",), level: float = 0.05) -> DataFrame:
     """``keep`` columns of every row, with ``base`` and ``spans``: arrays of (start, rank, end), rank indexing KINDS.
 
-    Null and empty texts have no spans.  Rows are told apart by a number of their own, so null or repeated ids are kept
+    Null and empty texts have no spans.  Very long texts are scanned whole; a long run of characters is one candidate and is
+    held as a list of its characters while it is tested.  Ties between spans go by start, then kind.  Rows are told apart by a number of their own, so null or repeated ids are kept
     as they are; equal texts have equal spans.  A random span never overlaps a base span.  An empty table gives no rows;
-    columns outside ``keep`` (and text) are not read.
+    columns outside ``keep`` (and text) are not read; ``keep`` has neither base_spans nor all_spans.
     """
     text = F.coalesce("text", F.lit(""))
     runs = F.when(text.rlike(CANDIDATE), matches(text, CANDIDATE, 3)).otherwise(F.array().cast(SPAN))
     scanned = docs.select(*(F.col(c).alias(f"k_{c}") for c in keep), text.alias("t"), base_spans(text).alias("base"), runs.alias("runs"))
-    fresh = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    tokens = F.transform(fresh, lambda r: F.struct(r.alias("span"), F.substring(F.col("t"), r["start"] + 1, r["end"] - r["start"]).alias("token")))
+    free = F.when(F.size("base") > 0, apart(F.col("runs"), F.col("base")))
+    pairs = F.arrays_zip(F.col("runs").alias("span"), F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("token"), F.coalesce(free, F.array().cast("array<boolean>")).alias("free"))
+    tokens = F.when(F.size("runs") > 0, F.transform(F.filter(pairs, lambda f: F.coalesce(f["free"], F.lit(True))), lambda f: F.struct(f["span"].alias("span"), f["token"].alias("token"))))
     scanned = scanned.select(*(f"k_{c}" for c in keep), "base", tokens.alias("found")).withColumn("row", F.monotonically_increasing_id())
     scanned = written(scanned, "scanned")
     candidates = tested(scanned.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*"))
@@ -188,29 +213,43 @@ def listed(spans: str) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span, or run of overlapping spans, replaced by ``mark``."""
-    done = F.aggregate(
-        spans,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
-    )
+    """The text with every span, or run of overlapping spans, replaced by ``mark``.
+
+    It is cut into pieces of PIECE code points, and these at the ends and starts of spans; each cut is then short.
+    """
+    cut = lambda at, step, kind: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.lit(step).alias("step"))
+
+    def joined(pieces: Column, cuts: Column, depth: Column) -> Column:
+        def part(c: Column, i: Column) -> Column:
+            place, stop = c["at"], F.get(cuts, i + 1)["at"]
+            own = F.substring(F.get(pieces, F.floor(place / PIECE).cast("int")), place % PIECE + 1, stop - place)
+            return F.when((c["step"] == 1) & (F.get(depth, i) == 1), F.lit(mark)).when((F.get(depth, i) == 0) & (stop > place), own).otherwise(F.lit(""))
+
+        return F.array_join(F.transform(cuts, part), "")
+
+    def cuts(pieces: Column) -> Column:
+        edges = F.transform(pieces, lambda _, i: cut(i * PIECE, 0, 1))
+        ends, starts = F.transform(spans, lambda s: cut(s["end"], -1, 0)), F.transform(spans, lambda s: cut(s["start"], 1, 2))
+        return F.sort_array(F.concat(edges, ends, starts, F.array(cut(F.length(text), 0, 3))))
+
+    whole = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    done = let(whole, lambda p: let(cuts(p), lambda c: let(running(F.transform(c, lambda x: x["step"])), lambda depth: joined(p, c, depth))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """All rows and columns of ``docs``, each secret in the text replaced by a mark and n_chars counted anew.
 
-    A null text stays null.
+    A null text stays null, an empty one empty; very long texts are masked whole; overlapping spans get one mark; repeated
+    rows are masked alike, null and repeated ids kept.  Extra columns may have any name.  An empty table gives no rows.
     """
-    found = secret_spans(docs, keep=docs.columns)
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.toDF(*at.values()).withColumnRenamed(at["text"], "text")
+    found = secret_spans(plain, keep=plain.columns)
     changed = found.withColumn("text", redacted(F.col("text"), F.col("all_spans")))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("all_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+    if "n_chars" in at:
+        changed = changed.withColumn(at["n_chars"], F.when(F.size("all_spans") > 0, F.length("text").cast("long")).otherwise(F.col(at["n_chars"])))
+    return changed.select(*plain.columns).toDF(*docs.columns)
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
