@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import json
-import shutil
-import tempfile
-from functools import lru_cache
-from pathlib import Path
+import uuid
+from collections import OrderedDict
 
 import numpy as np
 from pyarrow import fs
@@ -84,14 +81,16 @@ class EliasFano:
         high = (select(self.high, self.ones, i, True) - i).astype(np.uint64)
         return (high << np.uint64(self.l)) | self.lows(i)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """The place of each ``x`` in the sequence, -1 where it isn't: by halves among those of its high bits, which may be
-        many where the sequence is dense."""
+    def find(self, x: np.ndarray, first: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
+        """The place of each ``x`` in the sequence, or between places ``first`` and ``stop`` of it, -1 where it isn't: by
+        halves among those of its high bits, which may be many where the sequence is dense."""
         high, low = (x >> np.uint64(self.l)).astype(np.int64), x & np.uint64((1 << self.l) - 1)
         end = select(self.high, self.zeros, high, False) - high
         start = np.zeros(len(x), np.int64)
         later = np.flatnonzero(high > 0)
         start[later] = select(self.high, self.zeros, high[later] - 1, False) - high[later] + 1
+        if first is not None:
+            start, end = np.maximum(start, first), np.minimum(end, stop)
         last, open_ = end.copy(), np.flatnonzero(start < end)
         while len(open_):
             middle = (start[open_] + last[open_]) >> 1
@@ -120,31 +119,47 @@ def save(uri: str, sequences: dict[str, EliasFano], more: dict[str, np.ndarray],
     line += b" " * (-(len(line) + 1) % 8) + b"\n"
     system, path = fs.FileSystem.from_uri(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(path) as out:
+    own = f"{path}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as out:
         out.write(line)
         for a in held.values():
             out.write(a.tobytes() + bytes(-a.nbytes % 8))
-
-
-@lru_cache(1)
-def _own_folder() -> str:
-    folder = tempfile.mkdtemp(prefix="segmenta-lm-")
-    atexit.register(shutil.rmtree, folder, True)
-    return folder
-
-
-@lru_cache(100_000)
-def load(uri: str) -> tuple[dict[str, EliasFano], dict[str, np.ndarray], dict]:
-    """A file of ``save`` mapped into memory.  From a store that can't be mapped it is first copied to this process's own
-    temporary folder, which goes with the process."""
-    system, path = fs.FileSystem.from_uri(uri)
-    if not isinstance(system, fs.LocalFileSystem):
-        own = Path(_own_folder(), uri.rpartition("/")[2])
-        fs.copy_files(path, str(own), source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
-        path = str(own)
-    with open(path, "rb") as f:
-        line = f.readline()
-    whole, head = np.memmap(path, np.uint8, "r", offset=0), json.loads(line)
-    arrays = {k: whole[len(line) + at : len(line) + at + n * np.dtype(kind).itemsize].view(kind) for k, kind, n, at in head["arrays"]}
-    sequences = {k: EliasFano(n, low, {p: arrays.pop(f"{k}.{p}") for p in ("low", "high", "ones", "zeros")}) for k, (n, low) in head["sequences"].items()}
-    return sequences, arrays, head["about"]
+    try:
+        system.move(own, path)
+    except OSError:  # some stores don't replace; another attempt of the task has written the same
+        if system.get_file_info(path).type != fs.FileType.File:
+            raise
+        system.delete_file(own)
+
+
+class Opened:
+    """The files used last: mapped ones by number, those of a store that can't be mapped by their bytes in memory."""
+
+    def __init__(self, files: int = 4096, size: int = 256 << 20):
+        self.files, self.size, self.held, self.used = files, size, OrderedDict(), 0
+
+    def __call__(self, uri: str) -> tuple[dict[str, EliasFano], dict[str, np.ndarray], dict]:
+        if uri in self.held:
+            self.held.move_to_end(uri)
+            return self.held[uri][0]
+        system, path = fs.FileSystem.from_uri(uri)
+        if isinstance(system, fs.LocalFileSystem):
+            whole, cost = np.memmap(path, np.uint8, "r"), 0
+        else:
+            with system.open_input_file(path) as f:
+                whole = np.frombuffer(f.read(), np.uint8)
+            cost = len(whole)
+        while self.held and (len(self.held) >= self.files or self.used + cost > self.size):
+            self.used -= self.held.popitem(last=False)[1][1]
+        start = bytes(whole[: 1 << 16])
+        line = start[: start.index(b"\n") + 1]
+        head = json.loads(line)
+        arrays = {k: whole[len(line) + at : len(line) + at + n * np.dtype(kind).itemsize].view(kind) for k, kind, n, at in head["arrays"]}
+        sequences = {k: EliasFano(n, low, {p: arrays.pop(f"{k}.{p}") for p in ("low", "high", "ones", "zeros")}) for k, (n, low) in head["sequences"].items()}
+        self.held[uri] = ((sequences, arrays, head["about"]), cost)
+        self.used += cost
+        return self.held[uri][0]
+
+
+#: Opens a file of ``save``: its sequences, other arrays, and what else it says.
+load = Opened()

@@ -1,141 +1,236 @@
-"""LM scoring with an Elias-Fano n-gram trie.
+"""LM scoring with an Elias-Fano n-gram trie of three levels.
 
 Level one, the vocabulary: 64-bit hashes of the training words in order, and monotone pointers into the stream of all
 training tokens sorted by word, so a word's count is the difference of two pointers.  A word's place in that order is its
-id.  Level two: the words seen after each word, as one rising sequence of (place of the context in the level above, id of
-the successor), searched from where its high bits start; by each successor stands its smoothed probability, quantised to
-one of 256 values.  P(w | c) = (n(c w) + mu P(w)) / (n(c) + mu), and P(w) is the add-one base; a pair that was not seen has
-the context's share mu / (n(c) + mu) of P(w).
-
-Both levels are files in the shared folder, cut by ranges of hashes and of the sorted token stream; a frequent context is
-cut inside its successors, so no part is larger for it.  They grow with the corpus and are mapped, not loaded or broadcast.
-Tasks count what they have read before anything is shuffled, and send sorted differences, packed.
+id.  Level two has the successors of each word, level three those of each pair.  Both are stored alike: a monotone pointer
+for each context into the level's successors, and the ids of the successors as one rising sequence, where those of a
+context start above the last value of the context before.  So a successor is searched relative to its context: two
+pointers bracket it, the value before the bracket is its zero, and the search stays inside.
+
+By each pair stand its smoothed probability and what its contexts leave to shorter ones, by each triple its share, each
+quantised to one of 256 values:
+
+    P(w)       = (n(w) + 1) / (N + V + 1)                                   the add-one base
+    P(w | b)   = (n(b w) + MU P(w)) / (n(b) + MU)                           level two; not seen: MU P(w) / (n(b) + MU)
+    P(w | a b) = n(a b w) / (n(a b) + NU) + NU / (n(a b) + NU) P(w | b)     level three; a b not seen: P(w | b)
+
+A text's first word follows the end of a text and has no pair before it.
+
+Files in the shared folder hold the levels, cut by ranges of hashes (WORD_PARTS files, whatever the corpus) and of the sorted
+token stream (PART tokens each; a frequent context is cut inside its successors).  They are mapped, not loaded or broadcast,
+and found by number, so a task is sent some sums and a bit by file.  Tasks count what they have read before anything is
+shuffled, and send sorted differences, packed; parts merge them batch by batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .elias_fano import EliasFano, load, save
 from .shared import documents, fold, fresh_path
 
 #: The end of a text, which is also the context of its first word: no word is empty.
 END = xxhash.xxh64_intdigest(b"")
-#: Tokens that a task counts together.
-TOGETHER = 2_000_000
-#: Training tokens by part of level two.
-PART = 4_000_000
-MU = 50.0
+#: Bytes of text that a task counts together.
+TOGETHER = 12 << 20
+#: Ranges of word hashes, a power of two; training tokens by part of levels two and three.
+WORD_PARTS, PART = 256, 4_000_000
+#: Counts that a part holds before it merges them.
+HELD = 8_000_000
+MU, NU = 20.0, 2.0
+
+
+@dataclass
+class Tokens:
+    """Texts as places in ``hashes`` (rising): words, A-Z lower-cased, cut at ASCII white space, and the end after each text."""
+
+    hashes: np.ndarray
+    words: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Tokens:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        words, owner = split.flatten(), pc.list_parent_indices(split)
+        some = pc.greater(pc.binary_length(words), 0)
+        coded = words.filter(some).dictionary_encode()
+        own = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        hashes, place = np.unique(np.append(own, np.uint64(END)), return_inverse=True)
+        sizes = np.bincount(owner.filter(some).to_numpy(zero_copy_only=False), minlength=len(texts)) + 1
+        out, ends = np.full(int(sizes.sum()), place[-1]), np.cumsum(sizes) - 1
+        inner = np.ones(len(out), bool)
+        inner[ends] = False
+        out[inner] = place[coded.indices.to_numpy(zero_copy_only=False)]
+        return cls(hashes, out, sizes)
 
+    @property
+    def end(self) -> int:
+        return int(np.searchsorted(self.hashes, np.uint64(END)))
+
+    def before(self) -> np.ndarray:
+        """The word before each; the end before a text's first."""
+        return np.concatenate([[self.end], self.words[:-1]])
 
-def hashes(text: str | None) -> np.ndarray:
-    """Hashes of the words of a text (A-Z lower-cased, cut at ASCII white space), then END."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    out[-1] = END
-    return out
+    def first(self) -> np.ndarray:
+        """Which words are the first of a text."""
+        return np.concatenate([[True], self.words[:-1] == self.end])
 
 
-def groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, int, int, list[np.ndarray]]]:
-    """Rows (batch, from, to) with the hashes of their texts, about TOGETHER at once."""
+def groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+    """Slices of about TOGETHER bytes of text, with their tokens."""
     for batch in batches:
-        held, size, start = [], 0, 0
-        for k, text in enumerate(batch.column(column)):
-            held.append(hashes(text.as_py()))
-            size += len(held[-1])
-            if size >= TOGETHER or k + 1 == batch.num_rows:
-                yield batch, start, k + 1, held
-                held, size, start = [], 0, k + 1
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + TOGETHER, side="right")))
+            part = batch.slice(start, stop - start)
+            yield part, Tokens.of(part.column(column))
+            start = stop
+
+
+def summed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Different keys in order, by the first array and then the next, with their summed counts."""
+    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys, counts = tuple(k[order] for k in keys), counts[order]
+    if not len(counts):
+        return keys, counts
+    first = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+    return tuple(k[first] for k in keys), np.add.reduceat(counts, first)
 
 
-def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.diff(np.append(first, len(keys)))
+def planes(values: np.ndarray, kind: str) -> bytes:
+    """An array byte plane by byte plane, so that equal high bytes stand together."""
+    return values.astype(kind).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
 
-def packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, and counts, byte plane by byte plane, compressed."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(steps + counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def unplanes(raw: np.ndarray, n: int, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(raw[: n * np.dtype(kind).itemsize].reshape(-1, n).T).view(kind)[:, 0] if n else np.zeros(0, kind)
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def packed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> bytes:
+    """Sorted keys and counts, compressed: the first keys as differences, the others as they are."""
+    steps = np.diff(keys[0], prepend=keys[0].dtype.type(0))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([planes(steps, "<u8"), *(planes(k, "<u8") for k in keys[1:]), planes(counts, "<u4")]))
+
+
+def unpacked(blob: bytes, width: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(raw) // 12
-    keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view("<u8")[:, 0], dtype=np.uint64)
-    return keys, np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view("<u4")[:, 0].astype(np.int64)
+    n = len(raw) // (8 * width + 4)
+    keys = tuple(unplanes(raw[8 * n * k :], n, "<u8") for k in range(width))
+    return (np.cumsum(keys[0], dtype=np.uint64), *keys[1:]), unplanes(raw[8 * n * width :], n, "<u4").astype(np.int64)
 
 
-def by_part(part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+def by_part(part: np.ndarray, keys: tuple[np.ndarray, ...], counts: np.ndarray) -> pa.RecordBatch:
     """Rows (part, blob) of keys in order of part."""
     numbers, first = np.unique(part, return_index=True)
-    last = np.append(first[1:], len(part))
-    return pa.record_batch([pa.array(numbers.astype(np.int64)), pa.array([packed(keys[a:b], counts[a:b]) for a, b in zip(first, last, strict=True)], pa.binary())], ["part", "blob"])
+    blobs = [packed(tuple(k[a:b] for k in keys), counts[a:b]) for a, b in zip(first, np.append(first[1:], len(part)), strict=True)]
+    return pa.record_batch([pa.array(numbers.astype(np.int64)), pa.array(blobs, pa.binary())], ["part", "blob"])
+
 
+def merged(batches: Iterator[pa.RecordBatch], width: int) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """The different keys of all blobs with their summed counts, merged whenever HELD of them wait."""
+    none = np.zeros(0, np.uint64)
+    keys, counts, waiting, held = (none,) * width, np.zeros(0, np.int64), [], 0
 
-def merged(blobs: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all blobs with their summed counts."""
-    every = [unpacked(b) for b in blobs]
-    keys, counts = np.concatenate([k for k, _ in every]), np.concatenate([c for _, c in every])
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts, first)
+    def all_of() -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+        every = [(keys, counts), *waiting]
+        return summed(tuple(np.concatenate([e[0][k] for e in every]) for k in range(width)), np.concatenate([e[1] for e in every]))
+
+    for batch in batches:
+        for blob in batch.column(batch.schema.get_field_index("blob")):
+            waiting.append(unpacked(blob.as_py(), width))
+            held += len(waiting[-1][1])
+            if held >= HELD:
+                keys, counts = all_of()
+                waiting, held = [], 0
+    return all_of()
+
+
+def coded(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes, and their 256 values: the means of what falls into equal steps between the least and the largest."""
+    if not len(logs):
+        return np.zeros(0, np.uint8), np.zeros(256)
+    codes = np.searchsorted(np.linspace(logs.min(), logs.max(), 257)[1:-1], logs, side="right")
+    return codes.astype(np.uint8), np.bincount(codes, logs, 256) / np.maximum(1, np.bincount(codes, minlength=256))
+
+
+def level(context_of: np.ndarray, successors: np.ndarray, contexts: int, universe: int) -> dict[str, EliasFano]:
+    """Pointers and successors of a level from (context, successor) in order; successors are below ``universe``."""
+    pointer = np.searchsorted(context_of, np.arange(contexts + 1))
+    last = successors[np.maximum(pointer[1:] - 1, 0)].astype(np.int64)
+    zero = np.concatenate([[0], np.cumsum(np.where(pointer[1:] > pointer[:-1], last + 1, 0))])  # above the contexts before
+    values = (successors.astype(np.int64) + zero[context_of]).astype(np.uint64)
+    return {"pointer": EliasFano.build(pointer.astype(np.uint64), len(successors) + 1), "successor": EliasFano.build(values, int(zero[-1]) + universe + 1)}
+
+
+def search(sequences: dict[str, EliasFano], at: str, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    """Where the successors of contexts (in order) stand in a level, -1 if they don't: inside what the pointers bracket."""
+    pointer, found = sequences[f"{at}pointer"], sequences[f"{at}successor"]
+    if not len(context) or not found.n:
+        return np.full(len(context), -1, np.int64)
+    new = np.concatenate([[True], context[1:] != context[:-1]])
+    own, rank = context[new], np.cumsum(new) - 1
+    start, stop = (pointer.get(own + k).astype(np.int64) for k in (0, 1))
+    zero = np.where(start > 0, found.get(np.maximum(start - 1, 0)).astype(np.int64) + 1, 0)
+    return found.find((successor + zero[rank]).astype(np.uint64), start[rank], stop[rank])
 
 
 @dataclass
 class Trie:
-    """Where the parts of a model are.  words/tokens: before each part of level one, and in all."""
+    """Where the parts of a model are.  words/tokens: before each part of level one, and in all; pairs: a bit by part."""
 
-    bits: int
-    vocabulary: list[str]
-    words: list[int]
-    tokens: list[int]
-    pairs: list[str]
+    folder: str
+    words: np.ndarray
+    tokens: np.ndarray
+    pairs: np.ndarray
 
     @property
     def V(self) -> int:  # noqa: N802
-        return self.words[-1]
+        return int(self.words[-1])
 
     @property
     def N(self) -> int:  # noqa: N802
-        return self.tokens[-1]
+        return int(self.tokens[-1])
+
+    def vocabulary(self, k: int) -> str:
+        return f"{self.folder}/words-{k:04d}"
+
+    def part_name(self, k: int) -> str:
+        return f"{self.folder}/pairs-{k % 1000:03d}/{k:09d}"
 
     def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """id (-1: unknown), count, and tokens of words before it, for sorted different hashes."""
         ids, counts, before = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
-        edges = np.searchsorted(h, (np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)) if self.bits else np.zeros(0, np.uint64))
-        edges = np.concatenate([[0], edges, [len(h)]])
-        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
-            if a == b or not self.vocabulary[k]:
+        numbers, first = np.unique(word_part(h), return_index=True)
+        for k, a, b in zip(numbers.tolist(), first.tolist(), np.append(first[1:], len(h)).tolist(), strict=True):
+            if self.words[k] == self.words[k + 1]:
                 continue
-            level = load(self.vocabulary[k])[0]
-            place = level["hash"].find(h[a:b] & np.uint64((1 << (64 - self.bits)) - 1))
+            found = load(self.vocabulary(k))[0]
+            place = found["hash"].find(h[a:b] % np.uint64(WORD_RANGE))
             known = np.flatnonzero(place >= 0)
-            at = level["pointer"].get(place[known])
-            counts[a + known] = (level["pointer"].get(place[known] + 1) - at).astype(np.int64)
+            at = found["pointer"].get(place[known])
+            counts[a + known] = (found["pointer"].get(place[known] + 1) - at).astype(np.int64)
             ids[a + known], before[a + known] = place[known] + self.words[k], at.astype(np.int64) + self.tokens[k]
         return ids, counts, before
 
     def counts_of(self, ids: np.ndarray) -> np.ndarray:
         """Counts of words by id, in any order."""
         out = np.zeros(len(ids), np.int64)
-        part = np.searchsorted(np.array(self.words), ids, side="right") - 1
+        part = np.searchsorted(self.words, ids, side="right") - 1
         for k in np.unique(part).tolist():
             at = np.flatnonzero(part == k)
             different, back = np.unique(ids[at] - self.words[k], return_inverse=True)
-            pointer = load(self.vocabulary[k])[0]["pointer"]
+            pointer = load(self.vocabulary(k))[0]["pointer"]
             out[at] = (pointer.get(different + 1) - pointer.get(different)).astype(np.int64)[back]
         return out
 
@@ -143,126 +238,153 @@ class Trie:
         return (counts + 1.0) / (self.N + self.V + 1.0)
 
     def part(self, before: np.ndarray, counts: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """The part of level two where a pair belongs: its context's tokens are cut by the successor's id.
+        """The part where a pair and its triples belong: its context's tokens are cut by the successor's id.
 
         Rises with (context, successor).
         """
         place = before + np.floor(counts * (successor / max(1, self.V))).astype(np.int64)
         return np.minimum(place // PART, self.N // PART)
 
-    def pair_logs(self, c: np.ndarray, w: np.ndarray, part: np.ndarray) -> np.ndarray:
-        """log10 P(w | c) of sorted pairs of known ids, nan where the pair was not seen."""
-        out = np.full(len(c), np.nan)
+    def look_up(self, c: np.ndarray, w: np.ndarray, part: np.ndarray, owner: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of sorted pairs of known ids: P(w | c) (nan if not seen) and what they leave to it (1 if not seen); and of
+        triples (``owner``, the place of a pair, in order, and x): their shares, 0 if not seen."""
+        prob, rest, share = np.full(len(c), np.nan), np.ones(len(c)), np.zeros(len(x))
         numbers, first = np.unique(part, return_index=True)
-        for k, a, b in zip(numbers.tolist(), first.tolist(), np.append(first[1:], len(part)).tolist(), strict=True):
-            if not self.pairs[k]:
+        stops = np.append(first[1:], len(part))
+        for k, a, b, t, u in zip(numbers.tolist(), first.tolist(), stops.tolist(), np.searchsorted(owner, first).tolist(), np.searchsorted(owner, stops).tolist(), strict=True):
+            if not self.pairs[k // 8] >> (k % 8) & 1:
                 continue
-            level, more, _ = load(self.pairs[k])
+            levels, more, _ = load(self.part_name(k))
             new = np.concatenate([[True], c[a + 1 : b] != c[a : b - 1]])
-            rank = level["context"].find(c[a:b][new].astype(np.uint64))[np.cumsum(new) - 1]
-            known = np.flatnonzero(rank >= 0)
-            # the successors of the context of rank r stand at V r + id, between two pointers
-            place = level["successor"].find((rank[known] * self.V + w[a:b][known]).astype(np.uint64))
-            seen = place >= 0
-            out[a + known[seen]] = more["values"][more["codes"][place[seen]]]
-        return out
+            rank = levels["context"].find(c[a:b][new].astype(np.uint64))[np.cumsum(new) - 1]
+            inside = np.flatnonzero(rank >= 0)
+            place = np.full(b - a, -1, np.int64)
+            place[inside] = search(levels, "2.", rank[inside], w[a:b][inside])
+            seen = np.flatnonzero(place >= 0)
+            prob[a + seen], rest[a + seen] = more["probs"][more["prob"][place[seen]]], more["rests"][more["rest"][place[seen]]]
+            of = place[owner[t:u] - a]
+            inside = np.flatnonzero(of >= 0)
+            at = search(levels, "3.", of[inside], x[t:u][inside])
+            share[t + inside[at >= 0]] = more["shares"][more["share"][at[at >= 0]]]
+        return prob, rest, share
+
+
+WORD_RANGE = (1 << 64) // WORD_PARTS
+
+
+def word_part(h: np.ndarray) -> np.ndarray:
+    return (h // np.uint64(WORD_RANGE)).astype(np.int64)
 
 
 def train(docs: DataFrame, folder: str) -> Trie:
-    """Counts all words and pairs of words of ``docs`` and writes both levels of the trie to ``folder``."""
+    """Counts all words, pairs and triples of ``docs`` and writes the levels of the trie to ``folder``."""
     texts = docs.select("text")
-    bits = max(0, (docs.rdd.getNumPartitions() - 1).bit_length())
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, held in groups(batches, 0):
-            keys, counts = counted(np.concatenate(held))
-            yield by_part((keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64), keys, counts)
-
-    def vocabulary(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, counts = merged(table.column("blob").to_pylist())
-        uri = f"{folder}/words-{key[0].as_py():06d}-{TaskContext.get().taskAttemptId()}"
-        keys = keys & np.uint64((1 << (64 - bits)) - 1)
+        for _, t in groups(batches, 0):
+            yield by_part(word_part(t.hashes), (t.hashes,), np.bincount(t.words, minlength=len(t.hashes)))
+
+    def of_part(make: Callable[[int, Iterator[pa.RecordBatch]], list[int]]) -> Callable:
+        """Rows (part, numbers) of what ``make`` returns for each part."""
+
+        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.record_batch([pa.array([key[0].as_py()]), pa.array([make(key[0].as_py(), batches)], pa.list_(pa.int64()))], ["part", "numbers"])
+
+        return run
+
+    trie = Trie(folder, np.zeros(1), np.zeros(1), np.zeros(0, np.uint8))
+
+    def vocabulary(k: int, batches: Iterator[pa.RecordBatch]) -> list[int]:
+        (keys,), counts = merged(batches, 1)
+        # a text has its end even if all its words are others, so an end that was only looked for has no count
+        keys, counts = keys[counts > 0], counts[counts > 0]
         pointers = np.concatenate([[0], np.cumsum(counts)]).astype(np.uint64)
-        save(uri, {"hash": EliasFano.build(keys, 1 << (64 - bits)), "pointer": EliasFano.build(pointers, int(pointers[-1]) + 1)}, {}, {})
-        return pa.table({"part": [key[0].as_py()], "uri": [uri], "words": [len(keys)], "tokens": [int(pointers[-1])]})
+        save(trie.vocabulary(k), {"hash": EliasFano.build(keys % np.uint64(WORD_RANGE), WORD_RANGE), "pointer": EliasFano.build(pointers, int(pointers[-1]) + 1)}, {}, {})
+        return [len(keys), int(pointers[-1])]
 
     blobs = texts.mapInArrow(words, "part long, blob binary")
-    found = {r[0]: r[1:] for r in blobs.groupBy("part").applyInArrow(vocabulary, "part long, uri string, words long, tokens long").collect()}
-    listed = [found.get(k, ("", 0, 0)) for k in range(1 << bits)]
-    sums = np.concatenate([[[0, 0]], np.cumsum([r[1:] for r in listed], axis=0)]).tolist()
-    trie = Trie(bits, [r[0] for r in listed], [s[0] for s in sums], [s[1] for s in sums], [])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, held in groups(batches, 0):
-            h, back = np.unique(np.concatenate(held), return_inverse=True)
-            ids, counts, before = trie.lookup(h)
-            end = int(ids[np.searchsorted(h, np.uint64(END))])
-            w = ids[back]
-            c = np.concatenate([[end], w[:-1]])  # a text's first word follows the END of the one before, or of none
-            keys, n = counted(c.astype(np.uint64) * np.uint64(trie.V) + w.astype(np.uint64))
-            c, w = (keys // np.uint64(trie.V)).astype(np.int64), (keys % np.uint64(trie.V)).astype(np.int64)
-            at = np.searchsorted(ids, c)  # ids rise with hashes and all are known
-            yield by_part(trie.part(before[at], counts[at], w), keys, n)
-
-    def successors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, n = merged(table.column("blob").to_pylist())
-        c, w = (keys // np.uint64(trie.V)).astype(np.int64), (keys % np.uint64(trie.V)).astype(np.int64)
-        contexts, first, rank = np.unique(c, return_index=True, return_inverse=True)
-        base = trie.base(trie.counts_of(w))
-        logs = np.log10((n + MU * base) / (trie.counts_of(contexts)[rank] + MU))
-        # 256 values: the means of what falls into equal steps between the least and the largest logarithm
-        codes = np.searchsorted(np.linspace(logs.min(), logs.max(), 257)[1:-1], logs, side="right")
-        size = np.maximum(1, np.bincount(codes, minlength=256))
-        values = np.bincount(codes, logs, 256) / size
-        uri = f"{folder}/pairs-{key[0].as_py():08d}-{TaskContext.get().taskAttemptId()}"
-        pointers = np.append(first, len(c)).astype(np.uint64)
-        sequences = {
-            "context": EliasFano.build(contexts.astype(np.uint64), trie.V),
-            "pointer": EliasFano.build(pointers, len(c) + 1),
-            "successor": EliasFano.build((rank * trie.V + w).astype(np.uint64), len(contexts) * trie.V),
-        }
-        save(uri, sequences, {"codes": codes.astype(np.uint8), "values": values.astype("<f8")}, {})
-        return pa.table({"part": [key[0].as_py()], "uri": [uri]})
-
-    blobs = texts.mapInArrow(pairs, "part long, blob binary")
-    found = dict(tuple(r) for r in blobs.groupBy("part").applyInArrow(successors, "part long, uri string").collect())
-    trie.pairs = [found.get(k, "") for k in range(trie.N // PART + 1)]
+    found = dict(tuple(r) for r in blobs.groupBy("part").applyInArrow(of_part(vocabulary), "part long, numbers array<long>").collect())
+    sums = np.concatenate([[[0, 0]], np.cumsum([found.get(k, [0, 0]) for k in range(WORD_PARTS)], axis=0)])
+    trie.words, trie.tokens = sums[:, 0], sums[:, 1]
+
+    def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(pair, next word) with V for no next word after a text's end: pairs are counted by what follows them."""
+        for _, t in groups(batches, 0):
+            ids, counts, before = trie.lookup(t.hashes)
+            n = len(t.hashes)
+            pairs, of = np.unique(t.before() * n + t.words, return_inverse=True)
+            after = np.append(t.words[1:], 0)
+            after[t.words == t.end] = n
+            (key,), times = summed((of * (n + 1) + after,), np.ones(len(of), np.int64))
+            c, w = pairs // n, pairs % n
+            part, of, after = trie.part(before[c], counts[c], ids[w]), key // (n + 1), key % (n + 1)
+            pair = ids[c].astype(np.uint64) * np.uint64(trie.V) + ids[w].astype(np.uint64)
+            yield by_part(part[of], (pair[of], np.append(ids, trie.V)[after].astype(np.uint64)), times)
+
+    def successors(k: int, batches: Iterator[pa.RecordBatch]) -> list[int]:
+        (pair_of, after), n = merged(batches, 2)
+        after = after.astype(np.int64)
+        pairs, first, rank = np.unique(pair_of, return_index=True, return_inverse=True)
+        c, w = (pairs // np.uint64(trie.V)).astype(np.int64), (pairs % np.uint64(trie.V)).astype(np.int64)
+        times = np.add.reduceat(n, first)
+        contexts, context_of = np.unique(c, return_inverse=True)
+        prob, probs = coded(np.log10((times + MU * trie.base(trie.counts_of(w))) / (trie.counts_of(contexts)[context_of] + MU)))
+        rest, rests = coded(np.log10(NU / (times + NU)))
+        inner = after < trie.V
+        share, shares = coded(np.log10(n[inner] / (times[rank[inner]] + NU)))
+        levels = {"context": EliasFano.build(contexts.astype(np.uint64), trie.V)}
+        for name, made in (("2.", level(context_of, w, len(contexts), trie.V)), ("3.", level(rank[inner], after[inner], len(pairs), trie.V))):
+            levels |= {name + key: sequence for key, sequence in made.items()}
+        arrays = {"prob": prob, "probs": 10.0**probs, "rest": rest, "rests": 10.0**rests, "share": share, "shares": 10.0**shares}
+        save(trie.part_name(k), levels, arrays, {})
+        return []
+
+    blobs = texts.mapInArrow(triples, "part long, blob binary")
+    there = np.zeros(-(-(trie.N // PART + 1) // 8) * 8, np.uint8)
+    there[[r[0] for r in blobs.groupBy("part").applyInArrow(of_part(successors), "part long, numbers array<long>").select("part").collect()]] = 1
+    trie.pairs = np.packbits(there, bitorder="little")
     return trie
 
 
 def scored(docs: DataFrame, trie: Trie) -> DataFrame:
     """Scores of every row's whole text: doc_id, n_tokens, n_known, train_tokens, base_score, score (sums of log10).
 
-    Null texts count as empty and have the end alone.  Without training text every probability is one.  Equal texts agree;
-    null and repeated ids are kept; an empty table gives no rows; other columns are not read.
+    Null texts count as empty and have the end alone.  A very long text is one piece: its tokens are held together.
+    Without training text every probability is one.  Equal texts agree; null and repeated ids are kept; an empty table
+    gives no rows; other columns are not read.
     """
+    names = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
+    shape = docs.select("doc_id").schema
+    for name, kind in names:
+        shape = shape.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, start, stop, held in groups(batches, 1):
-            sizes = np.array([len(x) for x in held])
-            begins = np.cumsum(sizes) - sizes
-            h, back = np.unique(np.append(np.concatenate(held), np.uint64(END)), return_inverse=True)
-            ids, counts, before = trie.lookup(h)
-            w, end = back[:-1], back[-1]
-            c = np.concatenate([[end], w[:-1]])
-            base = np.log10(trie.base(counts))
-            # unseen pairs share mu / (n(c) + mu); an unknown context gives all of it
-            logs = base[w] + np.log10(MU / (counts[c] + MU))
-            both = np.flatnonzero((ids[w] >= 0) & (ids[c] >= 0))
-            if len(both):
-                key, place = np.unique(ids[c[both]].astype(np.uint64) * np.uint64(trie.V) + ids[w[both]].astype(np.uint64), return_inverse=True)
-                pc, pw = (key // np.uint64(trie.V)).astype(np.int64), (key % np.uint64(trie.V)).astype(np.int64)
-                known = np.flatnonzero(ids >= 0)
-                at = known[np.searchsorted(ids[known], pc)]
-                found = trie.pair_logs(pc, pw, trie.part(before[at], counts[at], pw))[place]
-                logs[both] = np.where(np.isnan(found), logs[both], found)
-            n = stop - start
-            yield pa.record_batch(
-                [batch.column(0)[start:stop], pa.array(sizes), pa.array(np.add.reduceat((counts > 0)[w].astype(np.int64), begins)), pa.array(np.full(n, trie.N)), pa.array(np.add.reduceat(base[w], begins)), pa.array(np.add.reduceat(logs, begins))],
-                ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for batch, t in groups(batches, 1):
+            n, begins = len(t.hashes), np.cumsum(t.sizes) - t.sizes
+            ids, counts, before = trie.lookup(t.hashes)
+            base = trie.base(counts)
+            pairs, of = np.unique(t.before() * n + t.words, return_inverse=True)
+            c, w = pairs // n, pairs % n
+            prob = base[w] * (MU / (counts[c] + MU))  # what holds for pairs not seen; an unknown context leaves all to the base
+            rest, share = np.ones(len(pairs)), np.zeros(len(of))
+            known = np.flatnonzero((ids[c] >= 0) & (ids[w] >= 0))
+            if len(known):
+                place = np.full(len(pairs), -1, np.int64)
+                place[known] = np.arange(len(known))
+                owner = np.append(-1, place[of[:-1]])  # the pair before each token
+                third = np.flatnonzero((owner >= 0) & ~t.first() & (ids[t.words] >= 0))
+                triple, back = np.unique(owner[third] * n + t.words[third], return_inverse=True)
+                kc, kw = c[known], w[known]
+                seen, left, shares = trie.look_up(ids[kc], ids[kw], trie.part(before[kc], counts[kc], ids[kw]), triple // n, ids[triple % n])
+                prob[known] = np.where(np.isnan(seen), prob[known], seen)
+                rest[known], share[third] = left, shares[back]
+            first = t.first()
+            score = np.log10(share + np.where(first, 1.0, np.append(1.0, rest[of[:-1]])) * prob[of])
+            add = lambda x: pa.array(np.add.reduceat(x, begins))
+            columns = [pa.array(t.sizes.astype(np.int64)), add((counts > 0)[t.words].astype(np.int64)), pa.array(np.full(len(begins), trie.N)), add(np.log10(base)[t.words]), add(score)]
+            yield pa.record_batch([batch.column(0), *columns], shape.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
