@@ -47,7 +47,7 @@ TOGETHER = 12 << 20
 WORD_PARTS, PART = 256, 4_000_000
 #: Counts that a part holds before it merges them.
 HELD = 8_000_000
-MU, NU = 20.0, 2.0
+MU, NU = 100.0, 4.0
 
 
 @dataclass
