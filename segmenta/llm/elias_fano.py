@@ -9,33 +9,55 @@ from collections import OrderedDict
 import numpy as np
 from pyarrow import fs
 
-#: Words of the upper bits by entry of the directory of counts.
-BLOCK = 8
-
-
-def select(words: np.ndarray, before: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
-    """Where the k-th (from 0) one or zero of a bit string stands; before: how many there are before each block."""
-    block = np.searchsorted(before, k, side="right") - 1
-    left = k - before[block].astype(np.int64)
-    at = block * BLOCK
-    flip = np.uint64(0) if ones else np.uint64(0xFFFFFFFFFFFFFFFF)
-    chosen = words[at] ^ flip
-    open_ = np.ones(len(k), bool)
-    for step in range(1, BLOCK):
-        n = np.bitwise_count(chosen).astype(np.int64)
-        open_ &= left >= n
-        if not open_.any():
-            break
-        left = np.where(open_, left - n, left)
-        at = at + open_
-        chosen = np.where(open_, words[np.minimum(at, len(words) - 1)] ^ flip, chosen)
-    place = np.zeros(len(k), np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        n = np.bitwise_count((chosen >> place) & np.uint64((1 << width) - 1)).astype(np.int64)
-        go = left >= n
-        left -= np.where(go, n, 0)
-        place += np.where(go, np.uint64(width), np.uint64(0))
-    return at * 64 + place.astype(np.int64)
+#: Of the upper bits, ones from one whose place is noted to the next, and zeros: between these may stand many ones.
+STEP, ZERO_STEP = 32, 8
+ALL, ONES, HIGHS = (np.uint64(x) for x in (0xFFFFFFFFFFFFFFFF, 0x0101010101010101, 0x8080808080808080))
+
+
+def _places() -> np.ndarray:
+    """Where the k-th one of a byte stands, at 8 * byte + k."""
+    out = np.zeros(2048, np.uint8)
+    for byte in range(256):
+        ones = [i for i in range(8) if byte >> i & 1]
+        out[8 * byte : 8 * byte + len(ones)] = ones
+    return out
+
+
+PLACES = _places()
+
+
+def in_word(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Where the k-th one (uint64) of each word stands: counts by byte side by side, then a table for the byte."""
+    s = words - ((words >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * ONES  # ones up to each byte
+    place = np.bitwise_count(((k * ONES | HIGHS) - s) & HIGHS).astype(np.uint64) << np.uint64(3)
+    rank = k - (((s << np.uint64(8)) >> place) & np.uint64(255))
+    return place.astype(np.int64) + PLACES[(((words >> place) & np.uint64(255)) << np.uint64(3)) + rank]
+
+
+def select(words: np.ndarray, noted: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
+    """Where the k-th (from 0) one or zero of a bit string stands; noted: where each STEP-th or ZERO_STEP-th does."""
+    flip, step = (np.uint64(0), STEP) if ones else (ALL, ZERO_STEP)
+    start = noted[k // step].astype(np.int64)
+    at, left = start >> 6, k % step
+    chosen = (words[at] ^ flip) & (ALL << (start & 63).astype(np.uint64))
+    n = np.bitwise_count(chosen).astype(np.int64)
+    open_ = np.flatnonzero(left >= n)
+    while len(open_):
+        left[open_] -= n[open_]
+        at[open_] += 1
+        chosen[open_] = words[at[open_]] ^ flip
+        n[open_] = np.bitwise_count(chosen[open_])
+        open_ = open_[left[open_] >= n[open_]]
+    return (at << 6) + in_word(chosen, left.astype(np.uint64))
+
+
+def run_after(words: np.ndarray, at: np.ndarray, ones: bool) -> tuple[np.ndarray, np.ndarray]:
+    """How many ones (or zeros) follow a place without a break, and for which places the word does not tell."""
+    shift = (at & 63).astype(np.uint64)
+    rest = ((words[at >> 6] ^ (np.uint64(0) if not ones else ALL)) >> shift) >> np.uint64(1)  # what breaks the run is one
+    return np.bitwise_count((rest & -rest) - np.uint64(1)).astype(np.int64), np.flatnonzero(rest == 0)
 
 
 class EliasFano:
@@ -52,12 +74,11 @@ class EliasFano:
         low_bits = max(0, (universe // max(1, n)).bit_length() - 1)
         high = (values >> np.uint64(low_bits)).astype(np.int64)
         size = n + (universe >> low_bits) + 2
-        bits = np.zeros(-(-size // (64 * BLOCK)) * 64 * BLOCK, np.uint8)
+        bits = np.zeros(-(-size // 64) * 64, np.uint8)
         bits[high + np.arange(n)] = 1
         words = np.packbits(bits, bitorder="little").view("<u8")
-        per = np.bitwise_count(words).reshape(-1, BLOCK).sum(1, dtype=np.int64)
-        ones = np.concatenate([[0], np.cumsum(per)[:-1]])
-        zeros = np.arange(len(per)) * 64 * BLOCK - ones
+        ones, zeros = high[::STEP] + np.arange(n)[::STEP], np.flatnonzero(bits == 0)[::ZERO_STEP]
+        noted = np.uint32 if len(bits) < 1 << 32 else np.uint64
         low = np.zeros(-(-n * low_bits // 64) + 2, np.uint64)
         if low_bits:
             rest, at = values & np.uint64((1 << low_bits) - 1), np.arange(n, dtype=np.int64) * low_bits
@@ -65,7 +86,7 @@ class EliasFano:
             np.bitwise_or.at(low, word, rest << shift)
             over = np.flatnonzero((at & 63) + low_bits > 64)
             np.bitwise_or.at(low, word[over] + 1, rest[over] >> (np.uint64(64) - shift[over]))
-        return cls(n, low_bits, {"low": low, "high": words, "ones": ones.astype(np.uint64), "zeros": zeros.astype(np.uint64)})
+        return cls(n, low_bits, {"low": low, "high": words, "ones": ones.astype(noted), "zeros": zeros.astype(noted)})
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
@@ -81,14 +102,27 @@ class EliasFano:
         high = (select(self.high, self.ones, i, True) - i).astype(np.uint64)
         return (high << np.uint64(self.l)) | self.lows(i)
 
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at places ``i`` and at the places after them."""
+        at = select(self.high, self.ones, i, True)
+        gap, unknown = run_after(self.high, at, False)
+        after = at + gap + 1
+        after[unknown] = select(self.high, self.ones, i[unknown] + 1, True)
+        join = lambda at, i: ((at - i).astype(np.uint64) << np.uint64(self.l)) | self.lows(i)
+        return join(at, i), join(after, i + 1)
+
     def find(self, x: np.ndarray, first: np.ndarray | None = None, stop: np.ndarray | None = None) -> np.ndarray:
         """The place of each ``x`` in the sequence, or between places ``first`` and ``stop`` of it, -1 where it isn't: by
         halves among those of its high bits, which may be many where the sequence is dense."""
         high, low = (x >> np.uint64(self.l)).astype(np.int64), x & np.uint64((1 << self.l) - 1)
-        end = select(self.high, self.zeros, high, False) - high
-        start = np.zeros(len(x), np.int64)
+        before = np.full(len(x), -1, np.int64)  # the zero before those of the same high bits
         later = np.flatnonzero(high > 0)
-        start[later] = select(self.high, self.zeros, high[later] - 1, False) - high[later] + 1
+        before[later] = select(self.high, self.zeros, high[later] - 1, False)
+        start = before - high + 1
+        run, unknown = run_after(self.high, np.maximum(before, 0), True)
+        unknown = np.union1d(unknown, np.flatnonzero(before < 0))
+        end = start + run
+        end[unknown] = select(self.high, self.zeros, high[unknown], False) - high[unknown]
         if first is not None:
             start, end = np.maximum(start, first), np.minimum(end, stop)
         last, open_ = end.copy(), np.flatnonzero(start < end)
@@ -144,7 +178,7 @@ class Opened:
             return self.held[uri][0]
         system, path = fs.FileSystem.from_uri(uri)
         if isinstance(system, fs.LocalFileSystem):
-            whole, cost = np.memmap(path, np.uint8, "r"), 0
+            whole, cost = np.memmap(path, np.uint8, "r").view(np.ndarray), 0
         else:
             with system.open_input_file(path) as f:
                 whole = np.frombuffer(f.read(), np.uint8)

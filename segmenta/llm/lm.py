@@ -42,11 +42,11 @@ from .shared import documents, fold, fresh_path
 #: The end of a text, which is also the context of its first word: no word is empty.
 END = xxhash.xxh64_intdigest(b"")
 #: Bytes of text that a task counts together.
-TOGETHER = 12 << 20
+TOGETHER = 8 << 20
 #: Ranges of word hashes, a power of two; training tokens by part of levels two and three.
 WORD_PARTS, PART = 256, 4_000_000
 #: Counts that a part holds before it merges them.
-HELD = 8_000_000
+HELD = 4_000_000
 MU, NU = 100.0, 4.0
 
 
@@ -100,10 +100,13 @@ def groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 def summed(keys: tuple[np.ndarray, ...], counts: np.ndarray) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
     """Different keys in order, by the first array and then the next, with their summed counts."""
-    order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
-    keys, counts = tuple(k[order] for k in keys), counts[order]
     if not len(counts):
         return keys, counts
+    one = keys[0]
+    for more in keys[1:]:  # places of the first keys and the next key in one number, which sorts faster
+        one = np.unique(one, return_inverse=True)[1].astype(np.uint64) * (more.max() + np.uint64(1)) + more
+    order = np.argsort(one)
+    keys, counts = tuple(k[order] for k in keys), counts[order]
     first = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
     return tuple(k[first] for k in keys), np.add.reduceat(counts, first)
 
@@ -180,9 +183,14 @@ def search(sequences: dict[str, EliasFano], at: str, context: np.ndarray, succes
         return np.full(len(context), -1, np.int64)
     new = np.concatenate([[True], context[1:] != context[:-1]])
     own, rank = context[new], np.cumsum(new) - 1
-    start, stop = (pointer.get(own + k).astype(np.int64) for k in (0, 1))
+    start, stop = (edge.astype(np.int64) for edge in pointer.get_two(own))
     zero = np.where(start > 0, found.get(np.maximum(start - 1, 0)).astype(np.int64) + 1, 0)
-    return found.find((successor + zero[rank]).astype(np.uint64), start[rank], stop[rank])
+    size, asked = (stop - start)[rank], (successor + zero[rank]).astype(np.uint64)
+    out, one, more = np.full(len(context), -1, np.int64), np.flatnonzero(size == 1), np.flatnonzero(size > 1)
+    only = start[rank[one]]
+    out[one] = np.where(found.get(only) == asked[one], only, -1)
+    out[more] = found.find(asked[more], start[rank[more]], stop[rank[more]])
+    return out
 
 
 @dataclass
@@ -218,8 +226,8 @@ class Trie:
             found = load(self.vocabulary(k))[0]
             place = found["hash"].find(h[a:b] % np.uint64(WORD_RANGE))
             known = np.flatnonzero(place >= 0)
-            at = found["pointer"].get(place[known])
-            counts[a + known] = (found["pointer"].get(place[known] + 1) - at).astype(np.int64)
+            at, after = found["pointer"].get_two(place[known])
+            counts[a + known] = (after - at).astype(np.int64)
             ids[a + known], before[a + known] = place[known] + self.words[k], at.astype(np.int64) + self.tokens[k]
         return ids, counts, before
 
@@ -230,8 +238,8 @@ class Trie:
         for k in np.unique(part).tolist():
             at = np.flatnonzero(part == k)
             different, back = np.unique(ids[at] - self.words[k], return_inverse=True)
-            pointer = load(self.vocabulary(k))[0]["pointer"]
-            out[at] = (pointer.get(different + 1) - pointer.get(different)).astype(np.int64)[back]
+            first, after = load(self.vocabulary(k))[0]["pointer"].get_two(different)
+            out[at] = (after - first).astype(np.int64)[back]
         return out
 
     def base(self, counts: np.ndarray) -> np.ndarray:
@@ -315,7 +323,7 @@ def train(docs: DataFrame, folder: str) -> Trie:
             pairs, of = np.unique(t.before() * n + t.words, return_inverse=True)
             after = np.append(t.words[1:], 0)
             after[t.words == t.end] = n
-            (key,), times = summed((of * (n + 1) + after,), np.ones(len(of), np.int64))
+            key, times = np.unique(of * (n + 1) + after, return_counts=True)
             c, w = pairs // n, pairs % n
             part, of, after = trie.part(before[c], counts[c], ids[w]), key // (n + 1), key % (n + 1)
             pair = ids[c].astype(np.uint64) * np.uint64(trie.V) + ids[w].astype(np.uint64)
