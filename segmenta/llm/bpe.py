@@ -7,8 +7,9 @@ chain plus the longest token is the sufficient lookahead (``sufficient_lookahead
 before the end of the bytes read so far are final: ``Transducer`` emits them and forgets their bytes, so its memory does
 not grow with the text.
 
-Most pre-tokens are far shorter than the lookahead and end before it does; all those of a batch of texts are merged
-together in numpy (``merge_rows``), behind a table of recent pre-tokens of fixed size.
+Texts stream too: the last pre-tokens of what has been read wait for more, all others are final (``Encoder.stream``).  Most
+pre-tokens are far shorter than the lookahead and end before it does, so they are final at once; all those of a batch of
+texts are merged together in numpy (``merge_rows``), behind a table of recent pre-tokens of fixed size.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
-from collections.abc import Callable, Iterator, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -24,6 +26,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from .shared import documents
 
@@ -256,31 +259,39 @@ class Encoder:
         self.k0, self.k1 = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         self.n, self.ids = np.zeros(1 << bits, np.uint8), np.zeros((1 << bits, 8), np.int32)
 
-    def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text.  Short texts are cut together; a long one goes chunk by chunk."""
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, whole."""
+        for parts in self.emitted(texts):
+            held = list(parts)
+            yield held[0] if len(held) == 1 else np.concatenate([np.zeros(0, np.int32), *held])
+
+    def emitted(self, texts: Iterable[str | None]) -> Iterator[Iterable[np.ndarray]]:
+        """Of each text its ids, as they become final.  Short texts are cut together; a long one goes chunk by chunk, and
+        what it has emitted is not held."""
         group: list[str] = []
         size = 0
         for text in texts:
             text = text or ""
             if len(text) > CHUNK:
-                yield from self._group(group)
+                yield from ([ids] for ids in self._group(group))
                 group, size = [], 0
-                yield np.concatenate([np.zeros(0, np.int32), *self.stream([text[i : i + CHUNK] for i in range(0, len(text), CHUNK)])])
+                yield self.stream(text[i : i + CHUNK] for i in range(0, len(text), CHUNK))
                 continue
             group.append(text)
             size += len(text)
             if size > CHUNK:
-                yield from self._group(group)
+                yield from ([ids] for ids in self._group(group))
                 group, size = [], 0
-        yield from self._group(group)
+        yield from ([ids] for ids in self._group(group))
 
     def _parts(self, text: str) -> list[tuple[str, int | None]]:
-        """The text between special tokens, each with the id of the special token after it."""
-        for content, i in self.vocab.special.items():
-            if content in text:
-                parts = text.split(content)
-                return [(p, i) for p in parts[:-1]] + [(parts[-1], None)]
-        return [(text, None)]
+        """The text between special tokens, each with the id of the special token after it; the leftmost one counts, and the
+        longest of those that begin there."""
+        special = self.vocab.special
+        if not any(content in text for content in special):
+            return [(text, None)]
+        found = re.split("(" + "|".join(re.escape(c) for c in sorted(special, key=len, reverse=True)) + ")", text)
+        return [(found[k], special[found[k + 1]] if k + 1 < len(found) else None) for k in range(0, len(found), 2)]
 
     def _group(self, texts: list[str]) -> Iterator[np.ndarray]:
         if not texts:
@@ -389,7 +400,7 @@ class Encoder:
                 out[k] = np.array([*machine.feed(raw[begin[k] : begin[k] + w]), *machine.finish()], np.int32)
         return out
 
-    def stream(self, chunks: Sequence[str]) -> Iterator[np.ndarray]:
+    def stream(self, chunks: Iterable[str]) -> Iterator[np.ndarray]:
         """Ids of a text that comes in chunks, as they become final.
 
         The last two pre-tokens of what has been read wait for more text; a run of one class that outgrows a chunk is
@@ -411,12 +422,10 @@ class Encoder:
                 machine = None
             if len(held) <= 2 * guard:
                 continue
-            for content, i in self.vocab.special.items():
-                if content in held:
-                    *whole, held = held.split(content)
-                    for part in whole:
-                        yield from self._group([part])
-                        yield np.array([i], np.int32)
+            *whole, (held, _) = self._parts(held)
+            for part, i in whole:
+                yield from self._group([part])
+                yield np.array([i], np.int32)
             points = np.frombuffer(held.encode("utf-32-le", "replace"), "<u4")
             kind = classes()[points]
             starts = np.flatnonzero(pretoken_starts(points, kind)) if len(points) else np.zeros(0, int)
@@ -460,13 +469,25 @@ class Encoder:
         return self._words(b"".join(words), np.cumsum(length) - length, length)[0] if words else np.zeros(0, np.int32)
 
 
+class Decoder:
+    """Text of ids that come in parts.  The state is the unfinished code point at the end; invalid bytes become U+FFFD."""
+
+    def __init__(self, vocab: Vocabulary):
+        self.token, self.machine = vocab.tokens.__getitem__, codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: np.ndarray, step: int = 4096) -> Iterator[str]:
+        for at in range(0, len(ids), step):
+            yield self.machine.decode(b"".join(map(self.token, ids[at : at + step].tolist())))
+
+    def finish(self) -> str:
+        return self.machine.decode(b"", True)
+
+
 def decode(vocab: Vocabulary, ids: np.ndarray, step: int = 4096) -> Iterator[str]:
-    """Text of the ids in pieces.  The machine's state is the unfinished code point between pieces; invalid bytes become U+FFFD."""
-    machine = codecs.getincrementaldecoder("utf-8")("replace")
-    token = vocab.tokens.__getitem__
-    for at in range(0, len(ids), step):
-        yield machine.decode(b"".join(map(token, ids[at : at + step].tolist())))
-    yield machine.decode(b"", True)
+    """Text of the ids in pieces."""
+    machine = Decoder(vocab)
+    yield from machine.feed(ids, step)
+    yield machine.finish()
 
 
 @lru_cache(2)
@@ -478,9 +499,25 @@ def decimals(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def listed(ids: np.ndarray, size: int) -> bytes:
-    """The ids in decimal, joined by commas."""
+    """The ids in decimal, each with a comma behind."""
     rows, width = decimals(size)
-    return rows[ids][np.arange(rows.shape[1]) < width[ids][:, None]].tobytes()[:-1]
+    return rows[ids][np.arange(rows.shape[1]) < width[ids][:, None]].tobytes()
+
+
+def digests(machine: Encoder, parts: Iterable[np.ndarray]) -> tuple[int, str, str]:
+    """How many ids there are, and the digests of their decimal list and of the text they decode to, from ids that come in
+    parts: each part is digested and decoded as it is emitted, and then forgotten."""
+    n, ids_of, text_of, decoder, comma = 0, sha256(), sha256(), Decoder(machine.vocab), b""
+    for ids in parts:
+        n += len(ids)
+        for at in range(0, len(ids), CHUNK):
+            list_ = comma + listed(ids[at : at + CHUNK], machine.vocab.size)
+            ids_of.update(list_[:-1])
+            comma = b","
+        for piece in decoder.feed(ids):
+            text_of.update(piece.encode())
+    text_of.update(decoder.finish().encode())
+    return n, ids_of.hexdigest(), text_of.hexdigest()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -494,7 +531,11 @@ def encoder(path: str) -> Encoder:
 
 
 def encoded(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
-    """The id of each row and ``ids``, its tokens (array of int).  Null texts count as empty."""
+    """The id of each row and ``ids``, its tokens (array of int).
+
+    Null texts count as empty and have none; the tokens of a very long text are one array.  Equal texts agree; null and
+    repeated ids are kept; an empty table gives no rows; other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -508,24 +549,20 @@ def encoded(docs: DataFrame, path: str, id_column: str = "doc_id") -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: its tokens and the text that they decode to.
 
-    Null texts count as empty: no tokens, digests of the empty text.  Equal texts agree; null and repeated ids are kept;
-    an empty table gives no rows; other columns are not read.
+    Null texts count as empty: no tokens, digests of the empty text.  A very long text goes chunk by chunk and its tokens
+    are digested as they become final.  Equal texts agree; null and repeated ids are kept; an empty table gives no rows;
+    other columns are not read.
     """
+    shape = docs.select("doc_id").schema.add("n_tokens", T.LongType()).add("ids_sha256", T.StringType()).add("decoded_sha256", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(path)
         for batch in batches:
-            sizes, digests, texts = [], [], []
-            for ids in machine.encode([t.as_py() for t in batch.column(1)]):
-                sizes.append(len(ids))
-                digests.append(sha256(listed(ids, machine.vocab.size)).hexdigest())
-                text = sha256()
-                for piece in decode(machine.vocab, ids):
-                    text.update(piece.encode())
-                texts.append(text.hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            rows = [digests(machine, parts) for parts in machine.emitted(t.as_py() for t in batch.column(1))]
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], shape.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
