@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, Encoder
 from .shared import documents, fresh_path
@@ -139,9 +140,10 @@ def library_encoder(path: str) -> Encoder:
 def write_records(docs: DataFrame, path: str, folder: str, *, end_id: int = 0, shards: int | None = None) -> list[dict]:
     """Encodes every text (null: empty), appends ``end_id``, and writes records in ascending order of doc_id (null first).
 
-    Rows are dealt to ``shards`` ranges of ids (by default as many as the input has partitions) and sorted in each; a task
-    writes one file and its index, under a name of its own attempt.  Returns the manifest, which is also written: a file, its
-    number of records and of tokens by shard, in order.
+    Rows are dealt to ``shards`` ranges (by default as many as the input has partitions) and sorted in each; rows of one id
+    stand in order of a hash of their text, then as they are read, so that many of them are still dealt to several ranges.
+    A task writes one file and its index, under a name of its own attempt.  Returns the manifest, which is also written: a
+    file, its number of records and of tokens by shard, in order.  The tokens of a text are one record, held whole.
     """
     shards = shards or max(1, docs.rdd.getNumPartitions())
 
@@ -169,7 +171,9 @@ def write_records(docs: DataFrame, path: str, folder: str, *, end_id: int = 0, s
             out.write(np.array(offsets, "<u8").tobytes())
         yield pa.record_batch([[context.partitionId()], [name], [len(offsets) - 1], [tokens]], ["shard", "file", "records", "tokens"])
 
-    laid = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ("doc_id", "mix", "place")
+    laid = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("mix"), F.monotonically_increasing_id().alias("place"))
+    laid = laid.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     found = sorted(laid.mapInArrow(run, "shard long, file string, records long, tokens long").collect())
     manifest = [r.asDict() for r in found]
     system, base = fs.FileSystem.from_uri(folder)
@@ -210,29 +214,31 @@ def read_record(folder: str, file: str, number: int) -> tuple[int | None, np.nda
 
 
 def described(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every record, read from the files; one task a file."""
+    """doc_id, start, n_tokens and ids_crc32 of every record, read from the files; one task a file, which is sent its name."""
     manifest = read_manifest(folder)
-    files = [m["file"] for m in manifest]
     before = np.concatenate([[0], np.cumsum([m["tokens"] for m in manifest])]).tolist()
+    files = spark.createDataFrame([(m["file"], k, before[k]) for k, m in enumerate(manifest)], "file string, shard long, start long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                rows, start = [], before[k]
-                for doc_id, ids in read_shard(folder, files[k]):
+            for file, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = []
+                for doc_id, ids in read_shard(folder, file):
                     rows.append((doc_id, start, len(ids), crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
                 columns = list(zip(*rows, strict=True)) if rows else [()] * 4
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.range(0, len(files), 1, max(1, len(files))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    laid = files.repartitionByRange(max(1, len(manifest)), "shard").select("file", "start")
+    return laid.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded, written as records in ascending doc_id order, and read back.
 
-    Null texts count as empty and give the end id alone.  Null ids come first; rows of one id stand in order of their text.
-    An empty table gives no rows; other columns are not read.
+    Null texts count as empty and give the end id alone; a very long text is one record.  Null ids come first; rows of one
+    id, equal ones too, stand one after the other in a fixed order.  An empty table gives no rows; other columns are not
+    read.
     """
     folder = fresh_path(spark, "records")
     write_records(documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), folder)

@@ -4,6 +4,7 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from segmenta.llm import bpe, records
@@ -40,8 +41,9 @@ def test_frames_equal_a_plain_checksum():
 def test_files_hold_all_rows_in_order(spark, docs, rows, empty):
     folder = fresh_path(spark, "test-records")
     manifest = records.write_records(docs, PATH, folder, shards=3)
+    order = {r[0]: r[1] for r in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit("")))).collect()}
     library, start, want = Tokenizer.from_file(PATH), 0, []
-    for doc_id, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+    for doc_id, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is not None, r[0] or 0, order[r[1] or ""])):
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 0]
         want.append((doc_id, start, len(ids), crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
@@ -55,3 +57,13 @@ def test_files_hold_all_rows_in_order(spark, docs, rows, empty):
     folder = fresh_path(spark, "test-records")
     records.write_records(empty, PATH, folder)
     assert records.described(spark, folder).count() == 0
+
+
+def test_rows_of_one_id_are_dealt_to_several_files(spark):
+    df = spark.createDataFrame([(None, "same text")] * 300 + [(5, f"text {k}") for k in range(300)], "doc_id int, text string").repartition(4)
+    folder = fresh_path(spark, "test-records")
+    manifest = records.write_records(df, PATH, folder, shards=6)
+    assert max(m["records"] for m in manifest) < 250
+    found = records.described(spark, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in found] == [None] * 300 + [5] * 300
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(found, found[1:], strict=False))
