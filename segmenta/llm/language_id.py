@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import documents, fold
 
@@ -93,7 +94,9 @@ def fit(x: np.ndarray, languages: Sequence[str], *, steps: int = 100, ridge: flo
 def learn(docs: DataFrame, *, max_rows: int = 2000) -> Codes | None:
     """Classifiers from about ``max_rows`` rows at most, chosen by a hash of the id, as many of each language as there are.
 
-    Rows whose crc32 of the id modulo 4 is 2, null languages and null texts are left out.  Null if nothing is left.
+    Rows whose crc32 of the id modulo 4 is 2, null languages and null texts are left out.  A language is learned if it is
+    one of the ``max_rows`` most frequent ones (ties by name).  Null if nothing is left.  Profiles of a fixed size come to
+    the driver, not texts.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 4) != 2)).select("doc_id", "text", F.col("lang").alias("l"))
     counts = {r[0]: r[1] for r in known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_rows).collect()}
@@ -116,7 +119,8 @@ def identify(docs: DataFrame, codes: Codes | None) -> DataFrame:
     """doc_id, lang_pred, score (0 to 1) and ambiguous for every row, from its whole text.
 
     Null texts and texts without a letter are ``und`` with score 0 and ambiguous; so is everything if nothing was
-    learned.  Equal texts agree; repeated and null ids are kept; an empty table gives no rows; other columns are not read.
+    learned.  Very long texts are counted piece by piece.  Of languages at equal distance the first by name counts.  Equal
+    texts agree; repeated and null ids are kept; an empty table gives no rows; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +136,9 @@ def identify(docs: DataFrame, codes: Codes | None) -> DataFrame:
                     lang[i] = codes.languages[k]
             yield pa.record_batch([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
+    shape = docs.select("doc_id").schema.add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("ambiguous", T.BooleanType())
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.select("doc_id", "text", lettered.alias("lettered")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return docs.select("doc_id", "text", lettered.alias("lettered")).mapInArrow(run, shape)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

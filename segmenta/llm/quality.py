@@ -1,8 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-A bounded sample tells what each rule costs and how many texts it rejects; rules then run by rejection per cost, and a text
-leaves at the first rule that it fails.  The order changes the work, never the verdict: a text is kept if no rule rejects
-it.  The base counts are computed for every text and rules share what has been computed.
+A bounded sample tells what each rule costs and how many texts it rejects.  Both are taken where the cascade would meet
+them: on texts that pass the base, a rule's cost is what it adds to the base counts, and its rejections count among the
+texts that the rules before it let through.  So the rule with the most rejections per cost comes first, then the best of the
+others on what is left.  A text leaves at the first rule that it fails.  The order changes the work, never the verdict: a
+text is kept if no rule rejects it.  The base counts are computed for every text and rules share what has been computed.
 """
 
 from __future__ import annotations
@@ -15,11 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import documents
 
 SYMBOLS = list(b"#*$%&|<>")
 BLANKS = [9, 10, 11, 12, 13, 32]
+#: Seconds that a rule costs at least.
+LEAST = 2e-6
 
 
 class Text:
@@ -108,32 +113,68 @@ def base_failed(t: Text) -> bool:
     return t.n_words < 50 or 100 * t.n_repeat_words > 50 * t.n_words
 
 
-def cascade(texts: Sequence[str]) -> list[str]:
-    """Rule names by rejections per second over ``texts``, each measured on fresh texts; ties by cost, then by name."""
-    measured = []
-    for name, rule in RULES.items():
-        rejected, began = 0, time.perf_counter()
-        for t in texts:
-            rejected += rule(Text(t))
-        cost = (time.perf_counter() - began) / max(1, len(texts))
-        measured.append((-(rejected / max(1, len(texts))) / max(cost, 1e-9), cost, name))
-    return [name for _, _, name in sorted(measured)]
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def trial(text: str | None) -> list[tuple[bool, float]]:
+    """Whether each rule rejects a text, and the seconds it adds to the base counts; none if the text fails the base."""
+    found = []
+    for rule in RULES.values():
+        t = Text(text)
+        if base_failed(t):
+            return []
+        for count in COUNTS:
+            getattr(t, count)
+        began = time.perf_counter()
+        rejected = bool(rule(t))
+        found.append((rejected, time.perf_counter() - began))
+    return found
+
+
+def ordered(trials: Sequence[Sequence[tuple[bool, float]]]) -> list[str]:
+    """Rule names by rejections per second among the texts that the rules before let through.
+
+    A rule costs LEAST at least, so those that only compare base counts go by their rejections alone; ties by name.
+    """
+    left, order, rest = [t for t in trials if t], [], sorted(RULES)
+    at = {name: k for k, name in enumerate(RULES)}
+    while rest:
+        cost = {name: max(LEAST, sum(t[at[name]][1] for t in left) / max(1, len(left))) for name in rest}
+        best = min(rest, key=lambda name: (-sum(t[at[name]][0] for t in left) / cost[name], cost[name], name))
+        order.append(best)
+        rest.remove(best)
+        left = [t for t in left if not t[at[best]][0]]
+    return order
 
 
 def plan(docs: DataFrame, *, sample_rows: int = 400) -> list[str]:
-    """The order of the rules, from about ``sample_rows`` whole texts chosen by a hash of the id."""
+    """The order of the rules, from about ``sample_rows`` whole texts chosen by a hash of the id.
+
+    The texts are tried where they lie; two numbers a rule come back.
+    """
     n = docs.select("doc_id").count()
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample_rows / max(1, n))) + 1)
-    return cascade([r[0] or "" for r in docs.where(part).select("text").limit(2 * sample_rows).collect()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trials = [trial(t.as_py()) for t in batch.column(0)]
+            yield pa.record_batch([pa.array([[r for r, _ in t] for t in trials], pa.list_(pa.bool_())), pa.array([[s for _, s in t] for t in trials], pa.list_(pa.float64()))], ["rejected", "seconds"])
+
+    rows = docs.where(part).select("text").limit(2 * sample_rows).mapInArrow(run, "rejected array<boolean>, seconds array<double>").collect()
+    return ordered([list(zip(r["rejected"], r["seconds"], strict=True)) for r in rows])
 
 
 def judged(docs: DataFrame, order: Sequence[str]) -> DataFrame:
     """Base counts and verdict of every row.
 
-    Null texts count as empty: all counts 0, base_failed, not kept.  Equal texts agree; null and repeated ids are kept; an
+    Null texts count as empty: all counts 0, base_failed, not kept.  Very long texts count whole, with their list of words
+    in memory.  Equal texts agree; null and repeated ids are kept; an
     empty table gives no rows; other columns are not read.
     """
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    shape = docs.select("doc_id").schema
+    for name in COUNTS:
+        shape = shape.add(name, T.LongType())
+    shape = shape.add("base_failed", T.BooleanType()).add("kept", T.BooleanType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,12 +182,12 @@ def judged(docs: DataFrame, order: Sequence[str]) -> DataFrame:
             for value in batch.column(1):
                 t = Text(value.as_py())
                 failed = base_failed(t)
-                rows.append((*(getattr(t, c) for c in counts), failed, not failed and not any(RULES[r](t) for r in order)))
+                rows.append((*(getattr(t, c) for c in COUNTS), failed, not failed and not any(RULES[r](t) for r in order)))
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
-            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *counts, "base_failed", "kept"])
+            yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], shape.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

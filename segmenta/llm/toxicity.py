@@ -72,8 +72,8 @@ class Lexicon:
         """Words with letters starred out that an entry fits, a star for each letter."""
         n = 0
         for word in set(STARRED.findall(lower)):
-            fits = re.compile(word.replace("*", r"[^\W\d_]"))
-            n += len(word) < 40 and any(fits.match(e[:-1]) if e.endswith("*") else fits.fullmatch(e) for e in self.entries)
+            fits = lambda start, entry: re.fullmatch(start.replace("*", r"[^\W\d_]"), entry)
+            n += len(word) < 40 and any(fits(word[: len(e) - 1], e[:-1]) if e.endswith("*") else fits(word, e) for e in self.entries)
         return n
 
 

@@ -105,9 +105,96 @@ def test_quality_counts_equal_brute_force(docs, rows, empty):
     assert quality.judged(empty, quality.plan(empty)).count() == 0
 
 
-def test_cascade_puts_cheap_rejecting_rules_first(monkeypatch):
-    monkeypatch.setattr(quality, "RULES", {"never": lambda t: False, "always": lambda t: True, "slow": lambda t: sum(range(20_000)) > 0})
-    assert quality.cascade(["a b c"] * 5) == ["always", "slow", "never"]
+def test_cascade_puts_cheap_rejecting_rules_first(monkeypatch, spark):
+    rules = {"never": lambda t: False, "always": lambda t: True, "slow": lambda t: sum(range(20_000)) > 0}
+    monkeypatch.setattr(quality, "RULES", rules)
+    text = " ".join(f"w{k}" for k in range(60))
+    assert quality.ordered([quality.trial(text) for _ in range(5)]) == ["always", "never", "slow"]
+    assert quality.trial("too short") == []
+
+
+def test_order_counts_what_reaches_a_rule(monkeypatch):
+    monkeypatch.setattr(quality, "RULES", dict.fromkeys("abcd"))
+    c = 1e-3  # b rejects nothing that a lets through, so c comes before it; d rejects least for its cost
+    rejects = {"a": {0, 1, 2, 3}, "b": {0, 1, 2}, "c": {4, 5}, "d": {6}}
+    trials = [[(k in rejects[r], 5 * c if r == "d" else c) for r in "abcd"] for k in range(8)]
+    assert quality.ordered([*trials, []]) == ["a", "c", "d", "b"]
+    free = [[(k in rejects[r], 0.0) for r in "abcd"] for k in range(8)]
+    assert quality.ordered(free) == ["a", "c", "d", "b"]
+    assert quality.ordered([]) == ["a", "b", "c", "d"]
+
+
+def test_ids_of_other_kinds(spark):
+    df = spark.createDataFrame([(1, "one two"), (None, None)], "doc_id int, text string")
+    own, _ = labelled(60)
+    codes = language_id.learn(spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long"))
+    for found in (language_id.identify(df, codes), quality.judged(df, list(quality.RULES)), toxicity.scored(df, toxicity.learn(df, spark.createDataFrame([], "doc_id long, toxic int")))):
+        assert found.schema["doc_id"].dataType.simpleString() == "int"
+        assert {r["doc_id"] for r in found.collect()} == {1, None}
+        texts = df.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert {r["doc_id"] for r in quality.judged(texts, []).collect()} == {"1", None}
+
+
+def plain_language(text, codes):
+    """Profile by a dictionary of runs, margins and losses by loops."""
+    raw, counts = text.encode(), Counter()
+    runs = [(raw[i] + 1) * 2654435761 for i in range(len(raw))]
+    runs += [((raw[i] << 8) + raw[i + 1]) * 2246822519 + 77 for i in range(len(raw) - 1)]
+    runs += [((raw[i] << 16) + (raw[i + 1] << 8) + raw[i + 2]) * 3266489917 + 1234567 for i in range(len(raw) - 2)]
+    counts.update((r % 2**32) >> 20 for r in runs)
+    x = {k: (n / len(runs)) ** 0.5 for k, n in counts.items()}
+    margins = [sum(v * float(codes.weights[k, b]) for k, v in x.items()) + float(codes.bias[b]) for b in range(codes.code.shape[1])]
+    loss = [sum(np.logaddexp(0, -m * float(c)) for m, c in zip(margins, word, strict=True)) for word in codes.code]
+    share = [np.exp(min(loss) - v) for v in loss]
+    return codes.languages[int(np.argmin(loss))], max(share) / sum(share)
+
+
+def test_languages_equal_a_plain_decoder(spark, docs, rows):
+    own, _ = labelled(120)
+    codes = language_id.learn(spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long"))
+    found = language_id.identify(spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long"), codes).collect()
+    for r, (_, text, *_) in zip(sorted(found, key=lambda r: r["doc_id"]), own, strict=True):
+        lang, score = plain_language(text, codes)
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-3
+
+
+def test_toxicity_equals_a_plain_scorer(spark):
+    """Trees walked one by one, the chance by a line between knots, for texts with hidden words too."""
+    own, labels = labelled(300, 5)
+    df = spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long")
+    model = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    def plain(text):
+        x, total = toxicity.features(text, model.lexicon), model.trees.base
+        for split, at, value in model.trees.trees:
+            node = 0
+            for _ in range(model.trees.depth):
+                node = 2 * node + (2 if x[split[node]] > at[node] else 1)
+            total += value[node - len(split)]
+        return float(np.interp(total, *model.knots))
+
+    texts = [r[1] for r in own[:80]] + ["", "you n1tw1t", "YOU BLOCKHEAD!!!", "n*tw*t " * 40]
+    got = toxicity.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for r, text in zip(got, texts, strict=True):
+        assert abs(r["score"] - min(1, max(0, plain(text)))) < 1e-9
+        assert r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_hidden_words_are_uncovered():
+    lexicon = toxicity.Lexicon(["nitwit", "asshole", "blockh*"])
+    at = toxicity.FEATURES.index("uncovered")
+    for text in ("a$$hole", "@sshole", "n1tw1t", "n*twit", "bl0ckhead", "bl*ckhead", "n.i.t.w.i.t"):
+        assert toxicity.features(f"you {text} there", lexicon)[at] > 0, text
+    for text in ("plain words, here.", "5 * 3 = 15", "cost: $40!"):
+        assert toxicity.features(text, lexicon)[at] == 0
+
+
+def test_drop_toxic_of_odd_tables(spark, docs, empty):
+    marks = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert toxicity.drop_toxic(empty, marks).count() == 0
+    assert toxicity.drop_toxic(docs, marks).count() == docs.count()
+    few = spark.createDataFrame([(1, 1, 1), (2, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.drop_toxic(docs, few).count() == docs.count()
 
 
 def test_a_query_fold_matches_crc32(docs):
