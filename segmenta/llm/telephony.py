@@ -1,23 +1,27 @@
 """Telephony audio in media columns: mu-law, A-law and IMA ADPCM to resampled 16-bit PCM.
 
 Logarithmic codes expand by lookup in tables of 256 entries.  ADPCM is sequential inside a block but blocks are
-independent, so the k-th code of all blocks is decoded at once.  Resampling is a polyphase low-pass filter.
+independent, so the k-th code of all blocks is decoded at once.  Resampling is a polyphase low-pass filter in whole numbers,
+so it does not depend on how samples are cut.  Recordings are worked on in pieces, with as many samples on either side as the
+filter reaches, and their PCM is stored in rows of one piece each: what is held beside a recording itself is bounded.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, reduce
 from hashlib import sha256
+from math import isqrt
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import documents, written
+from .shared import documents, fresh_path, removed, written
 
 RATE, OUT_RATE = 8000, 16000
 #: Payloads are whole blocks of so many bytes; an ADPCM block of this size holds one header and 376 more samples.
@@ -31,8 +35,12 @@ STEPS = np.array(
 CHANGES = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int32)
 #: ADPCM blocks decoded together; bounds the memory for a long recording.
 TOGETHER = 1 << 15
-#: Bytes of files whose blocks are gathered for that.
+#: Samples of a recording that are decoded and resampled at once, and that one row of PCM has at most: whole ADPCM blocks.
+PIECE = 4096 * BLOCK
+#: Bytes of pieces that are decoded together.
 GROUP = 4 << 20
+#: Samples on either side that the filter reaches at the lower rate.
+HALF = 8
 
 
 @lru_cache(2)
@@ -76,8 +84,8 @@ def decode_adpcm(data: np.ndarray, block: int = BLOCK) -> np.ndarray:
 
 
 @lru_cache(8)
-def taps(up: int, down: int, half: int = 8) -> np.ndarray:
-    """Windowed-sinc low-pass at the lower of both rates, one row a phase, each summing to one."""
+def taps(up: int, down: int, half: int = HALF) -> np.ndarray:
+    """Windowed-sinc low-pass at the lower of both rates, one row a phase, each summing to 2 ** 14."""
     cut = 1 / max(up, down)
     n = np.arange(-half * up, half * up + 1)
     h = np.sinc(n * cut) * np.hanning(len(n) + 2)[1:-1]
@@ -85,20 +93,43 @@ def taps(up: int, down: int, half: int = 8) -> np.ndarray:
     for p in range(up):
         row = h[p::up]
         rows[p, : len(row)] = row / row.sum()
-    return rows
+    whole = np.rint(rows * (1 << 14)).astype(np.int32)
+    whole[np.arange(up), np.abs(whole).argmax(1)] += (1 << 14) - whole.sum(1, dtype=np.int32)
+    return whole
+
+
+def filtered(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """All phases of samples that have as many more on either side as the filter reaches, in turn."""
+    reach, wide = rows.shape[1] - 1, x.astype(np.int32)
+    n = len(x) - reach
+    out = np.empty((n, len(rows)), np.int16)
+    for p, row in enumerate(rows):
+        total = np.full(n, 1 << 13, np.int32)
+        for k in np.flatnonzero(row).tolist():
+            total += row[k] * wide[reach - k : reach - k + n]
+        out[:, p] = np.clip(total >> 14, -32768, 32767)
+    return out.reshape(-1)
 
 
-def resample(pcm: np.ndarray, rate: int, out_rate: int) -> np.ndarray:
-    """16-bit samples at another rate."""
-    if rate == out_rate or not len(pcm):
-        return pcm
-    common = np.gcd(rate, out_rate)
+def resampled(n: int, samples: Callable[[int, int], np.ndarray], rate: int, out_rate: int, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """16-bit samples at another rate, piece by piece; ``samples`` gives those from one place to another of ``n``."""
+    common = int(np.gcd(rate, out_rate))
     up, down = out_rate // common, rate // common
-    rows = taps(int(up), int(down))
-    half = (rows.shape[1] - 1) // 2
-    x = np.concatenate([np.zeros(half), pcm, np.zeros(half)])
-    phases = [np.convolve(x, row, "full")[2 * half :][: len(pcm)] for p, row in enumerate(rows)]
-    return np.clip(np.rint(np.stack(phases, 1).reshape(-1)[::down]), -32768, 32767).astype(np.int16)
+    rows = taps(up, down)
+    reach, step = (rows.shape[1] - 1) // 2, piece // down * down  # a piece starts where a sample of the output stands
+    for at in range(0, n, step):
+        stop = min(n, at + step)
+        if up == down:
+            yield samples(at, stop)
+            continue
+        first, last = max(0, at - reach), min(n, stop + reach)
+        x = np.concatenate([np.zeros(first - (at - reach), np.int16), samples(first, last), np.zeros(stop + reach - last, np.int16)])
+        yield filtered(x, rows)[::down]
+
+
+def resample(pcm: np.ndarray, rate: int, out_rate: int, piece: int = PIECE) -> np.ndarray:
+    """16-bit samples at another rate."""
+    return np.concatenate([np.zeros(0, np.int16), *resampled(len(pcm), lambda a, b: pcm[a:b], rate, out_rate, piece)])
 
 
 def container(tag: int, data: bytes, rate: int = RATE, block: int = 1) -> bytes:
@@ -164,15 +195,27 @@ def to_pcm(df: DataFrame, media: str = "media", *, out_rate: int = OUT_RATE) ->
     return df.select(*keep).mapInArrow(run, shape)
 
 
-def loudness(pcm: np.ndarray) -> str:
-    """Root of the mean square, peak, and sign changes."""
-    wide = pcm.astype(np.int64)
-    return f"{int(np.sqrt((wide * wide).mean()))}/{int(np.abs(wide).max())}/{int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))}"
+class Loudness:
+    """Root of the mean square, peak, and sign changes of samples that come in pieces."""
+
+    def __init__(self):
+        self.n, self.squares, self.peak, self.changes, self.last = 0, 0, 0, 0, None
+
+    def add(self, pcm: np.ndarray) -> None:
+        wide, below = pcm.astype(np.int64), pcm < 0
+        self.n, self.squares = self.n + len(pcm), self.squares + int((wide * wide).sum())
+        self.peak = max(self.peak, int(np.abs(wide).max()))
+        self.changes += int(np.count_nonzero(below[1:] != below[:-1])) + int(self.last is not None and self.last != below[0])
+        self.last = bool(below[-1])
+
+    def __str__(self) -> str:
+        return f"{isqrt(self.squares // max(1, self.n))}/{self.peak}/{self.changes}"
 
 
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and ``media``: each text's bytes, padded with spaces to whole blocks, as mu-law samples in a RIFF
     file; a table in the shared folder, read again."""
+    shape = docs.select("doc_id").schema.add("n_bytes", T.LongType()).add("media", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,55 +224,119 @@ def stored(docs: DataFrame) -> DataFrame:
                 raw = (value.as_py() or "").encode("utf-8", "replace")
                 sizes.append(len(raw))
                 media.append(container(MULAW, raw.ljust(max(1, -(-len(raw) // BLOCK)) * BLOCK, b" ")))
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], shape.names)
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media")
+    return written(docs.select("doc_id", "text").mapInArrow(run, shape), "media")
 
 
-def describe(files: Sequence[bytes]) -> list[tuple]:
-    """What ``described`` says of some files; their ADPCM blocks are decoded together."""
-    parsed = [parse(held) for held in files]
-    data = [d for _, _, _, d in parsed]
-    together = decode_adpcm(np.frombuffer(b"".join(data), np.uint8)).reshape(-1, 2 * (BLOCK - 4) + 1)
-    rows, at = [], 0
-    for held, (tag, rate, _, d) in zip(files, parsed, strict=True):
-        blocks = together[at : at + len(d) // BLOCK].reshape(-1)
-        at += len(d) // BLOCK
-        first = pcm_of(tag, d)
-        wide = resample(first, rate, OUT_RATE).astype("<i2")
-        feature = f"mulaw={loudness(first)};alaw={loudness(pcm_of(ALAW, d))};adpcm={loudness(blocks)};pcm16k={len(wide)}/{crc32(wide.tobytes()):08x}"
-        rows.append((len(d), sha256(d).hexdigest(), crc32(d[-16:]), len(held), sha256(held).hexdigest(), feature))
-    return rows
+def loudness(data: Sequence[memoryview], piece: int = PIECE) -> list[str]:
+    """Of some recordings their loudness read as mu-law, as A-law and as ADPCM blocks, which are decoded together."""
+    found = [{tag: Loudness() for tag in (MULAW, ALAW, ADPCM)} for _ in data]
+    waiting, size = [], 0
 
+    def decode() -> None:
+        together = decode_adpcm(np.concatenate([np.zeros(0, np.uint8), *(x for _, x in waiting)]))
+        at = 0
+        for k, x in waiting:
+            n = len(x) // BLOCK * (2 * (BLOCK - 4) + 1)
+            if n:
+                found[k][ADPCM].add(together[at : at + n])
+            at += n
 
-def described(media: DataFrame) -> DataFrame:
-    """Digests of what was stored, and features of what it decodes to.
+    for k, d in enumerate(data):
+        for at in range(0, len(d), piece):
+            raw = np.frombuffer(d[at : at + piece], np.uint8)
+            for tag in (MULAW, ALAW):
+                found[k][tag].add(expansion(tag)[raw])
+            waiting.append((k, raw[: len(raw) // BLOCK * BLOCK]))
+            size += len(raw)
+            if size >= GROUP:
+                decode()
+                waiting, size = [], 0
+    decode()
+    return [f"mulaw={x[MULAW]};alaw={x[ALAW]};adpcm={x[ADPCM]}" for x in found]
 
-    ``feature`` has loudness (root mean square / peak / sign changes) of the samples read as mu-law, as A-law and as ADPCM
-    blocks, then the length and crc32 of the mu-law samples resampled to 16 kHz PCM.
+
+DIGESTS = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "loudness")
+
+
+def decoded(media: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
+    """Digests of what was stored, and its samples at OUT_RATE as 16-bit PCM: a table at ``path``, read again.
+
+    A recording has a row for each piece of PCM: ``row`` (its number), ``part``, ``pcm``; part 0 has doc_id, n_bytes and the
+    digests.
     """
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    shape = media.select("doc_id", "n_bytes").schema
+    for name, kind in zip(DIGESTS, (T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType()), strict=True):
+        shape = shape.add(name, kind)
+    shape = shape.add("row", T.LongType()).add("part", T.LongType()).add("pcm", T.BinaryType())
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+
+    def rows_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The first rows of some recordings."""
+        files = [m.as_py() for m in batch.column(2)]
+        parsed = [parse(held) for held in files]
+        rows = []
+        for row, held, (_, rate, _, d), loud in zip(batch.column(3).to_pylist(), files, parsed, loudness([d for *_, d in parsed], piece), strict=True):
+            rows.append((len(d), sha256(d).hexdigest(), crc32(d[-16:]), len(held), sha256(held).hexdigest(), loud, row, 0, next(parts(d, rate), b"")))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+        return pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], shape.names)
+
+    def parts(d: memoryview, rate: int) -> Iterator[bytes]:
+        return (x.astype("<i2").tobytes() for x in resampled(len(d), lambda a, b: expansion(MULAW)[np.frombuffer(d[a:b], np.uint8)], rate, OUT_RATE, piece))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, group, size = [], [], 0
-            for k, value in enumerate(batch.column(2)):
-                group.append(value.as_py())
-                size += len(group[-1])
-                if size > GROUP or k + 1 == batch.num_rows:
-                    rows += describe(group)
-                    group, size = [], 0
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-            yield pa.record_batch([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
+            size = np.cumsum([0, *(len(m.as_buffer()) for m in batch.column(2))])
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(size, size[start] + GROUP, side="right")) - 1)
+                some = batch.slice(start, stop - start)
+                first = rows_of(some)
+                yield first
+                for k in range(some.num_rows):
+                    if size[start + k + 1] - size[start + k] > piece:
+                        _, rate, _, d = parse(some.column(2)[k].as_py())
+                        for part, pcm in enumerate(parts(d, rate)):
+                            if part:
+                                empty = [pa.nulls(1, t) for t in first.schema.types[: 2 + len(DIGESTS)]]
+                                yield pa.record_batch([*empty, pa.array([some.column(3)[k].as_py()]), pa.array([part]), pa.array([pcm], pa.binary())], shape.names)
+                start = stop
+
+    numbered = media.select("doc_id", "n_bytes", "media", F.monotonically_increasing_id().alias("row"))
+    numbered.mapInArrow(run, shape).write.option("compression", "zstd").parquet(path)
+    return media.sparkSession.read.schema(shape).parquet(path)
+
+
+def features(pcm: DataFrame) -> DataFrame:
+    """One row a recording of a table of ``decoded``: doc_id, n_bytes, the digests and ``feature``."""
+    each = F.struct("part", F.crc32("pcm").alias("crc"))
+    found = pcm.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_bytes", *DIGESTS)), F.sum(F.octet_length("pcm") / 2).cast("long").alias("samples"), F.array_sort(F.collect_list(each)).alias("crcs"))
+    checked = F.lower(F.lpad(F.hex(F.crc32(F.array_join(F.transform("crcs", lambda c: c["crc"]), ","))), 8, "0"))
+    feature = F.concat("loudness", F.lit(";pcm16k="), "samples", F.lit("/"), checked)
+    return found.select("doc_id", "n_bytes", *DIGESTS[:-1], feature.alias("feature"))
+
+
+def described(media: DataFrame, piece: int = PIECE, slices: int = 8) -> DataFrame:
+    """Digests of what was stored, and features of what it decodes to.
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    ``feature`` has loudness (root mean square / peak / sign changes) of the samples read as mu-law, as A-law and as ADPCM
+    blocks, then the length and the crc32 (of that of each piece) of the PCM at 16 kHz, read from where it was stored.  PCM
+    takes some seven times the room of mu-law, so it is made for a slice of the files of ``media`` after the other, and goes
+    when its features are written; ``decoded`` makes PCM to keep.
+    """
+    spark, files, found = media.sparkSession, sorted(media.inputFiles()), []
+    for some in (files[k::slices] for k in range(min(slices, len(files)))):
+        path = fresh_path(spark, "pcm")
+        found.append(written(features(decoded(spark.read.schema(media.schema).parquet(*some), path, piece)), "features"))
+        removed(spark, path)
+    return reduce(DataFrame.unionAll, found)
 
 
 def op4_telephony_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text as a recording that is stored, read back and decoded.
+    """Every whole text as a recording that is stored, read back, decoded and resampled to PCM that is stored and read back.
 
-    Null texts count as empty (one block of spaces); equal texts have equal values; null and repeated ids are kept; an
-    empty table gives no rows; other columns are not read.
+    Null texts count as empty (one block of spaces); a very long text is one recording, whose PCM has several rows; equal
+    texts have equal values; null and repeated ids are kept; an empty table gives no rows; other columns are not read.
     """
     return described(stored(documents(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit("")))))

@@ -1,12 +1,15 @@
+import math
 import struct
 from collections import Counter
 from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from segmenta.llm import telephony as tel
+from segmenta.llm.shared import fresh_path
 
 
 def test_expansion_values():
@@ -45,6 +48,55 @@ def test_resampling_keeps_a_tone():
     assert len(tel.resample(tone, 8000, 11025)) in (5512, 5513)
 
 
+def plain_loudness(pcm):
+    pcm = [int(x) for x in pcm]
+    return f"{math.isqrt(sum(x * x for x in pcm) // max(1, len(pcm)))}/{max(map(abs, pcm), default=0)}/{sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:], strict=False))}"
+
+
+def plain_wide(pcm, piece):
+    """Resampling to twice the rate by loops, cut in pieces."""
+    rows, reach = tel.taps(2, 1), tel.HALF
+    out = []
+    for i in range(len(pcm)):
+        for row in rows.tolist():
+            total = sum(w * int(pcm[i + reach - k]) for k, w in enumerate(row) if 0 <= i + reach - k < len(pcm))
+            out.append(max(-32768, min(32767, (total + (1 << 13)) >> 14)))
+    return [struct.pack(f"<{len(x)}h", *x) for x in (out[k : k + 2 * piece] for k in range(0, len(out), 2 * piece))]
+
+
+@pytest.mark.parametrize("piece", [tel.PIECE, 384])
+def test_features_equal_plain_decoders(spark, piece):
+    texts = ["", "a", "some words here " * 40, "é🙂" * 150, "x" * 1000, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r["doc_id"]: r["feature"] for r in tel.described(tel.stored(df), piece).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+        mu, a = ([int(tel.expansion(tag)[x]) for x in payload] for tag in (tel.MULAW, tel.ALAW))
+        blocks = [x for k in range(0, len(payload), 192) for x in plain_adpcm(payload[k : k + 192])]
+        pcm = plain_wide(mu, piece)
+        crc = crc32(",".join(str(crc32(x)) for x in pcm).encode())
+        assert found[i] == f"mulaw={plain_loudness(mu)};alaw={plain_loudness(a)};adpcm={plain_loudness(blocks)};pcm16k={sum(map(len, pcm)) // 2}/{crc:08x}"
+
+
+def test_stored_pcm_is_the_resampled_recording(spark):
+    df = spark.createDataFrame([(1, "long words " * 200), (2, "short")], "doc_id long, text string")
+    media = tel.stored(df)
+    rows = tel.decoded(media, fresh_path(spark, "test-pcm"), 384).collect()
+    assert max(r["part"] for r in rows) == 5
+    for doc_id, held in media.select("doc_id", "media").collect():
+        row = next(r["row"] for r in rows if r["doc_id"] == doc_id)
+        pcm = b"".join(bytes(r["pcm"]) for r in sorted((r for r in rows if r["row"] == row), key=lambda r: r["part"]))
+        _, rate, _, data = tel.parse(bytes(held))
+        assert pcm == tel.resample(tel.pcm_of(tel.MULAW, data), rate, tel.OUT_RATE).astype("<i2").tobytes()
+
+
+def test_pieces_do_not_show():
+    pcm = np.random.default_rng(5).integers(-32768, 32768, 5000).astype(np.int16)
+    for rate in (16000, 11025, 6000, 8000):
+        assert tel.resample(pcm, 8000, rate, 960).tolist() == tel.resample(pcm, 8000, rate).tolist()
+
+
 def test_query_rows(docs, rows, empty):
     found = tel.described(tel.stored(docs)).collect()
     want = Counter()
