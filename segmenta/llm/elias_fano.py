@@ -10,7 +10,7 @@ import numpy as np
 from pyarrow import fs
 
 #: Of the upper bits, ones from one whose place is noted to the next, and zeros: between these may stand many ones.
-STEP, ZERO_STEP = 32, 8
+STEP, ZERO_STEP = 32, 4
 ALL, ONES, HIGHS = (np.uint64(x) for x in (0xFFFFFFFFFFFFFFFF, 0x0101010101010101, 0x8080808080808080))
 
 
@@ -103,10 +103,11 @@ class EliasFano:
         return (high << np.uint64(self.l)) | self.lows(i)
 
     def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values at places ``i`` and at the places after them."""
+        """Values at places ``i`` and at the places after them; after the last place any value."""
         at = select(self.high, self.ones, i, True)
         gap, unknown = run_after(self.high, at, False)
         after = at + gap + 1
+        unknown = unknown[i[unknown] + 1 < self.n]  # after the last one there is none: what is given for it means nothing
         after[unknown] = select(self.high, self.ones, i[unknown] + 1, True)
         join = lambda at, i: ((at - i).astype(np.uint64) << np.uint64(self.l)) | self.lows(i)
         return join(at, i), join(after, i + 1)

@@ -42,7 +42,7 @@ from .shared import documents, fold, fresh_path
 #: The end of a text, which is also the context of its first word: no word is empty.
 END = xxhash.xxh64_intdigest(b"")
 #: Bytes of text that a task counts together.
-TOGETHER = 8 << 20
+TOGETHER = 12 << 20
 #: Ranges of word hashes, a power of two; training tokens by part of levels two and three.
 WORD_PARTS, PART = 256, 4_000_000
 #: Counts that a part holds before it merges them.
@@ -61,12 +61,13 @@ class Tokens:
     @classmethod
     def of(cls, texts: pa.Array) -> Tokens:
         split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-        words, owner = split.flatten(), pc.list_parent_indices(split)
-        some = pc.greater(pc.binary_length(words), 0)
+        words = split.flatten()
+        some = pc.greater(pc.binary_length(words), 0)  # blanks at either end of a text leave an empty word there
         coded = words.filter(some).dictionary_encode()
-        own = np.fromiter((xxhash.xxh64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+        own = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
         hashes, place = np.unique(np.append(own, np.uint64(END)), return_inverse=True)
-        sizes = np.bincount(owner.filter(some).to_numpy(zero_copy_only=False), minlength=len(texts)) + 1
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])
+        sizes = np.diff(np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[edges]) + 1
         out, ends = np.full(int(sizes.sum()), place[-1]), np.cumsum(sizes) - 1
         inner = np.ones(len(out), bool)
         inner[ends] = False
@@ -179,17 +180,23 @@ def level(context_of: np.ndarray, successors: np.ndarray, contexts: int, univers
 def search(sequences: dict[str, EliasFano], at: str, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
     """Where the successors of contexts (in order) stand in a level, -1 if they don't: inside what the pointers bracket."""
     pointer, found = sequences[f"{at}pointer"], sequences[f"{at}successor"]
+    out = np.full(len(context), -1, np.int64)
     if not len(context) or not found.n:
-        return np.full(len(context), -1, np.int64)
+        return out
     new = np.concatenate([[True], context[1:] != context[:-1]])
-    own, rank = context[new], np.cumsum(new) - 1
-    start, stop = (edge.astype(np.int64) for edge in pointer.get_two(own))
-    zero = np.where(start > 0, found.get(np.maximum(start - 1, 0)).astype(np.int64) + 1, 0)
-    size, asked = (stop - start)[rank], (successor + zero[rank]).astype(np.uint64)
-    out, one, more = np.full(len(context), -1, np.int64), np.flatnonzero(size == 1), np.flatnonzero(size > 1)
-    only = start[rank[one]]
-    out[one] = np.where(found.get(only) == asked[one], only, -1)
-    out[more] = found.find(asked[more], start[rank[more]], stop[rank[more]])
+    start, stop = (edge.astype(np.int64) for edge in pointer.get_two(context[new]))
+    size, rank = stop - start, np.cumsum(new) - 1
+    some = np.flatnonzero(size > 0)
+    # the value before the bracket and the first one inside stand side by side
+    before, first = (v.astype(np.int64) for v in found.get_two(np.maximum(start[some] - 1, 0)))
+    leads = start[some] == 0
+    zero, only = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    zero[some], only[some] = np.where(leads, 0, before + 1), np.where(leads, before, first)
+    asked, of = successor + zero[rank], size[rank]
+    one = np.flatnonzero((of == 1) & (only[rank] == asked))
+    out[one] = start[rank[one]]
+    more = np.flatnonzero(of > 1)
+    out[more] = found.find(asked[more].astype(np.uint64), start[rank[more]], stop[rank[more]])
     return out
 
 
