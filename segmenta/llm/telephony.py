@@ -304,7 +304,8 @@ def decoded(media: DataFrame, path: str, piece: int = PIECE) -> DataFrame:
                 start = stop
 
     numbered = media.select("doc_id", "n_bytes", "media", F.monotonically_increasing_id().alias("row"))
-    numbered.mapInArrow(run, shape).write.option("compression", "zstd").parquet(path)
+    # small row groups: a task holds one while it writes or reads
+    numbered.mapInArrow(run, shape).write.options(**{"compression": "zstd", "parquet.block.size": GROUP}).parquet(path)
     return media.sparkSession.read.schema(shape).parquet(path)
 
 
