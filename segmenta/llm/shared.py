@@ -26,12 +26,14 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` of the session if it is set.  Otherwise (local tests) a temporary folder of this process,
-    which is then also set as the checkpoint folder.
+    ``spark.checkpoint.dir`` of the session if it is set.  Otherwise, on a local master, a temporary folder of this process,
+    which is then also set as the checkpoint folder; on a cluster executors would not see it, so the setting has to be there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         keep = tempfile.TemporaryDirectory(prefix="segmenta-")

@@ -31,3 +31,24 @@ def test_stages_in_turn(spark, rows, tmp_path):
     want = Counter((r["doc_id"], len(library.encode(r["text"], add_special_tokens=False).ids)) for r in kept["mixing"].collect())
     assert Counter((r["doc_id"], r["n_tokens"]) for r in kept["tokens"].collect()) == want
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == sum(want.values())
+
+
+def test_stages_take_odd_tables(spark, docs, rows, empty, tmp_path):
+    """Null, empty and very long texts, repeated rows and clashing names in every stage; empty tables."""
+    from .conftest import SCHEMA
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clashing = [*{f"c{i}" for i in range(4)}, "row", "same", "n", "keys", "fp", "seen", "node", "all_spans", "base_spans", "mix_row", "copies", "taken", "passes", "once", "blocks", "last", "tail", "mark", "turn", "chunk", "copy", "digest", "of", "none", "bucket"]
+    wide = docs.withColumns({c: F.lit("extra") for c in clashing})
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        out = stage(spark, wide, str(tmp_path))
+        last = k == len(corpus_pipeline.STAGES) - 1
+        assert (out.columns == wide.columns) != last, name
+        if not last:
+            assert out.where(" or ".join(f"{c} is null or {c} != 'extra'" for c in clashing)).count() == 0, name
+        if name in ("toxicity", "secrets", "tokens"):
+            assert Counter(r[0] for r in out.select("doc_id").collect()) == Counter(r[0] for r in rows), name
+        if name == "mixing":
+            assert {r[0] for r in out.select("doc_id").collect()} <= {r[0] for r in rows if (r[1] or "").split()}
+    assert SCHEMA.names == empty.columns
