@@ -1,7 +1,9 @@
 """A training corpus from ``documents``: toxic texts and near copies go, secrets are masked, sources are mixed, tokens come out.
 
 Each stage takes (spark, docs, sf_dir) and returns the columns of documents, the last one a row of digests per text of the
-mix.  Between stages the rows are a Parquet table, so a lost executor costs at most a stage.
+mix.  Between stages the rows are a Parquet table, so a lost executor costs at most a stage.  Every stage takes tables with
+nulls in any column, empty and very long texts, repeated rows and further columns of any name; of an empty table it makes
+an empty one.
 """
 
 from __future__ import annotations
@@ -18,27 +20,40 @@ from segmenta.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts are judged like others; equal texts share their fate; a chance of exactly 0.5 rejects.  Where there
+    is too little to learn from all stay.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8) stays, that of the smallest id."""
+    """One document of each group of near copies (five-word similarity of 0.8) stays, that of the smallest id.
+
+    SimHash with multi-index hashing connects what lies within three bits, verified; ``near_text`` tells why that is not
+    enough for 0.8 and how the rest is found.  Null, empty and wordless texts are copies of each other; null ids come last;
+    of rows that share the smallest id one stays.
+    """
     return drop_near_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by a mark."""
+    """Secrets in the texts are replaced by a mark; null and empty texts stay, and so does every row."""
     return redact_secrets(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts as often, and as far, as the mix of sources takes them."""
+    """Texts as often, and as far, as the mix of sources takes them.
+
+    Null, empty and wordless texts go: they have no tokens to mix.  A null source is a source of its own; repeated rows are
+    mixed one by one.
+    """
     return mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256 of each text."""
+    """Encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256 of each text; a null text counts as empty."""
     return round_trip(docs, public_tokenizers.path(VOCABULARY))
 
 
