@@ -116,14 +116,20 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def screened(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs (a, b) of unconnected texts of a key whose sizes and sketches allow for the bound."""
+    """Pairs (a, b) of unconnected texts of a key whose sizes and sketches allow for the bound.
+
+    A pair comes from the first of the keys that it shares; that one is open too, since it holds unconnected texts.
+    """
     node, n, part = (table.column(c).to_numpy() for c in ("node", "n", "part"))
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+    keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(-1, KEYS)
+    place = int(np.flatnonzero(keys[0] == key[0].as_py())[0])
     found = []
     for i in range(len(node) - 1):
         other = i + 1 + np.flatnonzero((part[i + 1 :] != part[i]) & (np.minimum(n[i + 1 :], n[i]) * LEAST[1] >= np.maximum(n[i + 1 :], n[i]) * LEAST[0]))
         for at in range(0, len(other), CHUNK):
             some = other[at : at + CHUNK]
+            some = some[(keys[some] == keys[i]).argmax(1) == place]
             some = some[np.count_nonzero(sketch[some] == sketch[i], axis=1) >= AGREE]
             found.append(np.stack([np.minimum(node[some], node[i]), np.maximum(node[some], node[i])]))
     pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
@@ -172,7 +178,7 @@ def links(nodes: DataFrame, texts: DataFrame, *, rounds: int = 3) -> DataFrame:
         held = connected(held.select("node", "n", "central", "key"))
     sketch = F.arrow_udf(lambda text: pa.array([sketch_of(shingles(x.as_py())) for x in text], pa.binary()), "binary")
     sketches = written(texts.join(held.select("node").distinct(), "node").select("node", sketch("text").alias("sketch")), "sketches")
-    return more(held.join(sketches, "node").groupBy("key").applyInArrow(screened, "a long, b long").distinct())
+    return more(held.join(sketches, "node").join(nodes.select("node", "keys"), "node").groupBy("key").applyInArrow(screened, "a long, b long"))
 
 
 def drop_near_copies(docs: DataFrame, *, rounds: int = 3) -> DataFrame:
