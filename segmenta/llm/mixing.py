@@ -206,9 +206,10 @@ def mix(
     plan = plan.withColumn("once", F.explode(F.expr("sequence(if(taken > passes * size, 0L, 1L), passes)")))
     words = F.regexp_extract_all("c_text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
     rule = taken_once_more("i", shard_words // block_words)
-    picked = F.expr(f"transform(sequence(start div {block_words}, (start + size - 1) div {block_words}), i -> {rule})")
-    joined = numbered.join(plan, F.col("mix_row") == F.col("row")).withColumns({"parts": F.when(F.col("once") == 0, words), "picked": F.when(F.col("once") == 0, picked)})
-    chosen = f"array_join(filter(parts, (w, i) -> get(picked, cast((start % {block_words} + i) div {block_words} as int))), '')"
+    picked = f"transform(sequence(start div {block_words}, (start + size - 1) div {block_words}), i -> {rule})"
+    joined = numbered.join(plan, F.col("mix_row") == F.col("row")).withColumn("parts", F.when(F.col("once") == 0, words))
+    # an array of one holds what is picked, so that it is computed once a text
+    chosen = f"get(transform(array({picked}), p -> array_join(filter(parts, (w, k) -> get(p, cast((start % {block_words} + k) div {block_words} as int))), '')), 0)"
     text = F.when(F.col("once") > 0, F.col("c_text")).otherwise(F.expr(chosen))
     taken = joined.withColumn("taken_text", text)
     out = {c: F.col(f"c_{c}") for c in columns} | {"text": F.col("taken_text")} | ({"n_chars": F.length("taken_text").cast("long")} if "n_chars" in columns else {})
