@@ -1,18 +1,20 @@
-"""Annotates stored segments: python -m segmenta.cli SEGMENTS VERSES OUT [--narrations CSV] [--profile NAME]."""
+"""Annotates stored segments: python -m segmenta.cli SEGMENTS VERSES OUT [--narrations CSV] [--profile NAME] [--SETTING VALUE ...].
+
+Every setting of ``plans.config`` is an option; switches have a form with ``--no-``.
+"""
 
 from __future__ import annotations
 
 import argparse
 import logging
 import sys
+from dataclasses import fields
 from logging.handlers import RotatingFileHandler
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from .functions import text
 from .plans.annotate import annotate
-from .plans.config import settings
+from .plans.config import Settings, settings
 from .sinks import transcripts
 from .sources import corpora, segments
 
@@ -28,6 +30,23 @@ def configure_logging(verbose: bool = False, file: str | None = None) -> None:
     logging.getLogger("py4j").setLevel(logging.WARNING)
 
 
+def add_settings(parser: argparse.ArgumentParser) -> list[str]:
+    """An option for each setting; unset ones leave it to the preset.  Returns the names."""
+    names = []
+    for field in fields(Settings):
+        if field.name == "profile":
+            continue
+        names.append(field.name)
+        option, kind = "--" + field.name.replace("_", "-"), type(field.default)
+        if kind is bool:
+            parser.add_argument(option, dest=field.name, action=argparse.BooleanOptionalAction, default=None)
+        elif kind is tuple:
+            parser.add_argument(option, dest=field.name, type=lambda x: tuple(map(float, x.split(","))), default=None)
+        else:
+            parser.add_argument(option, dest=field.name, type=kind, default=None)
+    return names
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="segmenta", description=__doc__)
     parser.add_argument("segments")
@@ -36,17 +55,19 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--format", default="parquet", choices=["parquet", "json"])
     parser.add_argument("--narrations")
     parser.add_argument("--profile", default="default")
-    parser.add_argument("--verify", action="store_true", default=None)
+    parser.add_argument("--verify", dest="enable_hadith_verification", action="store_true", default=None)
     parser.add_argument("--verbose", action="store_true")
+    parser.add_argument("--log-file")
+    names = add_settings(parser)
     args = parser.parse_args(argv)
-    configure_logging(args.verbose)
+    configure_logging(args.verbose, args.log_file)
     try:
         spark = SparkSession.builder.appName("segmenta").getOrCreate()
-        given = {} if args.verify is None else {"enable_hadith_verification": True}
+        given = {name: getattr(args, name) for name in names if getattr(args, name) is not None}
         told = None
         if args.narrations:
-            raw = corpora.read_narrations(spark, args.narrations)
-            told = raw.select(F.monotonically_increasing_id().alias("idx"), "collection", F.col("hadith_no").alias("hadith_number"), "text_ar", "text_en", "chapter", text.canonical("text_ar").alias("canon"))
+            corpora.write_narrations(corpora.read_narrations(spark, args.narrations), f"{args.out}/narrations")
+            told = corpora.numbered(corpora.stored_narrations(spark, f"{args.out}/narrations"))
         found = annotate(segments.read(spark, args.segments, args.format), corpora.read_verses(spark, args.verses), told, settings(args.profile, **given))
         found.write.mode("overwrite").parquet(f"{args.out}/segments")
         stored = spark.read.parquet(f"{args.out}/segments")

@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +54,37 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if a == b else 200.0 * common(a, b) / total if total else 100.0
 
 
+#: Characters of the shorter string that one machine word holds; longer pairs are compared one by one.
+LANES = 64
+
+
+def ratios(pairs: Sequence[tuple[str, str]]) -> np.ndarray:
+    """``ratio`` of many pairs: a step for each character of the longer strings, for all pairs at once."""
+    out = np.zeros(len(pairs))
+    short = [sorted(p, key=len) for p in pairs]
+    order = sorted((i for i in range(len(pairs)) if 0 < len(short[i][0]) <= LANES), key=lambda i: len(short[i][1]))
+    for at in range(0, len(order), 4096):
+        some = order[at : at + 4096]
+        a = np.array([short[i][0] for i in some], f"U{LANES}").view(np.uint32).reshape(len(some), LANES)
+        m, n = (np.array([len(short[i][k]) for i in some]) for k in (0, 1))
+        b = np.array([short[i][1] for i in some], f"U{n.max()}").view(np.uint32).reshape(len(some), -1)
+        inside = np.arange(LANES) < m[:, None]
+        full = np.where(m < LANES, (np.uint64(1) << (m % LANES).astype(np.uint64)) - np.uint64(1), np.uint64(2**64 - 1))
+        state = full.copy()
+        for j in range(int(n.max())):
+            first = int(np.searchsorted(n, j, side="right"))  # pairs are in order of n: those before have ended
+            places = np.packbits((a[first:] == b[first:, j : j + 1]) & inside[first:], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            used = state[first:] & places
+            state[first:] = (state[first:] + used | state[first:] - used) & full[first:]
+        out[some] = 200.0 * (m - np.bitwise_count(state)) / (m + n)
+    for i, (a, b) in enumerate(pairs):
+        if a == b:
+            out[i] = 100.0
+        elif len(short[i][0]) > LANES:
+            out[i] = ratio(a, b)
+    return out
+
+
 def partial_ratio(a: str, b: str) -> float:
     """The best ratio of the shorter string with a window of the longer one; windows may stick out at either end."""
     if not a or not b:

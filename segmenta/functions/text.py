@@ -6,9 +6,10 @@ and the edges of words are spelled out (BLANK, WORD, ``edged``).
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Sequence
-from functools import reduce
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,6 +35,14 @@ VARIANTS, PLAIN = "أإآٱؤئةى", "اااا" + "ويهي"
 CROSS, CROSS_PLAIN = "ہیک", "هيك"
 TO_URDU, URDU = "يىكة", "ییکۃ"
 
+
+
+def members(characters: str) -> str:
+    """The code points of the basic plane in a class."""
+    own = re.compile(f"[{characters}]")
+    return "".join(filter(own.match, map(chr, range(0xD800)))) + "".join(filter(own.match, map(chr, range(0xE000, 0x10000))))
+
+
 #: Texts for which composition (NFC) changes nothing that normalisation keeps.
 COMPOSED = "^[\u0000-˿؀-ۿ‐-‧]*$"
 DECOMPOSED = "[ہےە][ؐ-ًؚ-ٰٟۖ-ۜ۟-۪ۤۧۨ-ۭ]*ٔ"
@@ -73,19 +82,29 @@ def compose(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(~plain, text)), text)
 
 
+@cache
+def mapping(cross: bool) -> tuple[str, str]:
+    """What normalisation makes of single characters, as ``translate`` takes it: those without a partner go."""
+    signs = members(PUNCTUATION)
+    own, plain = (VARIANTS + CROSS, PLAIN + CROSS_PLAIN) if cross else (VARIANTS, PLAIN)
+    return own + signs + members(MARKS), plain + " " * len(signs)
+
+
 def normalise_arabic(text: Column | str, *, nfc: bool = True) -> Column:
     """Marks gone, letter variants as one, punctuation and controls as spaces, white space collapsed; case is kept.
 
-    nfc=False leaves composition out, for tables known to be composed; then all is in the JVM.
+    One pass over the characters and one over white space.  nfc=False leaves composition out, for tables known to be
+    composed; then all is in the JVM.
     """
     text = compose(column(text)) if nfc else column(text)
-    text = F.translate(F.regexp_replace(text, f"[{MARKS}]", ""), VARIANTS, PLAIN)
-    return collapse(F.regexp_replace(text, f"[{PUNCTUATION}]", " "))
+    return collapse(F.translate(text, *mapping(False)))
 
 
 def canonical(text: Column | str, *, nfc: bool = True) -> Column:
     """``normalise_arabic`` with Urdu letters as their Arabic ones: for matching only, never for output."""
-    return normalise_arabic(F.translate(column(text), CROSS, CROSS_PLAIN), nfc=nfc)
+    if nfc:
+        return normalise_arabic(F.translate(column(text), CROSS, CROSS_PLAIN))
+    return collapse(F.translate(column(text), *mapping(True)))
 
 
 def normalise_urdu(text: Column | str) -> Column:

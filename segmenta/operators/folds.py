@@ -29,21 +29,21 @@ def formulas() -> list[str]:
 def drop_repeats(df: DataFrame, *, window: float = 8.0, shortest: float = 3.0, by: str = "file_id", nfc: bool = True) -> DataFrame:
     """Short segments whose text was kept less than ``window`` seconds before go; formulas always stay.
 
-    State is per text: when it was last kept, which a dropped segment does not change.
+    State is per text: when it was last kept, which a dropped segment does not change.  The segments of a text are gathered
+    with all their columns, so what stays is taken from there and nothing is joined.
     """
-    df = df.withColumn("_free", text.normalise_arabic("text", nfc=nfc).isin(formulas())).withColumn("_key", text.same_key("text"))
-    rows = ordered_rows(df.where("NOT _free"), [by, "_key"], ["start", "seq"], ["end"])
-    kept = F.aggregate(
+    columns = df.columns
+    df = df.withColumn("_free", text.normalise_arabic("text", nfc=nfc).isin(formulas()))
+    gathered = df.where("NOT _free").groupBy(F.col(by).alias("_by"), text.same_key("text").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("start", "seq", *[x for x in columns if x not in ("start", "seq")]))).alias("rows"))
+    state = lambda last, kept: F.struct(last.cast("double").alias("last"), kept.alias("kept"))
+    flags = F.aggregate(
         "rows",
-        F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("kept")),
-        lambda acc, r: F.when(
-            acc["last"].isNotNull() & (r["start"] - acc["last"] < window) & (r["end"] - r["start"] < shortest), acc
-        ).otherwise(F.struct(r["start"].cast("double").alias("last"), F.array_append(acc["kept"], r["seq"].cast("bigint")).alias("kept"))),
+        state(F.lit(None), F.array().cast("array<boolean>")),
+        lambda acc, r: F.when(acc["last"].isNotNull() & (r["start"] - acc["last"] < window) & (r["end"] - r["start"] < shortest), state(acc["last"], F.array_append(acc["kept"], F.lit(False)))).otherwise(state(r["start"], F.array_append(acc["kept"], F.lit(True)))),
         lambda acc: acc["kept"],
     )
-    stay = rows.select(F.col(by).alias("_by"), F.explode(kept).alias("_seq"))
-    ours = df.where("_free").union(df.where("NOT _free").join(stay, F.col(by).eqNullSafe(F.col("_by")) & (F.col("seq") == F.col("_seq")), "left_semi"))
-    return ours.drop("_free", "_key")
+    stay = gathered.select(F.explode(F.filter(F.arrays_zip("rows", flags.alias("kept")), lambda z: z["kept"])).alias("z"))
+    return df.where("_free").select(*columns).union(stay.select(*(F.col("z.rows")[x].alias(x) for x in columns)))
 
 
 def _merge(df: DataFrame, joins, by: str) -> DataFrame:

@@ -109,3 +109,39 @@ def header(df: DataFrame, *, by: str = "file_id") -> DataFrame:
     """Of each file: segments, the end of the last one in order, and segments by language in order of code."""
     languages = df.groupBy(by, "detected_lang").agg(F.count("*").alias("n")).groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.upper("detected_lang").alias("code"), "n"))).alias("languages"))
     return df.groupBy(by).agg(F.count("*").alias("segments"), F.max_by("end", F.struct("start", "seq")).alias("duration")).join(languages, by)
+
+
+def run_metadata(segments: DataFrame, files: DataFrame, *, by: str = "file_id") -> DataFrame:
+    """What a run cost, by file: ``files`` has duration, transcription_ms, retry_decode_ms and elapsed_seconds (nulls count as 0).
+
+    retries_per_hour_audio (an unknown duration counts as a second) and avg_decode_time_per_segment (0 without segments).
+    """
+    counts = segments.groupBy(by).agg(F.count("*").alias("total_segments"), F.count_if("retry_triggered").alias("retries"))
+    out = files.join(counts, by, "left").withColumns({x: F.coalesce(x, F.lit(0)) for x in ("total_segments", "retries")} | {x: F.coalesce(F.col(x).cast("double"), F.lit(0.0)) for x in ("duration", "transcription_ms", "retry_decode_ms", "elapsed_seconds")})
+    hours = F.when(F.col("duration") > 0, F.col("duration")).otherwise(1.0) / 3600
+    return out.select(
+        by, "total_segments", F.col("elapsed_seconds").alias("runtime_seconds"), F.round(F.col("retry_decode_ms") / 1000, 2).alias("retry_time_seconds"), F.round(F.col("retries") / hours, 2).alias("retries_per_hour_audio"),
+        F.when(F.col("total_segments") > 0, F.round(F.col("transcription_ms") / 1000 / F.col("total_segments"), 3)).otherwise(0.0).alias("avg_decode_time_per_segment"),
+    )
+
+
+def evaluated_files(files: DataFrame, hypotheses: DataFrame, references: DataFrame, diagnostics: DataFrame, order: list[str], *, by: str = "file_id") -> DataFrame:
+    """One row a file of ``files`` (and its other columns): wer and cer of its hypothesis against its reference (columns
+    ``text``), and what ``evaluation`` says of its diagnostics.  Where one of both texts is missing the rates are 0; where
+    there are no diagnostics the counts are."""
+    pairs = files.join(references.select(by, F.col("text").alias("reference")), by, "left").join(hypotheses.select(by, F.col("text").alias("hypothesis")), by, "left")
+    whole = F.col("reference").isNotNull() & F.col("hypothesis").isNotNull()
+    rates = error_rates(pairs).withColumns({x: F.when(whole, F.col(x)).otherwise(0.0) for x in ("wer", "cer")}).drop("reference", "hypothesis")
+    found = evaluation(diagnostics, order, by=by)
+    zeros = {x: F.coalesce(x, F.lit(0).cast(t)) for x, t in found.dtypes if x != by}
+    return rates.join(found, by, "left").withColumns(zeros)
+
+
+def evaluation_summary(evaluated: DataFrame) -> DataFrame:
+    """One row over all files of ``evaluated_files``: means of rates, sums of counts."""
+    mean = lambda x: F.coalesce(F.avg(x), F.lit(0.0))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return evaluated.agg(
+        F.count("*").alias("total_files"), mean("wer").alias("avg_wer"), mean("cer").alias("avg_cer"), mean("flagged_rate").alias("avg_flag_rate"), total("drift_events").alias("total_arabic_drift_events"),
+        mean("mixed_script_ratio").alias("avg_mixed_script_ratio"), total("quran_matches").alias("total_quran_matches_detected"), mean("retry_trigger_rate").alias("avg_retry_trigger_rate"),
+    )

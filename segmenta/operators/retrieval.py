@@ -7,8 +7,11 @@ Ties are broken by the order given with each operator, so results do not depend
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,43 +50,105 @@ def gram_index(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.explode(F.array_distinct(text.trigrams("canon"))).alias("gram"), "idx")
 
 
-def gram_candidates(queries: DataFrame, index: DataFrame, *, n: int = 80) -> DataFrame:
+#: Rows of a trigram index up to which it is sent to the tasks, some ten bytes each.
+SENT = 2_000_000
+
+
+def gram_candidates(queries: DataFrame, index: DataFrame, *, n: int = 80, sent: int = SENT) -> DataFrame:
     """The ``n`` corpus rows that share most trigrams with each query, each of the query's counted as often as it occurs.
 
-    Ties: the earlier first shared trigram of the query, then idx.  The query's trigrams are counted before the join.
+    Ties: the earlier first shared trigram of the query, then idx.  An index of at most ``sent`` rows, which is counted, goes
+    to the tasks and each query is answered where it lies; a larger one is joined, and the query's trigrams are counted
+    before.
     """
+    if index.count() <= sent:
+        return _candidates_in_place(queries, index, n)
     grams = queries.select("qid", F.posexplode(text.trigrams("query")).alias("pos", "gram")).groupBy("qid", "gram").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
     hits = grams.join(index, "gram").groupBy("qid", "idx").agg(F.sum("n").alias("shared"), F.min("pos").alias("first"))
     return first_rows(hits, ["qid"], [F.desc("shared"), "first", "idx"], n).select("qid", "idx", "shared", "rank")
 
 
+def _candidates_in_place(queries: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    shape = T.StructType([*queries.select("qid").schema.fields, *index.select("idx").schema.fields, T.StructField("shared", T.LongType()), T.StructField("rank", T.IntegerType())])
+    held = index.select("gram", "idx").toArrow()
+    known, place = np.unique(held.column("idx").to_numpy(), return_inverse=True)
+    coded = held.column("gram").combine_chunks().dictionary_encode()
+    order = np.argsort(coded.indices.to_numpy(), kind="stable")
+    lists = dict(zip(coded.dictionary.to_pylist(), np.split(place[order].astype(np.int32), np.cumsum(np.bincount(coded.indices.to_numpy()))[:-1]), strict=True)) if len(coded) else {}
+    shipped = index.sparkSession.sparkContext.broadcast((lists, known))
+
+    def near(query: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the best rows, and how many trigrams they share."""
+        lists, known = shipped.value
+        shared, first = np.zeros(len(known), np.int64), np.full(len(known), len(query))
+        for gram, (times, pos) in counted(query).items():
+            rows = lists.get(gram)
+            if rows is not None:
+                shared[rows] += times
+                first[rows] = np.minimum(first[rows], pos)
+        found = np.flatnonzero(shared)
+        best = found[np.lexsort((found, first[found], -shared[found]))[:n]]
+        return best, shared[best]
+
+    def counted(query: str) -> dict[str, tuple[int, int]]:
+        grams: dict[str, tuple[int, int]] = {}
+        for pos in range(len(query) - 2):
+            gram = query[pos : pos + 3]
+            times, first = grams.get(gram, (0, pos))
+            grams[gram] = times + 1, first
+        return grams
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            answers = [near(q.as_py() or "") for q in batch.column(1)]
+            sizes = [len(best) for best, _ in answers]
+            of = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            best, shared = (np.concatenate([np.zeros(0, np.int64), *(a[k] for a in answers)]) for k in (0, 1))
+            ranks = np.concatenate([np.zeros(0, np.int32), *(np.arange(1, k + 1, dtype=np.int32) for k in sizes)])
+            yield pa.record_batch([batch.column(0).take(of), pa.array(shipped.value[1][best]), pa.array(shared), pa.array(ranks)], shape.names)
+
+    return queries.select("qid", "query").mapInArrow(run, shape)
+
+
 @F.pandas_udf(T.DoubleType())
 def _verse_score(query: pd.Series, canon: pd.Series, bar: pd.Series) -> pd.Series:
-    """The weighted score where it reaches the bar, else null; the cheapest measure that can reject goes first."""
+    """The weighted score where it reaches the bar, else null.
 
-    def one(q: str, c: str, threshold: float) -> float | None:
+    The ratios of all pairs are computed together; with the others at their best, they reject nearly all pairs.
+    """
+    inside = [len(q.split()) >= 5 and (q in c or c in q) for q, c in zip(query, canon, strict=True)]
+    ratios = similarity.ratios(list(zip(query, canon, strict=True)))
+
+    def one(q: str, c: str, threshold: float, ratio: float, held: bool) -> float | None:
+        if not held and 55 + 0.45 * ratio < 100 * threshold:
+            return None
         token_set = similarity.token_set_ratio(q, c)
-        if token_set < 0.85 * 100 * threshold:
+        if token_set < 0.85 * 100 * threshold or not held and 20 + 0.35 * token_set + 0.45 * ratio < 100 * threshold:
             return None
         coverage = min(len(q), len(c)) / max(len(q), len(c))
-        score = 0.35 * token_set + 0.45 * similarity.ratio(q, c) + 0.20 * similarity.partial_ratio(q, c)
-        if len(q.split()) >= 5 and (q in c or c in q):
+        score = 0.35 * token_set + 0.45 * ratio + 0.20 * similarity.partial_ratio(q, c)
+        if held:
             score = max(score, 90 + 8 * coverage)
         return score if score >= 100 * threshold else None
 
-    return pd.Series([one(*row) for row in zip(query, canon, bar, strict=True)], dtype="float64")
+    return pd.Series([one(*row) for row in zip(query, canon, bar, ratios, inside, strict=True)], dtype="float64")
 
 
 def fuzzy(queries: DataFrame, corpus: DataFrame, *, candidates: int = 80) -> DataFrame:
     """The best verse by edit similarity for queries of four words and twenty characters (``word_confidence`` sets the bar).
 
-    Length alone bounds the score, so pairs that can't reach the bar are left out before anything is compared:
+    Candidates are the ``candidates`` verses that share most trigrams; a query that shares none is compared with all verses
+    of a possible length, block by block.  Length alone bounds the score, so pairs that can't reach the bar are left out before anything is compared:
     a score s needs r = shorter / longer with 55 + 90 r / (1 + r) >= s, unless one text contains the other.
     Returns one row per query that has a match: idx, confidence, is_ambiguous, close (how many verses are within 1.5 points),
     refs (the first twelve of them).  Ties: candidate order.
     """
     fit = queries.where((F.size(F.split("query", " ")) >= 4) & (F.length("query") >= 20)).withColumn("bar", scores.fuzzy_threshold(F.col("word_confidence")))
-    near = gram_candidates(fit, gram_index(corpus), n=candidates)
+    near = stored(gram_candidates(fit, gram_index(corpus), n=candidates), "candidates").select("qid", "idx", "rank")
+    blocks = 16
+    rest = fit.join(near.select("qid").distinct(), "qid", "left_anti").select("qid", F.explode(F.array(*map(F.lit, range(blocks)))).alias("block"))
+    every = corpus.select("idx", F.pmod(F.xxhash64("idx"), F.lit(blocks)).cast("int").alias("block"))
+    near = near.union(rest.join(every, "block").select("qid", "idx", F.lit(0).alias("rank")))
     pairs = near.join(fit.select("qid", "query", "bar"), "qid").join(corpus.select("idx", "canon"), "idx")
     even = F.least(F.length("query"), F.length("canon")) / F.greatest(F.length("query"), F.length("canon"))
     inside = (F.size(F.split("query", " ")) >= 5) & (F.col("query").contains(F.col("canon")) | F.col("canon").contains(F.col("query")))
@@ -159,12 +224,12 @@ def longest_words(query: Column | str, n: int = 6, least: int = 3) -> Column:
 def bm25(queries: DataFrame, corpus: DataFrame, *, n: int = 20, k1: float = 1.2, b: float = 0.75, column: str = "canon") -> DataFrame:
     """The ``n`` best corpus rows by BM25 for each query's ``terms`` (array), repeated terms counted each time; ties by idx."""
     index = postings(corpus, column)
-    total, length = corpus.agg(F.count("*"), F.avg(F.size(terms(column)))).first()
+    whole = corpus.agg(F.count("*").cast("double").alias("total"), F.coalesce(F.avg(F.size(terms(column))), F.lit(1.0)).alias("mean"), F.lit(1).alias("one"))
     asked = queries.select("qid", F.explode("terms").alias("word")).select("qid", F.explode(terms("word")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("times"))
-    idf = F.greatest(F.log((F.lit(float(total)) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(float(length or 1))))
+    idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("mean", F.lit(1e-9))))
     frequency = index.groupBy("term").agg(F.count("*").alias("df"))
-    wanted = asked.join(frequency, "term").withColumn("idf", idf)
+    wanted = asked.join(frequency, "term").withColumn("one", F.lit(1)).join(F.broadcast(whole), "one").withColumn("idf", idf)  # one row
     hits = wanted.join(index, "term").groupBy("qid", "idx").agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
     return first_rows(hits.withColumn("score", F.round("score", 9)), ["qid"], [F.desc("score"), "idx"], n)
 

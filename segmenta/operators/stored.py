@@ -10,10 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset (local runs), a temporary folder of this process."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, on a local master, a temporary folder of this process.
+
+    On a cluster it has to be set: executors don't see a folder of the driver.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(shared_folder, "own"):
         keep = tempfile.TemporaryDirectory(prefix="segmenta-")
         atexit.register(keep.cleanup)
@@ -21,8 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder.own
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/plans/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: computed once, and safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/plans/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import language, lexicon, plain, scores, similarity, text
+from .functions import language, lexicon, plain, prompts, scores, similarity, text
 from .operators import cleaning, context, folds, metrics, retrieval, verification
-from .plans.annotate import annotate
+from .operators.stored import fresh_folder
+from .plans.annotate import annotate, routed
 from .plans.config import settings
 from .sinks import transcripts
 from .sources import corpora
-from .sources.segments import completed
+from .sources.segments import completed, read_jsonl
 
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 ARABIC = "أبةدیفگہئجکلمنوىقرستؤحعخيز"
@@ -42,6 +43,21 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the whole table is small: a file of one row group is one task otherwise.
+
+    A table beyond some megabytes a core has row groups enough and is left as it is, so nothing large is shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= cores * (64 << 20) else df
+
+
+def texts(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are worked on."""
+    return spread(table(spark, d, name))
+
+
 def arabic(column: Column | str) -> Column:
     return F.translate(F.lower(column), LATIN, ARABIC)
 
@@ -58,13 +74,23 @@ def sql_collapse(x: str) -> str:
     return rf"trim(regexp_replace({x}, '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
-def sql_normal(x: str) -> str:
+def sql_normal(x: str, nfc: bool = False) -> str:
+    x = f"nfc_normalize({x})" if nfc else x
     marks, signs = text.MARKS, text.PUNCTUATION.replace("'", "''")
     return sql_collapse(f"regexp_replace(translate(regexp_replace({x}, '[{marks}]', '', 'g'), '{text.VARIANTS}', '{text.PLAIN}'), '[{signs}]', ' ', 'g')")
 
 
-def sql_canon(x: str) -> str:
-    return sql_normal(f"translate({x}, '{text.CROSS}', '{text.CROSS_PLAIN}')")
+def sql_canon(x: str, nfc: bool = False) -> str:
+    return sql_normal(f"translate({x}, '{text.CROSS}', '{text.CROSS_PLAIN}')", nfc)
+
+
+def decomposed(x: Column) -> Column:
+    """Text of even documents with letters and marks that composition joins: e and o get one."""
+    return F.when(c("doc_id") % 2 == 0, F.replace(F.replace(x, F.lit("e"), F.lit("e\u0301")), F.lit("o"), F.lit("ا\u0653"))).otherwise(x)
+
+
+def sql_decomposed(x: str) -> str:
+    return f"case when doc_id % 2 = 0 then replace(replace({x}, 'e', 'e' || chr(769)), 'o', 'ا' || chr(1619)) else {x} end"
 
 
 def sql_words(x: str) -> str:
@@ -77,7 +103,7 @@ def sql_list(values) -> str:
 
 def lines(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
     """Sentences of all texts: the table's columns, pos, line."""
-    df = table(spark, d, name)
+    df = texts(spark, d, name)
     return df.select(*[x for x in df.columns if x != "text"], F.posexplode(F.split("text", r"[.\n]+")).alias("pos", "line")).withColumn("line", F.trim("line")).where("line != ''")
 
 
@@ -88,7 +114,7 @@ def sql_lines(name: str = "documents") -> str:
 def segments(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of conversations as segments."""
     words = F.filter(F.split("text", r"[ \n\t\r]+"), lambda w: w != "")
-    df = table(spark, d, "conversations").withColumns({"ws": words, "k": (1 + (c("conv_id") + c("turn")) % 6).cast("int")}).where(F.size("ws") > 0)
+    df = texts(spark, d, "conversations").withColumns({"ws": words, "k": (1 + (c("conv_id") + c("turn")) % 6).cast("int")}).where(F.size("ws") > 0)
     df = df.withColumn("pos", F.explode(F.sequence(F.lit(0), F.ceil(F.size("ws") / c("k")).cast("int") - 1)))
     start = c("turn") * 1000.0 + c("pos") * 2.0
     return df.select(
@@ -109,14 +135,14 @@ SEGMENTS = r"""(select conv_id as file_id, turn * 1000 + pos as seq, turn * 1000
 # texts
 
 
-@query(f"select doc_id, {sql_canon(sql_arabic('text'))} as canon from documents")
+@query(f"select doc_id, {sql_canon(sql_arabic('text'))} as canon, {sql_canon(sql_decomposed('text'), True)} as composed from documents")
 def canon_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.canonical(arabic("text"), nfc=False).alias("canon"))
+    return texts(spark, d).select("doc_id", text.canonical(arabic("text"), nfc=False).alias("canon"), text.canonical(decomposed(c("text"))).alias("composed"))
 
 
-@query(f"select doc_id, {sql_normal('text')} as normal from documents")
+@query(f"select doc_id, {sql_normal(sql_decomposed('text'), True)} as normal from documents")
 def normalise_text(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalise_arabic("text", nfc=False).alias("normal"))
+    return texts(spark, d).select("doc_id", text.normalise_arabic(decomposed(c("text"))).alias("normal"))
 
 
 _CLASS = f"[{text.ARABIC_NARROW}]"
@@ -130,7 +156,7 @@ _ARABIC_SQL = sql_arabic("text")
 )
 def script_stats(spark, d):
     a = F.when(c("doc_id") % 3 == 0, c("text")).when(c("doc_id") % 3 == 1, arabic("text")).otherwise(F.translate(arabic("text"), text.CROSS + "گ", text.CROSS_PLAIN + "ع"))
-    return table(spark, d, "documents").select("doc_id", text.has_arabic(a).alias("has_arabic"), text.mainly_arabic(a).alias("mainly_arabic"))
+    return texts(spark, d).select("doc_id", text.has_arabic(a).alias("has_arabic"), text.mainly_arabic(a).alias("mainly_arabic"))
 
 
 def _mapped(x: str) -> str:
@@ -141,7 +167,7 @@ def mapped(x: str) -> Column:
     return F.translate(arabic(x), text.CROSS + "گ", text.CROSS_PLAIN + "ع")
 
 
-_URDU = f"(regexp_matches(a, '[{text.URDU_SIGNS}]') or len(list_intersect(string_split({sql_normal('a')}, ' '), {sql_list(lexicon.URDU_WORDS)})) >= 2)"
+_URDU = f"(regexp_matches(a, '[{text.URDU_SIGNS}]') or len(list_intersect(string_split({sql_normal('a', True)}, ' '), {sql_list(lexicon.URDU_WORDS)})) >= 2)"
 
 
 @query(
@@ -151,23 +177,23 @@ _URDU = f"(regexp_matches(a, '[{text.URDU_SIGNS}]') or len(list_intersect(string
 def lang_script(spark, d):
     extra = F.when(c("pos") % 5 == 1, " مسجد نماز").when(c("pos") % 5 == 3, " نماز").otherwise("")
     a = F.when(c("pos") % 2 == 0, c("line")).otherwise(F.concat(mapped("line"), extra))
-    return lines(spark, d).select("doc_id", c("pos").cast("long").alias("pos"), language.detect(a, nfc=False).alias("lang"))
+    return lines(spark, d).select("doc_id", c("pos").cast("long").alias("pos"), language.detect(a).alias("lang"))
 
 
 @query(f"select doc_id, {_URDU} as urdu from (select doc_id, {_mapped('text')} || case when doc_id % 2 = 0 then ' مسجد، نماز' else ' مسجد مسجد' end as a from documents)")
 def urdu_vocab(spark, d):
     a = F.concat(mapped("text"), F.when(c("doc_id") % 2 == 0, " مسجد، نماز").otherwise(" مسجد مسجد"))
-    return table(spark, d, "documents").select("doc_id", language.likely_urdu(a, nfc=False).alias("urdu"))
+    return texts(spark, d).select("doc_id", language.likely_urdu(a).alias("urdu"))
 
 
 @query(f"select doc_id, replace(lower({sql_collapse('text')}), 'ß', 'ss') as same from documents")
 def dedup_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.same_key("text").alias("same"))
+    return texts(spark, d).select("doc_id", text.same_key("text").alias("same"))
 
 
 @query(rf"select doc_id, regexp_replace(regexp_replace(regexp_replace(translate({_ARABIC_SQL}, '{text.TO_URDU}', '{text.URDU}'), '[{text.INVISIBLE}]', '', 'g'), '[\s\p{{Z}}]{{2,}}', ' ', 'g'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') as urdu from documents")
 def urdu_normalise(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalise_urdu(arabic("text")).alias("urdu"))
+    return texts(spark, d).select("doc_id", text.normalise_urdu(arabic("text")).alias("urdu"))
 
 
 _ROMAN = "line || ' ' || " + quoted("Sahih Bukhari, pbuh; xpbuh Insha Allah")
@@ -200,7 +226,7 @@ _GRAMS = "list_transform(range(1, greatest(len(text) - 1, 1)), lambda i: substr(
 @query(f"select conv_id, turn, len(g)::bigint as n, len(list_distinct(g))::bigint as n_distinct from (select conv_id, turn, {_GRAMS} as g from conversations)")
 def trigram_counts(spark, d):
     g = text.trigrams("text")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.size(g).cast("long").alias("n"), F.size(F.array_distinct(g)).cast("long").alias("n_distinct"))
+    return texts(spark, d, "conversations").select("conv_id", "turn", F.size(g).cast("long").alias("n"), F.size(F.array_distinct(g)).cast("long").alias("n_distinct"))
 
 
 @query(
@@ -214,7 +240,7 @@ def word_windows(spark, d):
 
 @query(f"select doc_id, len(list_filter({sql_words(_mapped('text'))}, lambda w: len(w) >= 3 and not list_contains({sql_list(lexicon.GENERIC_NARRATION_WORDS)}, w)))::bigint as n from documents")
 def distinctive_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.distinctive_words(mapped("text")).cast("long").alias("n"))
+    return texts(spark, d).select("doc_id", text.distinctive_words(mapped("text")).cast("long").alias("n"))
 
 
 @query(
@@ -222,7 +248,7 @@ def distinctive_tokens(spark, d):
     from (select doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as p from (select doc_id, {sql_words('text')} as ws from documents)) group by all) group by all) using (doc_id)"""
 )
 def repetition_flag(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.repetitive("text").alias("repetitive"))
+    return texts(spark, d).select("doc_id", text.repetitive("text").alias("repetitive"))
 
 
 @query("select doc_id, substr(text, 1, 60) as preview from documents")
@@ -235,25 +261,54 @@ def language_codes(spark, d):
     return table(spark, d, "documents").groupBy(text.language_code("lang").alias("code")).agg(F.count("*").alias("n"))
 
 
-@query()
+_LETTERS = "ابتثجحخدذرزسشصضطظعغفقكلمنو"
+_WORD_SQL, _PLAIN_WORD = r"[\p{L}\p{N}_]", f"regexp_matches(w, '[{text.ARABIC_NARROW}]') and not regexp_matches(w, '[{text.URDU_ONLY}]')"
+_SIGNS = f"len(regexp_extract_all(r, '(^|[^\\p{{L}}\\p{{N}}_])ال[\\p{{L}}\\p{{N}}_]{{2,}}')) + len(list_intersect(string_split(r, ' '), {sql_list(lexicon.ARABIC_STOPWORDS)}))"
+
+
+@query(
+    f"""select item_id, pos, len(spans)::bigint as n, array_to_string(spans, ' | ') as spans from (select item_id, pos, list_filter(runs, lambda r: contains(r, ' ') and (regexp_matches(r, '[ً-ٰٟؤئأإةى]') or len(string_split(r, ' ')) >= 5 or {_SIGNS} >= case when len(string_split(r, ' ')) >= 3 then 1 else 2 end)) as spans
+    from (select item_id, pos, list_transform(string_split(array_to_string(list_transform({sql_words('mixed')}, lambda w: case when {_PLAIN_WORD} then w else chr(1) end), ' '), chr(1)), lambda r: trim(r)) as runs
+    from (select item_id, pos, array_to_string(list_transform(string_split(line, ' '), lambda w, i: case when (i - 1) % 7 < 4 then translate(lower(w), '{LATIN}', '{_LETTERS}') else w end), ' ') as mixed from {sql_lines('benchmark')})))"""
+)
 def arabic_spans(spark, d):
-    mixed = F.array_join(F.transform(F.split("line", " "), lambda w, i: F.when(i % 7 < 4, F.translate(F.lower(w), LATIN, "ابتثجحخدذرزسشصضطظعغفقكلمنو")).otherwise(w)), " ")
+    mixed = F.array_join(F.transform(F.split("line", " "), lambda w, i: F.when(i % 7 < 4, F.translate(F.lower(w), LATIN, _LETTERS)).otherwise(w)), " ")
     spans = text.arabic_spans(mixed)
     return lines(spark, d, "benchmark").select("item_id", c("pos").cast("long").alias("pos"), F.size(spans).cast("long").alias("n"), F.array_join(spans, " | ").alias("spans"))
 
 
-@query()
+def _sql_rule(x: str, pattern: str, to: str) -> str:
+    """A rule of correction for an engine without look-around: what stands beside it is matched and put back."""
+    edge, blank = r"[^\p{L}\p{N}_]", text.BLANK
+    start, stop = pattern.startswith(r"\b"), pattern.endswith((r"\b", f"(?!{text.WORD})"))
+    body = pattern.removeprefix(r"\b").removesuffix(r"\b").removesuffix(f"(?!{text.WORD})")
+    body = body if blank in body else body.replace(r"\s", blank)
+    ahead = f"(?={blank}|$)"
+    own = body.count("(") - body.count("(?")
+    after = f"\\{own + start + 1}" if stop or body.endswith(ahead) else ""
+    to = ("\\1" if start else "") + to.replace("$1", "\\1") + after
+    body = (f"(^|{edge})" if start else "") + (body.removesuffix(ahead) + f"({blank}|$)" if body.endswith(ahead) else body) + (f"($|{edge})" if stop else "")
+    return f"regexp_replace({x}, {quoted(body)}, {quoted(to)}, 'g')"
+
+
+_FIXED = "t"
+for _p, _r in (*lexicon.EXPANSIONS, *lexicon.TERMS, *text.ENGLISH, *text.REPAIRS, text.TRIM, (" {2,}", " "), text.TRIM):
+    _FIXED = _sql_rule(_FIXED, _p, _r)
+_DAMAGE = " PBUH SAW insha allah اللah انشاءالله قران ab"
+
+
+@query(f"select item_id, pos, {_FIXED} as fixed from (select item_id, pos, line || {quoted(_DAMAGE)} as t from {sql_lines('benchmark')})")
 def post_process(spark, d):
-    damaged = F.concat("line", F.lit(" PBUH SAW insha allah اللah انشاءالله"))
+    damaged = F.concat("line", F.lit(_DAMAGE))
     return lines(spark, d, "benchmark").select("item_id", c("pos").cast("long").alias("pos"), text.correct(damaged).alias("fixed"))
 
 
 # filters
 
 
-@query(f"select doc_id, count(*) as kept from {sql_lines()} where {sql_normal('line')} not in (select unnest({sql_list(plain.spurious())})) group by all")
+@query(f"select doc_id, count(*) as kept from {sql_lines()} where {sql_normal('line', True)} not in (select unnest({sql_list(plain.spurious())})) group by all")
 def blocklist_filter(spark, d):
-    return cleaning.drop_phrases(lines(spark, d), "line", nfc=False).groupBy("doc_id").agg(F.count("*").alias("kept"))
+    return cleaning.drop_phrases(lines(spark, d), "line").groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
 @query(
@@ -307,30 +362,106 @@ def content_mode(spark, d):
     return context.content_modes(segments(spark, d).withColumn("text", F.concat("text", extra)), ["seq"]).select("file_id", "seq", "mode")
 
 
-@query()
+def _sql_edged(pattern: str) -> str:
+    """A marker's pattern for an engine without look-around: what stands beside it is matched too."""
+    start = r"(^|[^\p{L}\p{N}_])" if pattern.startswith(r"\b") else ""
+    stop = r"($|[^\p{L}\p{N}_])" if pattern.endswith(r"\b") else ""
+    return start + pattern.removeprefix(r"\b").removesuffix(r"\b").replace(r"\s", r"[\s\p{Z}]") + stop
+
+
+_MARKED = ", ".join(f"case when regexp_matches(t, {quoted(_sql_edged(p))}) then '{k}' end" for k, p in lexicon.NARRATION_MARKERS)
+_EXTRA = ["", " عن أبي هريرة قال رسول الله", " حدثنا وسمعت", " صحیح بخاری نبی کریم", " سمعت عن زيد رضي الله عنه صلى الله عليه وسلم", " حضرت عائشہ سنن ترمذی"]
+
+
+@query(f"select file_id, seq, array_to_string(list_sort(list_distinct(list_filter([{_MARKED}], lambda x: x is not null))), ',') as categories from (select file_id, seq, text || {sql_list(_EXTRA)}[1 + seq % 6] as t from {SEGMENTS})")
 def narration_markers(spark, d):
-    extra = F.element_at(F.array(*map(F.lit, (" عن أبي هريرة قال رسول الله", " حدثنا", " صحیح بخاری نبی کریم", ""))), (c("seq") % 4 + 1).cast("int"))
-    return segments(spark, d).select("file_id", "seq", F.array_join(scores.marker_categories(scores.markers(F.concat("text", extra))), ",").alias("categories"))
+    extra = F.element_at(F.array(*map(F.lit, _EXTRA)), (c("seq") % 6 + 1).cast("int"))
+    found = scores.marker_categories(scores.markers(F.concat("text", extra)))
+    return segments(spark, d).select("file_id", "seq", F.array_join(F.array_sort(found), ",").alias("categories"))
+
+
+_SOME_ARABIC = f"case seq % 3 when 0 then text when 1 then {sql_arabic('text')} else {_mapped('text')} end"
+_BLOCK, _OWN = f"(len(a) - len(regexp_replace(a, '{_CLASS}', '', 'g')))", f"(len(a) - len(regexp_replace(a, '[{text.URDU_ONLY}]', '', 'g')))"
+_MAINLY = f"coalesce({_BLOCK} + len(regexp_replace(regexp_replace(a, '{_CLASS}', '', 'g'), '[^\\p{{L}}]', '', 'g')) > 0 and {_BLOCK} - {_OWN} > 0.6 * ({_BLOCK} + len(regexp_replace(regexp_replace(a, '{_CLASS}', '', 'g'), '[^\\p{{L}}]', '', 'g'))) and {_OWN} < 0.2 * greatest({_BLOCK}, 1), false)"
+
+
+def some_arabic(spark: SparkSession, d: str) -> DataFrame:
+    """Segments, a third of them in Arabic letters and a third in Urdu ones, with a detected language."""
+    a = F.when(c("seq") % 3 == 0, c("text")).when(c("seq") % 3 == 1, arabic("text")).otherwise(mapped("text"))
+    return segments(spark, d).withColumns({"text": a, "detected_lang": F.element_at(F.array(*map(F.lit, ("ur", "ar", "en", "und"))), (c("seq") % 4 + 1).cast("int"))})
 
 
 @query(
-    f"""select language, lang_route as route, count(*) as n from (select language, case when language = 'ur' and regexp_matches(a, '[{text.ARABIC}]') then 'urdu' when regexp_matches(a, '[{text.ARABIC}]') then 'other' else 'none' end as lang_route from (select language, case when seq % 3 = 0 then text else {sql_arabic('text')} end as a from {SEGMENTS})) group by all"""
+    f"""select route, low_confidence, count(*) as n, round(sum(quality), 4) as quality from (select case when l = 'ar' or l <> 'en' and {_MAINLY} then 'arabic' when l = 'ur' and regexp_matches(a, '[{text.ARABIC}]') then 'urdu' else 'none' end as route,
+    seq % 2 = 0 and avg_word_confidence < 0.35 as low_confidence, round(0.35 * least(1, greatest(0, (avg_logprob + 1.5) / 1.5)) + 0.45 * avg_word_confidence + 0.2 * (1 - no_speech_prob), 4) as quality
+    from (select *, {_SOME_ARABIC} as a, ['ur', 'ar', 'en', 'und'][1 + seq % 4] as l from {SEGMENTS})) group by all"""
 )
 def route_segments(spark, d):
-    a = F.when(c("seq") % 3 == 0, c("text")).otherwise(arabic("text"))
-    has = text.has_arabic(a)
-    route = F.when((c("language") == "ur") & has, "urdu").when(has, "other").otherwise("none")
-    return segments(spark, d).select("language", route.alias("route")).groupBy("language", "route").agg(F.count("*").alias("n"))
+    words = F.when(c("seq") % 2 == 0, F.array(F.struct(F.lit(0.5).alias("probability")))).otherwise(F.array().cast("array<struct<probability:double>>"))
+    found = routed(some_arabic(spark, d).withColumn("words", words), settings())
+    return found.groupBy("route", "low_confidence").agg(F.count("*").alias("n"), F.round(F.sum("quality"), 4).alias("quality"))
+
+
+@query(
+    f"""select file_id, seq, seq % 2 = 0 and avg_word_confidence < 0.35 as low, coalesce(round(0.25 * (1 - no_speech_prob) + 0.5 * greatest(0, 1 + avg_logprob / 4) + 0.25, 4) >= 0.85 and avg_logprob / 4 >= -0.45 and language = before, false) as follows,
+    avg_logprob / 4 > -0.45 and avg_word_confidence > 0.8 and compression_ratio < 1.8 and mixed_script_ratio < 0.05 and not seq % 5 = 0 and not seq % 7 = 0 and len({sql_words('text')}) >= 3 as trusted, l = 'ar' or {_MAINLY} as redraft
+    from (select *, {_SOME_ARABIC} as a, ['ur', 'ar', 'en', 'und'][1 + seq % 4] as l, lag(language) over (partition by file_id order by seq) as before from {SEGMENTS})"""
+)
+def segment_gates(spark, d):
+    logprob, before = c("avg_logprob") / 4, F.lag("language").over(Window.partitionBy("file_id").orderBy("seq"))
+    df = some_arabic(spark, d).withColumn("before", before)
+    words = F.when(c("seq") % 2 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    follows = scores.condition_on_previous(scores.confidence(logprob, c("no_speech_prob")), logprob, c("language"), c("before"))
+    trusted = scores.trusted(logprob, c("avg_word_confidence"), c("compression_ratio"), c("mixed_script_ratio"), c("seq") % 5 == 0, c("seq") % 7 != 0, c("text"))
+    return df.select("file_id", "seq", scores.low_word_confidence(words, c("avg_word_confidence")).alias("low"), F.coalesce(follows, F.lit(False)).alias("follows"), trusted.alias("trusted"), scores.arabic_redraft(c("detected_lang"), c("text")).alias("redraft"))
+
+
+@query("select l_orderkey, l_linenumber, case when b = 0 then 0 else round(least(1, greatest(0, l_quantity * 2.2137 / 100 * (0.7 + 0.3 * (least(a, b) / greatest(a, b)::double)))), 4) end as confidence from (select *, l_linenumber * 10 as a, l_orderkey % 7 * 10 as b from lineitem)")
+def calibrated_scores(spark, d):
+    found = scores.calibrated(c("l_quantity") * 2.2137, c("l_linenumber") * 10, c("l_orderkey") % 7 * 10)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", found.alias("confidence"))
 
 
-_GATE = """case when asr >= 0.45 then 'asr_confidence_high' when ret < 0.85 then 'low_retrieval_similarity' when overlap < 0.6 then 'low_token_overlap' when n < 1 then 'no_narration_markers'
-  when greatest(a, b) > 0 and abs(a - b) / greatest(a, b) > 0.3 then 'length_delta_high' else '' end"""
+_GUESSED = f"""case when trim(a) = '' then 'und' when label <> 'und' and len({sql_words('a')}) >= 3 then case when label = 'ar' and {_URDU} then 'ur' else label end
+  when sure >= 0.85 then case when guess in ('ar', 'ur') then case when {_URDU} then 'ur' else 'ar' end else guess end
+  when regexp_matches(a, '[{text.ARABIC}]') then case when {_URDU} then 'ur' else 'ar' end when regexp_matches(a, '[A-Za-z]') then 'en' else coalesce(guess, 'und') end"""
+
+
+@query(f"select file_id, seq, {_GUESSED} as lang from (select file_id, seq, {_SOME_ARABIC} as a, case seq % 5 when 0 then 'ar' when 1 then 'ur' when 2 then 'en' else 'und' end as label, ['fr', 'ar', 'ur', 'de'][1 + (seq // 2) % 4] as guess, seq % 10 / 10.0::double as sure from {SEGMENTS})")
+def detected_languages(spark, d):
+    trusted = F.when(c("seq") % 5 == 0, "Arabic").when(c("seq") % 5 == 1, "urdu").when(c("seq") % 5 == 2, "EN").otherwise("xx")
+    guess = F.element_at(F.array(*map(F.lit, ("fr", "ar", "ur", "de"))), (F.expr("seq div 2") % 4 + 1).cast("int"))
+    return some_arabic(spark, d).select("file_id", "seq", language.detect("text", trusted=trusted, guess=guess, sure=c("seq") % 10 / 10.0).alias("lang"))
+
+
+@query(
+    f"""select file_id, seq, case when ok then trim(t) else text end as text, case when ok then (avg_logprob + avg_logprob / 2) / 2 else avg_logprob end as avg_logprob, case when ok then (avg_word_confidence + 0.9) / 2 else avg_word_confidence end as avg_word_confidence
+    from (select *, coalesce(seq % 3 = 0 and len(trim(t)) >= 3, false) as ok from (select *, '  ' || substr(text, 1, (seq % 8)::int) || ' ' as t from {SEGMENTS}))"""
+)
+def second_pass(spark, d):
+    own = segments(spark, d)
+    again = own.where(c("seq") % 3 == 0).select("file_id", "seq", F.concat(F.lit("  "), F.substring("text", F.lit(1), (c("seq") % 8).cast("int")), F.lit(" ")).alias("text"), (c("avg_logprob") / 2).alias("avg_logprob"), F.lit(0.9).alias("avg_word_confidence"))
+    return context.accept_second_pass(own, again, by=["file_id", "seq"]).select("file_id", "seq", "text", "avg_logprob", "avg_word_confidence")
 
 
-@query(f"select reason, count(*) as n from (select {_GATE} as reason from (select l_discount * 6 as asr, 1 - l_tax * 2 as ret, 1 - l_discount * 5 as overlap, l_linenumber - 1 as n, l_quantity as a, l_quantity + l_linenumber * 2 as b from lineitem)) group by all")
+@query(f"select file_id, seq, case when seq % 4 <> 0 then round(avg_word_confidence * 0.9, 4) end as confidence, case when seq % 4 <> 0 then false end as is_exact, case when seq % 4 <> 0 then text end as matched_text from {SEGMENTS}")
+def downgraded_match(spark, d):
+    verse = F.when(c("seq") % 4 != 0, F.struct(c("avg_word_confidence").alias("confidence"), F.lit(True).alias("is_exact"), F.lit("before").alias("matched_text")))
+    return segments(spark, d).select("file_id", "seq", scores.corrected(verse, c("text")).alias("m")).select("file_id", "seq", "m.*")
+
+
+_GATE = """case when k = 2 then 'structural_mismatch' when asr >= 0.45 then 'asr_confidence_high' when ret < 0.85 then 'low_retrieval_similarity' when overlap < 0.6 then 'low_token_overlap' when n < 1 then 'no_narration_markers'
+  when k = 3 then 'span_exceeds_limit' when greatest(a, b) > 0 and abs(a - b) / greatest(a, b) > 0.3 then 'length_delta_high' when k = 1 and sure > 0.45 then 'divergent_token_high_confidence' else '' end"""
+_DIVERGED = "array<struct<asr_token:string,retrieval_token:string,position:int,asr_word_confidence:double,is_divergent:boolean,similarity:double>>"
+
+
+@query(f"select reason, count(*) as n from (select {_GATE} as reason from (select (l_orderkey + l_linenumber) % 5 as k, l_tax * 10 as sure, l_discount * 6 as asr, 1 - l_tax * 2 as ret, 1 - l_discount * 5 as overlap, l_linenumber - 1 as n, l_quantity as a, l_quantity + l_linenumber * 2 as b from lineitem)) group by all")
 def safety_gates(spark, d):
-    none = F.array().cast("array<struct<asr_token:string,retrieval_token:string,position:int,asr_word_confidence:double,is_divergent:boolean,similarity:double>>")
-    gate = scores.suggestion_gate(c("l_discount") * 6, 1 - c("l_tax") * 2, 1 - c("l_discount") * 5, (c("l_linenumber") - 1).cast("int"), none, c("l_quantity"), c("l_quantity") + c("l_linenumber") * 2)
+    k, sure = (c("l_orderkey") + c("l_linenumber")) % 5, (c("l_tax") * 10).cast("double")
+    one = lambda source, confidence, apart: F.struct(F.lit("heard").alias("asr_token"), F.lit(source).alias("retrieval_token"), F.lit(0).alias("position"), confidence.alias("asr_word_confidence"), F.lit(apart).alias("is_divergent"), F.lit(0.5).alias("similarity"))
+    low = F.lit(0.1)
+    found = F.when(k == 1, F.array(one("said", sure, True))).when(k == 2, F.array(one("two words", low, True))).when(k == 3, F.array_repeat(one("said", low, True), 3)).when(k == 4, F.array(one("heard", sure, False))).otherwise(F.array().cast(_DIVERGED))
+    gate = scores.suggestion_gate(c("l_discount") * 6, 1 - c("l_tax") * 2, 1 - c("l_discount") * 5, (c("l_linenumber") - 1).cast("int"), found.cast(_DIVERGED), c("l_quantity"), c("l_quantity") + c("l_linenumber") * 2)
     return table(spark, d, "lineitem").select(F.substring_index(F.coalesce(gate, F.lit("")), " ", 1).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -355,28 +486,37 @@ def _sql_merge(joins: str, source: str) -> str:
     f as (select file_id, n, seq, seq as g, start as cs, "end" as ce, language as cl, nw as cw, ar as ca, avg_logprob as cp from s where n = 1 union all
     select file_id, n, seq, case when j then g else seq end, case when j then cs else start end, "end", case when j then cl else language end, case when j then cw + nw else nw end, case when j then ca or ar else ar end, case when j then (cp + avg_logprob) / 2 else avg_logprob end
     from (select s.*, f.g, f.cs, f.cl, f.cw, f.ca, f.cp, ({joins}) as j from f join s on s.file_id = f.file_id and s.n = f.n + 1))
-    select f.file_id, f.g as seq, count(*) as pieces, max(s."end") as "end", string_agg(s.text, ' ' order by s.n) as text from f join s on s.file_id = f.file_id and s.n = f.n group by all"""
+    select f.file_id, f.g as seq, max(s."end") as "end", string_agg(s.text, ' ' order by s.n) as text, arg_max(f.cp, s.n) as avg_logprob, max(s.no_speech_prob) as no_speech_prob from f join s on s.file_id = f.file_id and s.n = f.n group by all"""
 
 
 _SHORT = """f.cl = s.language and s."end" - f.cs < 30 and s.start - f.ce >= 0 and (((f.cw < 4 or s.nw < 4) and s.start - f.ce < 1.5) or ((f.cw < 2 or s.nw < 2) and s.start - f.ce < 0.7 and abs(f.cp - s.avg_logprob) < 0.5))"""
 
 
-@query(_sql_merge(_SHORT, SEGMENTS).replace('count(*) as pieces, ', ''))
+@query(_sql_merge(_SHORT, SEGMENTS))
 def merge_short(spark, d):
-    return folds.merge_short(segments(spark, d)).select("file_id", "seq", "end", "text")
+    return folds.merge_short(segments(spark, d)).select("file_id", "seq", "end", "text", "avg_logprob", "no_speech_prob")
 
 
 _QUOTES = """f.cl = 'ur' and s.language = 'ur' and f.ca and s.ar and s.start - f.ce >= 0 and s.start - f.ce < 2 and s."end" - f.cs < 45"""
 _HALF = f"(select * replace (case when seq % 4 = 3 then text else {sql_arabic('text')} end as text) from {SEGMENTS})"
 
 
-@query(_sql_merge(_QUOTES, _HALF).replace('count(*) as pieces, ', ''))
+@query(_sql_merge(_QUOTES, _HALF))
 def merge_quotes(spark, d):
     half = segments(spark, d).withColumn("text", F.when(c("seq") % 4 == 3, c("text")).otherwise(arabic("text")))
-    return folds.merge_quotes(half).select("file_id", "seq", "end", "text")
+    return folds.merge_quotes(half).select("file_id", "seq", "end", "text", "avg_logprob", "no_speech_prob")
 
 
-@query()
+_DOUBLED = f"""(select file_id, seq, start, e, t, ws, list_transform(ws, lambda w: {sql_normal('w')}) as norm, row_number() over (partition by file_id order by start, seq) as n from (select file_id, seq, start, "end" + 2 as e, t, {sql_words('t')} as ws
+  from (select *, case when seq % 2 = 0 then text else concat_ws(' ', lag(text) over (partition by file_id order by seq), text) end as t from {SEGMENTS})))"""
+_CUT = "case when s.start < f.e and f.e - s.start <= 2.5 then coalesce(list_max(list_filter(range(1, least(15, len(f.rest), len(s.norm)) + 1), lambda k: list_slice(f.rest, len(f.rest) - k + 1, len(f.rest)) = list_slice(s.norm, 1, k))), 0) else 0 end"
+
+
+@query(
+    f"""with recursive s as materialized (select * from {_DOUBLED}), f as (select file_id, n, seq, t, ws, e, norm as rest, 0::bigint as cut from s where n = 1 union all
+    select file_id, n, seq, t, ws, e, list_slice(norm, cut + 1, len(norm)), cut from (select s.file_id, s.n, s.seq, s.t, s.ws, s.e, s.norm, ({_CUT})::bigint as cut from f join s on s.file_id = f.file_id and s.n = f.n + 1))
+    select file_id, seq, text, removed_words from (select file_id, seq, case when cut > 0 then array_to_string(list_slice(ws, cut + 1, len(ws)), ' ') else t end as text, cut::int as removed_words, sum(cut) over (partition by file_id) as total from f) where total = 0 or trim(text) <> ''"""
+)
 def overlap_trim(spark, d):
     w = Window.partitionBy("file_id").orderBy("seq")
     doubled = segments(spark, d).withColumn("text", F.when(c("seq") % 2 == 0, c("text")).otherwise(F.concat_ws(" ", F.lag("text").over(w), "text"))).withColumn("end", c("end") + 2.0)
@@ -406,9 +546,8 @@ def language_lock(spark, d):
 
 @query("select user_id, count(*) filter (event_type <> before) as drift_events from (select user_id, event_type, lag(event_type) over (partition by user_id order by ts, event_id) as before from events) group by all")
 def drift_events(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    moved = F.coalesce(c("event_type") != F.lag("event_type").over(w), F.lit(False))
-    return table(spark, d, "events").withColumn("m", moved).groupBy("user_id").agg(F.count_if("m").alias("drift_events"))
+    df = table(spark, d, "events").select(c("user_id"), "ts", "event_id", c("event_type").alias("detected_lang"), c("value").alias("confidence"), c("value").alias("avg_logprob"), F.lit(0).alias("overlap_removed_words"), *(F.lit(False).alias(x) for x in ("language_locked", "quran_match", "hadith_match", "was_corrected", "is_flagged")))
+    return metrics.summary(df, ["ts", "event_id"], by="user_id").select("user_id", c("language_drift_events").alias("drift_events"))
 
 
 _EV = "(select user_id as file_id, event_id as seq, ts, ['ur', 'fa', 'en', 'nl', 'und', 'ar'][1 + event_id % 6] as detected_lang, value from events)"
@@ -424,16 +563,35 @@ def arabic_drift(spark, d):
     return metrics.drift(evaluated(spark, d), ["ts", "seq"])
 
 
-@query()
+_NAAT = quoted(prompts.MODES["naat"])
+_TRUSTED = f"avg_logprob / 4 > -0.45 and compression_ratio / 2 < 1.8 and len({sql_words('text')}) >= 3"
+
+
+@query(
+    f"""select file_id, seq, case when x = '' or len(ws) >= 6 and coalesce(list_max(list_transform(ps, lambda p: len(list_filter(ps, lambda q: q = p)))), 0) > 3 then {_NAAT} else {_NAAT} || ' ' || x end as prompt from (select *, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) as ps
+    from (select *, {sql_words('x')} as ws from (select file_id, seq, coalesce(array_to_string(list_slice(l, greatest(len(l) - 2, 1), len(l)), ' '), '') as x from (select file_id, seq, list_filter(list(case when {_TRUSTED} then text end) over (partition by file_id order by seq rows between 5 preceding and 1 preceding), lambda t: t is not null) as l from {SEGMENTS}))))"""
+)
 def context_prompts(spark, d):
     df = segments(spark, d).withColumns({"mode": F.lit("naat"), "retry_triggered": F.lit(False), "prompt_safe": F.lit(True), "avg_logprob": c("avg_logprob") / 4, "compression_ratio": c("compression_ratio") / 2, "mixed_script_ratio": F.lit(0.0), "avg_word_confidence": F.lit(0.9)})
     return context.contextual_prompts(df, ["seq"]).select("file_id", "seq", "prompt")
 
 
-@query("select lang, count(*) as n, case lang when 'en' then true else false end as own from documents group by all")
+_PROMPT = "case l " + " ".join(f"when '{k}' then {quoted(v)}" for k, v in prompts.LANGUAGES.items()) + f" else {quoted(prompts.MODES['bayan'])} end"
+
+
+@query(f"select l as lang, {_PROMPT} as prompt, count(*) as n from (select case lang when 'de' then 'ar' when 'es' then 'ur' else lang end as l from documents) group by all")
 def language_prompts(spark, d):
-    own = context.language_prompt(c("lang")) == context.language_prompt(F.lit("en"))
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.max(own).alias("own"))
+    lang = F.when(c("lang") == "de", "ar").when(c("lang") == "es", "ur").otherwise(c("lang"))
+    return table(spark, d, "documents").groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).withColumn("prompt", context.language_prompt(c("lang")))
+
+
+_MODE_PROMPT = "case m " + " ".join(f"when '{k}' then {quoted(v)}" for k, v in prompts.MODES.items()) + f" else {quoted(prompts.MODES['bayan'])} end"
+
+
+@query(f"select m as mode, {_MODE_PROMPT} as prompt, count(*) as n from (select ['quran', 'hadith', 'naat', 'bayan', 'other'][1 + event_id % 5] as m from events) group by all")
+def mode_prompts(spark, d):
+    mode = F.element_at(F.array(*map(F.lit, ("quran", "hadith", "naat", "bayan", "other"))), (c("event_id") % 5 + 1).cast("int"))
+    return table(spark, d, "events").groupBy(mode.alias("mode")).agg(F.count("*").alias("n")).withColumn("prompt", context.mode_prompt(c("mode")))
 
 
 # retrieval
@@ -536,8 +694,8 @@ def fuzzy_match(spark, d):
 
 @query()
 def window_fuzzy(spark, d):
-    own = damaged(spark, d).where("qid.kind = 'verse'").withColumn("query", F.concat_ws(" ", F.lit("some words before it"), "query"))
-    return retrieval.window_fuzzy(own, verses(spark, d)).select("qid.n", "matched_window", "idx", "confidence", "is_ambiguous", "close")
+    own = damaged(spark, d).withColumn("query", F.concat_ws(" ", F.lit("some words before it"), "query"))
+    return retrieval.window_fuzzy(own, verses(spark, d)).select("qid.kind", "qid.n", "matched_window", "idx", "confidence", "is_ambiguous", "close")
 
 
 @query()
@@ -547,21 +705,20 @@ def verse_match(spark, d):
 
 @query()
 def narration_match(spark, d):
-    asked = damaged(spark, d).where("qid.kind = 'verse'").select("qid", "query")
-    return retrieval.match_narrations(asked, items(spark, d)).select("qid.n", "idx", "confidence", "is_paraphrase")
+    asked = damaged(spark, d).select("qid", "query")
+    return retrieval.match_narrations(asked, items(spark, d)).select("qid.kind", "qid.n", "idx", "confidence", "is_paraphrase")
 
 
 @query()
 def remote_match(spark, d):
-    asked = damaged(spark, d).where("qid.kind = 'verse'").select("qid", "query")
+    asked = damaged(spark, d).select("qid", "query")
     hits = retrieval.search(asked, items(spark, d)).where("rank <= 5").select("qid", "idx", "rank").join(asked, "qid").join(items(spark, d), "idx")
-    return retrieval.score_remote(hits).select("qid.n", "idx", "confidence")
+    return retrieval.score_remote(hits).select("qid.kind", "qid.n", "idx", "confidence")
 
 
 @query(f"select conv_id, turn, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double as jaccard from (select conv_id, turn, list_distinct({sql_words('text')}) as a, list_distinct({sql_words('before')}) as b from (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations) where before is not null)")
 def token_jaccard(spark, d):
-    a, b = (F.array_distinct(text.words(c(x))) for x in ("text", "before"))
-    return paired(spark, d).select("conv_id", "turn", (F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).alias("jaccard"))
+    return paired(spark, d).select("conv_id", "turn", similarity.scored("jaccard")("text", "before")["jaccard"].alias("jaccard"))
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:
@@ -581,9 +738,16 @@ def cer_metric(spark, d):
     return paired(spark, d).select("conv_id", "turn", similarity.char_error_rate(a, b).alias("cer"))
 
 
-@query()
+_PAIRS = f"(select *, {sql_words('before')} as r, {sql_words('text')} as h from (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations) where before is not null)"
+#: Rows of edit distances, one word of the reference after the other; the least over all shorter prefixes stands for insertions.
+_ROWS = f"""f as (select conv_id, turn, r, h, 0 as i, range(0, len(h) + 1) as d from {_PAIRS} union all
+  select conv_id, turn, r, h, i + 1, list_transform(range(0, len(h) + 1), lambda j: j + list_min(list_transform(range(0, j + 1), lambda k: case when k = 0 then i + 1 else least(d[k + 1] + 1, d[k] + case when r[i + 1] = h[k] then 0 else 1 end) - k end)))
+  from f where i < len(r))"""
+
+
+@query(f"with recursive {_ROWS} select conv_id, turn, round(d[len(h) + 1] / len(r)::double, 6) as wer from f where i = len(r)")
 def wer_metric(spark, d):
-    rates = metrics.error_rates(paired(spark, d).select("conv_id", "turn", c("before").alias("reference"), c("text").alias("hypothesis")))
+    rates = metrics.error_rates(spread(paired(spark, d).select("conv_id", "turn", c("before").alias("reference"), c("text").alias("hypothesis"))))
     return rates.select("conv_id", "turn", F.round("wer", 6).alias("wer"))
 
 
@@ -638,10 +802,46 @@ def eval_summary(spark, d):
     return metrics.evaluation(diagnosed(spark, d), ["seq"])
 
 
-@query("select count(*) as files, avg(quality)::double as mean_wer, avg(toxic)::double as mean_cer, sum(quality)::bigint as drift_events, sum(toxic)::bigint as quran_matches, 0::bigint as hadith_matches from labels")
+def told(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files (a turn each), their hypotheses (that turn) and references (the turn before; of some files there is none)."""
+    rows = paired(spark, d).withColumn("file_id", c("conv_id") * 1000 + c("turn"))
+    ascii_ = lambda x: F.regexp_replace(x, "[^ -~]", "?")
+    return rows.select("file_id", F.lit("lecture").alias("type")), rows.select("file_id", ascii_("text").alias("text")), rows.where("file_id % 5 != 0").select("file_id", ascii_("before").alias("text"))
+
+
+def told_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return diagnosed(spark, d).withColumn("file_id", c("file_id") * 1000 + c("turn")).where("file_id % 7 != 0")
+
+
+_TOLD = f"""with recursive {_ROWS.replace("conv_id, turn, text, lag", "conv_id, turn, regexp_replace(text, '[^ -~]', '?', 'g') as text, lag").replace("lag(text)", "lag(regexp_replace(text, '[^ -~]', '?', 'g'))").replace('select conv_id, turn, r, h, 0 as i', 'select conv_id, turn, text, before, r, h, 0 as i').replace('select conv_id, turn, r, h, i + 1', 'select conv_id, turn, text, before, r, h, i + 1')},
+  w as (select conv_id * 1000 + turn as file_id, case when file_id % 5 = 0 then 0 else d[len(h) + 1] / len(r)::double end as wer, case when file_id % 5 = 0 then 0 else levenshtein(before, text) / len(before)::double end as cer from f where i = len(r)),
+  g as (select file_id * 1000 + turn as file_id, count(*) as total_segments, count(*) filter (seq % 17 = 0) / count(*)::double as flagged_rate, count(*) filter (seq % 3 = 0) as quran_matches, count(*) filter (seq % 19 = 0) / count(*)::double as retry_trigger_rate from {SEGMENTS} where (file_id * 1000 + turn) % 7 <> 0 group by all),
+  e as (select w.file_id, wer, cer, coalesce(total_segments, 0) as total_segments, coalesce(flagged_rate, 0) as flagged_rate, coalesce(quran_matches, 0) as quran_matches, coalesce(retry_trigger_rate, 0) as retry_trigger_rate from w left join g on g.file_id = w.file_id)"""
+
+
+@query(f"{_TOLD} select file_id, round(wer, 6) as wer, round(cer, 6) as cer, total_segments, flagged_rate, quran_matches, retry_trigger_rate from e")
+def evaluated_files(spark, d):
+    files, heard, known = told(spark, d)
+    found = metrics.evaluated_files(files, heard, known, told_diagnostics(spark, d), ["seq"])
+    return found.select("file_id", F.round("wer", 6).alias("wer"), F.round("cer", 6).alias("cer"), "total_segments", "flagged_rate", "quran_matches", "retry_trigger_rate")
+
+
+@query(f"{_TOLD} select count(*) as total_files, round(avg(wer), 6) as avg_wer, round(avg(cer), 6) as avg_cer, round(avg(flagged_rate), 6) as avg_flag_rate, 0::bigint as total_arabic_drift_events, 0::double as avg_mixed_script_ratio, sum(quran_matches)::bigint as total_quran_matches_detected, round(avg(retry_trigger_rate), 6) as avg_retry_trigger_rate from e")
 def eval_over_files(spark, d):
-    df = table(spark, d, "labels").select(c("quality").cast("double").alias("wer"), c("toxic").cast("double").alias("cer"), c("quality").cast("double").alias("drift_events"), c("toxic").cast("double").alias("quran_matches"), F.lit(0.0).alias("hadith_matches"))
-    return metrics.over_files(df)
+    files, heard, known = told(spark, d)
+    out = metrics.evaluation_summary(metrics.evaluated_files(files, heard, known, told_diagnostics(spark, d), ["seq"]))
+    return out.select(*(F.round(x, 6).alias(x) if t == "double" else c(x) for x, t in out.dtypes))
+
+
+@query(
+    f"""select o_orderkey as file_id, coalesce(n, 0) as total_segments, o_orderkey % 50 + 1.5::double as runtime_seconds, round(o_totalprice / 1000 / 1000, 2) as retry_time_seconds, round(coalesce(retries, 0) / (case when d > 0 then d else 1 end / 3600), 2) as retries_per_hour_audio, case when coalesce(n, 0) > 0 then round(o_totalprice / 1000 / n, 3) else 0 end as avg_decode_time_per_segment
+    from (select *, case when o_orderkey % 5 = 0 then null else o_totalprice / 100 end as d from orders) left join (select l_orderkey, count(*) as n, count(*) filter (l_linenumber % 2 = 0) as retries from lineitem where l_orderkey % 3 <> 0 group by all) on l_orderkey = o_orderkey"""
+)
+def run_metadata(spark, d):
+    own = table(spark, d, "lineitem").where("l_orderkey % 3 != 0").select(c("l_orderkey").alias("file_id"), (c("l_linenumber") % 2 == 0).alias("retry_triggered"))
+    price = c("o_totalprice").cast("double")
+    files = table(spark, d, "orders").select(c("o_orderkey").alias("file_id"), F.when(c("o_orderkey") % 5 != 0, price / 100).alias("duration"), price.alias("transcription_ms"), (price / 1000).alias("retry_decode_ms"), (c("o_orderkey") % 50 + 1.5).alias("elapsed_seconds"))
+    return metrics.run_metadata(own, files)
 
 
 @query(f"select file_id, count(*) as total_segments, count(*) filter (seq % 3 = 0) as arabic_segments, count(*) filter (seq % 7 = 0) as formula_hits, count(*) filter (avg_logprob < -1.5) as low_quality_segments from {SEGMENTS} group by all")
@@ -660,10 +860,23 @@ def header_stats(spark, d):
 # sources, sinks and plans
 
 
+_SPAN = "a span of more words than sixty letters can show, which is cut"
+_VERSE_SQL = "seq % 7 = 1"
+_REFS_SQL = "2:1, 2:2, 2:3, 2:4, 2:5, 2:6, 2:7, 2:8, …+2 more"
+_QURAN_SQL = f"""case when seq % 14 = 1 then 'Quran [ambiguous — 10 ayahs] (93%) possible: {_REFS_SQL}' else 'Quran 2:' || (seq % 6 + 1) || ' — Al-Baqarah' || case when seq % 3 = 0 then ' ✓exact' else '' end || ' (93%)' end || case when seq % 2 = 0 then '' else ' [span: "{_SPAN[:60]}…"]' end"""
+
+
 def enriched(spark: SparkSession, d: str) -> DataFrame:
     none = {"formula_match": transcripts.FORMULA, "quran_match": transcripts.VERSE, "hadith_match": transcripts.NARRATION}
     df = segments(spark, d).withColumns({k: F.lit(None).cast(t) for k, t in none.items()} | {"detected_lang": c("language"), "is_flagged": c("seq") % 9 == 0, "flag_reason": F.lit("No Quran or Hadith match found"), "was_corrected": F.lit(False), "raw_text": c("text"), "words": F.array(F.struct(F.lit("w").alias("word"), F.lit(0.0).alias("start"), F.lit(0.1).alias("end"), F.lit(0.94).alias("probability")))})
     df = df.withColumn("formula_match", F.when(c("seq") % 5 == 0, F.struct(F.lit("Takbir").alias("label"), F.lit("x").alias("matched_text"), F.lit(1.0).alias("confidence"))).cast(transcripts.FORMULA))
+    refs = F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.struct(F.lit(2).alias("surah_id"), F.lit("x").alias("surah_name"), i.alias("ayah_id")))
+    verse = F.struct(
+        F.lit(2).alias("surah_id"), F.lit("Al-Baqarah").alias("surah_name"), (c("seq") % 6 + 1).cast("int").alias("ayah_id"), F.lit("o").alias("original_text"), F.when(c("seq") % 2 == 0, c("text")).otherwise(F.lit(_SPAN)).alias("matched_text"), F.lit(0.93).alias("confidence"),
+        (c("seq") % 3 == 0).alias("is_exact"), (c("seq") % 14 == 1).alias("is_ambiguous"), F.lit(10).alias("ambiguous_count"), F.when(c("seq") % 14 == 1, refs).alias("alternate_refs"),
+    )
+    narration = F.struct(*(F.lit(x).alias(k) for k, x in (("collection", "bukhari"), ("hadith_number", "7"), ("arabic_text", "a"), ("english_text", "e"), ("matched_text", "m"), ("confidence", 0.91))), (c("seq") % 2 == 0).alias("is_paraphrase"), F.lit("").alias("chapter"))
+    df = df.withColumns({"quran_match": F.when(c("seq") % 7 == 1, verse).cast(transcripts.VERSE), "hadith_match": F.when(c("seq") % 7 == 2, narration).cast(transcripts.NARRATION)})
     return df.withColumns({"hadith_retrieval_confidence": F.lit(0.0), "hadith_correction_type": F.lit(""), "hadith_correction_detail": F.lit(""), "hadith_suggestion_safe": F.lit(False), "language_locked": F.lit(False), "lock_reason": F.lit(""), "prompt_mode": F.lit("bayan"), "retry_triggered": F.lit(False), "retry_reason": F.array().cast("array<string>"), "confidence_delta": F.lit(0.0)})
 
 
@@ -673,7 +886,7 @@ def _sql_time(x: str, millis: bool = True) -> str:
 
 
 @query(
-    f"""select file_id, string_agg(n || chr(10) || {_sql_time('start')} || ' --> ' || {_sql_time('"end"')} || chr(10) || '[' || upper(language) || '] ' || text || case when seq % 5 = 0 then chr(10) || '[FORMULA Takbir]' else '' end || chr(10), chr(10) order by n) as content
+    f"""select file_id, string_agg(n || chr(10) || {_sql_time('start')} || ' --> ' || {_sql_time('"end"')} || chr(10) || '[' || upper(language) || '] ' || text || case when {_VERSE_SQL} then chr(10) || '[QURAN 2:' || (seq % 6 + 1) || ']' when seq % 7 = 2 then chr(10) || '[HADITH bukhari #7]' when seq % 5 = 0 then chr(10) || '[FORMULA Takbir]' else '' end || chr(10), chr(10) order by n) as content
     from (select *, row_number() over (partition by file_id order by start, seq) as n from {SEGMENTS}) group by all"""
 )
 def srt_lines(spark, d):
@@ -682,7 +895,7 @@ def srt_lines(spark, d):
 
 @query(
     f"""select file_id, '{transcripts.RULE}' || chr(10) || ' ISLAMIC LECTURE TRANSCRIPT' || chr(10) || ' Duration: ' || {_sql_time('arg_max("end", seq)', False)} || '  |  Segments: ' || count(*) || chr(10) || ' Languages: ' || array_to_string(list_filter([case when count(*) filter (language = 'en') > 0 then 'EN: ' || count(*) filter (language = 'en') end, case when count(*) filter (language = 'ur') > 0 then 'UR: ' || count(*) filter (language = 'ur') end], lambda x: x is not null), '  ')
-    || chr(10) || '{transcripts.RULE}' || chr(10) || chr(10) || string_agg('[' || {_sql_time('start', False)} || '] [' || upper(language) || '] ' || text || case when seq % 5 = 0 then chr(10) || '           ↳ ☪ Takbir' when seq % 9 = 0 then '  ⚠ [unverified — see flagged.txt]' else '' end, chr(10) order by start, seq)
+    || chr(10) || '{transcripts.RULE}' || chr(10) || chr(10) || string_agg('[' || {_sql_time('start', False)} || '] [' || upper(language) || '] ' || text || case when seq % 5 = 0 then chr(10) || '           ↳ ☪ Takbir' when {_VERSE_SQL} then chr(10) || '           ↳ 📖 ' || {_QURAN_SQL} when seq % 7 = 2 then chr(10) || '           ↳ 📜 Hadith — Bukhari #7 (91%)' || case when seq % 2 = 0 then ' ⚠ paraphrase' else '' end when seq % 9 = 0 then '  ⚠ [unverified — see flagged.txt]' else '' end, chr(10) order by start, seq)
     || chr(10) || chr(10) || '{transcripts.RULE}' || chr(10) || ' Total segments: ' || count(*) || chr(10) || '{transcripts.RULE}' as content from {SEGMENTS} group by all"""
 )
 def txt_transcripts(spark, d):
@@ -694,14 +907,25 @@ def json_transcripts(spark, d):
     return transcripts.json_array(enriched(spark, d))
 
 
-@query()
+_REVIEW = f"""string_agg('{'-' * 72}' || chr(10) || '#' || n || '  [' || {_sql_time('start', False)} || ' → ' || {_sql_time('"end"', False)} || ']' || chr(10) || '  Text   : ' || text || chr(10) || '  Reason : No Quran or Hadith match found' || chr(10) || '  Words  : w(0.94)' || chr(10) || '  Verified: {'_' * 55}' || chr(10), chr(10) order by n)"""
+_HEAD = " || chr(10) || ".join(quoted(x) for x in ("=" * 72, "FLAGGED ARABIC SEGMENTS — REQUIRES HUMAN VERIFICATION", "These segments were transcribed as Arabic but could not be", "matched to the Quran corpus or Sunnah.com hadith database.", "Fill in the 'Verified:' field after manual review.", "=" * 72, ""))
+
+
+@query(f"select file_id, {_HEAD} || chr(10) || {_REVIEW} || chr(10) || '{'-' * 72}' || chr(10) || 'Total flagged: ' || count(*) || chr(10) || '{'-' * 72}' as content from (select *, row_number() over (partition by file_id order by start, seq) as n from {SEGMENTS} where seq % 9 = 0) group by all")
 def flagged_lists(spark, d):
     return transcripts.flagged(enriched(spark, d))
 
 
-@query()
+@query(
+    f"""select file_id, seq as segment_id, start, "end", substr(text, 1, 60) as text_preview, language as detected_lang, round(0.25 * (1 - no_speech_prob) + 0.5 * greatest(0, 1 + avg_logprob) + 0.25 * case when compression_ratio > 0 then least(1, greatest(0, 2 - compression_ratio)) else 1 end, 4) as confidence, avg_logprob,
+    len({sql_words('text')})::int as word_count, {_VERSE_SQL} as quran_match, case when {_VERSE_SQL} then 0.93::double else 0 end as quran_confidence, coalesce({_VERSE_SQL} and seq % 3 = 0, false) as quran_is_exact, coalesce({_VERSE_SQL} and seq % 14 = 1, false) as quran_is_ambiguous,
+    seq % 7 = 2 as hadith_match, case when seq % 7 = 2 then 0.91::double else 0 end as hadith_confidence, seq % 5 = 0 as formula_match, seq % 9 = 0 as is_flagged, mixed_script_ratio from {SEGMENTS}"""
+)
 def diagnostics_rows(spark, d):
-    return transcripts.diagnostics(enriched(spark, d))
+    return transcripts.diagnostics(enriched(spark, d)).select(
+        "file_id", "segment_id", "start", "end", "text_preview", "detected_lang", "confidence", "avg_logprob", "word_count", "quran_match", "quran_confidence", "quran_is_exact", "quran_is_ambiguous",
+        "hadith_match", "hadith_confidence", "formula_match", "is_flagged", "mixed_script_ratio",
+    )
 
 
 @query(f"select collection, hadith_no, hadith_id, text_ar_normalized from (select *, row_number() over (partition by collection, hadith_no order by doc_id) as n from (select doc_id, lower(trim(source)) as collection, (n_chars % 50)::varchar as hadith_no, doc_id::int as hadith_id, {sql_normal('trim(text)')} as text_ar_normalized from documents where len(trim(text)) >= 10)) where n = 1")
@@ -710,6 +934,75 @@ def corpus_first_wins(spark, d):
     return corpora.narrations_of(raw, "doc_id", nfc=False).select("collection", "hadith_no", "hadith_id", "text_ar_normalized")
 
 
+@query("select conv_id, turn, role, text from conversations")
+def jsonl_rows(spark, d):
+    """Rows written as JSON lines and read again."""
+    path = fresh_folder(spark, "jsonl")
+    table(spark, d, "conversations").select("conv_id", "turn", "role", "text").write.json(path)
+    return read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
+
+
+_SPOKEN = f"(select item_id, pos, line, row_number() over (order by item_id, pos) - 1 as idx from {sql_lines('benchmark')})"
+
+
+def spoken(spark: SparkSession, d: str) -> DataFrame:
+    """Items of ``benchmark`` as chapters, their sentences as verses, written as a JSON array and read as a corpus."""
+    path = fresh_folder(spark, "chapters")
+    verse = F.struct((c("pos") + 1).alias("id"), c("line").alias("text"))
+    chapters = lines(spark, d, "benchmark").groupBy(c("item_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("pos", verse.alias("v")))).alias("x"))
+    objects = chapters.select(F.to_json(F.struct("id", F.when(c("id") % 2 == 0, F.concat(F.lit("n"), c("id").cast("string"))).alias("name"), F.transform("x", lambda x: x["v"]).alias("verses"))).alias("o"))
+    objects.agg(F.concat(F.lit("["), F.array_join(F.collect_list("o"), ",\n"), F.lit("]")).alias("value")).write.text(path)
+    return corpora.read_verses(spark, path, nfc=False)
+
+
+@query(f"select idx, item_id::int as surah_id, case when item_id % 2 = 0 then 'n' || item_id else 'Surah ' || item_id end as surah_name, (pos + 1)::int as ayah_id, line as text, {sql_canon('line')} as canon from {_SPOKEN}")
+def verse_corpus(spark, d):
+    return spoken(spark, d)
+
+
+@query(f"select count(distinct item_id) as chapters, count(*) as verses, count(distinct item_id) = 114 and count(*) = 6236 as complete from {_SPOKEN}")
+def corpus_counts(spark, d):
+    return corpora.completeness(spoken(spark, d))
+
+
+_CSV = "(select doc_id, lower(trim(source)) as collection, (n_chars % 50)::varchar as hadith_no, case when doc_id % 11 = 0 then 'x1' else doc_id::varchar end as hadith_id, trim(text) as t from documents)"
+_CSV_KEPT = f"(select * from (select *, row_number() over (partition by collection, hadith_no order by doc_id) as first from {_CSV} where len(t) >= 10 and hadith_id <> 'x1') where first = 1)"
+
+
+def told_in_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a CSV file of narrations in order of id, read again; some ids are no numbers."""
+    path = fresh_folder(spark, "csv")
+    rows = table(spark, d, "documents").orderBy("doc_id").coalesce(1).select(
+        c("doc_id").cast("string").alias("id"), F.when(c("doc_id") % 11 == 0, "x1").otherwise(c("doc_id").cast("string")).alias("hadith_id"), "source", F.lit("1").alias("chapter_no"), (c("n_chars") % 50).cast("string").alias("hadith_no"),
+        F.lit("c").alias("chapter"), F.lit("0").alias("chain_indx"), c("text").alias("text_ar"), F.lit("e").alias("text_en"),
+    )
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return corpora.read_narrations(spark, path, nfc=False)
+
+
+@query(f"select collection, hadith_no, hadith_id::int as hadith_id, {sql_normal('t')} as normal from {_CSV_KEPT}")
+def narration_csv(spark, d):
+    return told_in_csv(spark, d).select("collection", "hadith_no", "hadith_id", c("text_ar_normalized").alias("normal"))
+
+
+@query(f"select collection, count(*) as n from {_CSV_KEPT} group by all")
+def narration_table(spark, d):
+    """The stored table, a folder a collection."""
+    path = fresh_folder(spark, "narrations")
+    corpora.write_narrations(told_in_csv(spark, d), path)
+    return metrics.collection_counts(corpora.stored_narrations(spark, path), "collection")
+
+
+@query("select query, case when any_value(conv_id) % 3 = 0 then 'held' else 'asked' end as source from (select 'conversation number ' || conv_id as query, conv_id from conversations) group by query, conv_id")
+def cached_search(spark, d):
+    """Answers of a third of the queries are held, those of another third are too old."""
+    asked = table(spark, d, "conversations").select(F.concat(F.lit("conversation number "), c("conv_id").cast("string")).alias("query"), "conv_id")
+    age = F.when(c("conv_id") % 3 == 0, F.expr("INTERVAL 1 DAY")).otherwise(F.expr("INTERVAL 40 DAYS"))
+    cache = asked.where("conv_id % 3 < 2").distinct().select("query", F.lit("held").alias("source"), (F.current_timestamp() - age).alias("fetched_at"))
+    search = lambda q: q.select("query", F.lit("asked").alias("source"), F.current_timestamp().alias("fetched_at"))
+    return corpora.cached(asked, cache, search).select("query", "source")
+
+
 @query(r"select conv_id::int as id, count(*) as n, string_agg(trim(replace(text, chr(10), ' ')), '|' order by turn) as texts from conversations group by all")
 def chapters_from_text(spark, d):
     rows = table(spark, d, "conversations").select(F.concat_ws("|", "conv_id", "turn", F.replace("text", F.lit("\n"), F.lit(" "))).alias("value"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import logging
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, text
 
+log = logging.getLogger("segmenta")
+HITS = "array<struct<collection:string,hadith_number:string,text_ar:string,text_en:string>>"
 VERSES = "id int, name string, verses array<struct<id:int,text:string>>"
 NARRATIONS = ["id", "hadith_id", "source", "chapter_no", "hadith_no", "chapter", "chain_indx", "text_ar", "text_en"]
 
@@ -66,11 +71,67 @@ def read_narrations(spark: SparkSession, path: str, *, nfc: bool = True) -> Data
     return narrations_of(laid, "_row", nfc=nfc).drop("_row")
 
 
+def numbered(narrations: DataFrame) -> DataFrame:
+    """Narrations as ``annotate`` reads them (idx, collection, hadith_number, text_ar, text_en, chapter, canon).
+
+    idx is a hash of collection and number, which name a row of ``narrations_of``, so it is the same whenever it is computed.
+    """
+    key = F.xxhash64("collection", F.coalesce("hadith_no", F.lit("")))
+    return narrations.select(key.alias("idx"), "collection", F.col("hadith_no").alias("hadith_number"), "text_ar", "text_en", "chapter", text.canonical("text_ar").alias("canon"))
+
+
+def write_narrations(narrations: DataFrame, path: str) -> dict[str, int]:
+    """The narration table as Parquet, a folder a collection; returns how many rows each has.  A table that is there is replaced."""
+    narrations.write.mode("overwrite").partitionBy("collection").parquet(path)
+    return dict(narrations.sparkSession.read.parquet(path).groupBy("collection").count().orderBy("collection").collect())
+
+
+def stored_narrations(spark: SparkSession, path: str) -> DataFrame:
+    """The table of ``write_narrations``."""
+    return spark.read.parquet(path)
+
+
 def checked(df: DataFrame, path_column: str, digest: str) -> DataFrame:
     """Adds ``valid``: whether the ``content`` (as the binaryFile source reads it) has the SHA-256 digest."""
     return df.select(path_column, (F.sha2("content", 256) == digest).alias("valid"))
 
 
+def remote(ask: Callable[[str], list[dict]], *, spacing: float = 1.0, retries: int = 3, backoff: float = 2.0, tasks: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """A search for ``cached`` from a function that asks a remote service one query: (query, hits, fetched_at).
+
+    Requests of a task are ``spacing`` seconds apart; a failed one is asked again up to ``retries`` times, each time after
+    ``backoff`` times as long; what still fails has no hits.  ``tasks`` bounds how many ask at once.  ``ask`` returns rows of
+    collection, hadith_number, text_ar, text_en, best first.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = 0.0
+        for batch in batches:
+            rows = []
+            for query in batch["query"]:
+                wait, hits = spacing, []
+                for left in range(retries, -1, -1):
+                    time.sleep(max(0.0, last + wait - time.monotonic()))
+                    last = time.monotonic()
+                    try:
+                        hits = ask(query)
+                        break
+                    except OSError:
+                        wait *= backoff
+                        if not left:
+                            log.warning("no answer to %r", query)
+                rows.append((query, hits, pd.Timestamp.now("UTC").tz_localize(None)))
+            yield pd.DataFrame(rows, columns=["query", "hits", "fetched_at"])
+
+    return lambda asked: asked.select("query").repartition(tasks).mapInPandas(run, f"query string, hits {HITS}, fetched_at timestamp_ntz").withColumn("fetched_at", F.col("fetched_at").cast("timestamp"))
+
+
+def completeness(verses: DataFrame, chapters: int = 114, total: int = 6236) -> DataFrame:
+    """One row: chapters and verses that a corpus has, and ``complete``: whether they are as many as they should be."""
+    counts = verses.agg(F.count_distinct("surah_id").alias("chapters"), F.count("*").alias("verses"))
+    return counts.withColumn("complete", (F.col("chapters") == chapters) & (F.col("verses") == total))
+
+
 def cached(queries: DataFrame, cache: DataFrame | None, search: Callable[[DataFrame], DataFrame], *, days: int = 30) -> DataFrame:
     """Answers of a remote search (query, hits, fetched_at): fresh ones from the cache table, the rest by ``search``.
 

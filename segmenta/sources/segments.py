@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = "struct<word:string,start:double,end:double,probability:double>"
 SEGMENT = (
@@ -67,6 +68,28 @@ def recordings(spark: SparkSession, path: str, *, most_mb: float = 500.0, most_s
     return files.withColumn("problem", problem).withColumn("warning", F.when(~known, "unknown ending"))
 
 
+def preprocessed(files: DataFrame, clean: Callable[[bytes], bytes] | None) -> DataFrame:
+    """Recordings (path, content) with their audio cleaned before recognition by a function of bytes to bytes.
+
+    Adds ``cleaned``: whether it was.  Without a function, and where it fails, the audio stays as it is.
+    """
+    if clean is None:
+        return files.withColumn("cleaned", F.lit(False))
+    shape = T.StructType([*files.schema.fields, T.StructField("cleaned", T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            done = []
+            for content in batch["content"]:
+                try:
+                    done.append((clean(content), True))
+                except (OSError, ValueError):
+                    done.append((content, False))
+            yield batch.assign(content=[x for x, _ in done], cleaned=[ok for _, ok in done])
+
+    return files.mapInPandas(run, shape)
+
+
 def recognised(files: DataFrame, recogniser: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
     """Segments from a recogniser over (path, start, end): a function of batches to rows of SEGMENT.
 
