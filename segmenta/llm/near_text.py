@@ -155,8 +155,10 @@ def links(nodes: DataFrame, texts: DataFrame, *, rounds: int = 3) -> DataFrame:
     stars, used = nodes.sparkSession.createDataFrame([], "a long, b long"), nodes.sparkSession.createDataFrame([], "node long")
 
     def more(pairs: DataFrame) -> DataFrame:
-        """The stars with what is alike of ``pairs``."""
+        """The stars with what is alike of ``pairs``; the same ones if nothing is."""
         found = written(verified(written(pairs, "pairs"), texts), "alike")
+        if not found.head(1):
+            return stars
         return connected_components(stars.union(found)).where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
 
     def connected(held: DataFrame) -> DataFrame:
@@ -174,8 +176,9 @@ def links(nodes: DataFrame, texts: DataFrame, *, rounds: int = 3) -> DataFrame:
         hubs = written(held.join(used, "node", "left_anti").groupBy("key").agg(hub.alias("h")).select("key", "h.hub", "h.hub_n", "h.hub_part"), "hubs")
         used = used.union(hubs.select("hub")).distinct()
         pairs = held.join(hubs, "key").where((F.col("part") != F.col("hub_part")) & near)
-        stars = more(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-        held = connected(held.select("node", "n", "central", "key"))
+        before, stars = stars, more(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+        if stars is not before:
+            held = connected(held.select("node", "n", "central", "key"))
     sketch = F.arrow_udf(lambda text: pa.array([sketch_of(shingles(x.as_py())) for x in text], pa.binary()), "binary")
     sketches = written(texts.join(held.select("node").distinct(), "node").select("node", sketch("text").alias("sketch")), "sketches")
     return more(held.join(sketches, "node").join(nodes.select("node", "keys"), "node").groupBy("key").applyInArrow(screened, "a long, b long"))

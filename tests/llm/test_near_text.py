@@ -87,3 +87,14 @@ def test_pieces_of_a_long_text_do_not_show(monkeypatch):
     for piece in (1, 7, 64):
         monkeypatch.setattr(simhash, "PIECE", piece)
         assert near_text.shingles(text).tolist() == want
+
+
+def test_rounds_that_find_nothing_connect_nothing(spark, monkeypatch):
+    calls, connected = [], near_text.connected_components
+    monkeypatch.setattr(near_text, "connected_components", lambda edges: calls.append(1) or connected(edges))
+    rng = random.Random(1)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(i, edited(rng, base, 20), "en", "a", 0) for i in range(12)]
+    kept = near_text.drop_near_copies(spark.createDataFrame(rows, SCHEMA))
+    assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == brute_kept(rows)
+    assert kept.count() == len(rows) and not calls

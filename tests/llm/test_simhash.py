@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from segmenta.llm import simhash
+from segmenta.llm import components, simhash
 from segmenta.llm.components import connected_components
 
 
@@ -81,3 +81,13 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(60)] + [(200, 100), (100, 150), (7, 7), (200, 100)]
     got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(61)} | {100: 100, 150: 100, 200: 100}
+
+
+def test_components_write_no_table_that_changes_nothing(spark, monkeypatch):
+    names, written = [], components.written
+    monkeypatch.setattr(components, "written", lambda df, name: names.append(name) or written(df, name))
+    for edges, tables in (([], 1), ([(1, 2), (3, 1), (1, 3), (8, 9)], 1), ([(1, 2), (2, 3)], 2)):
+        names.clear()
+        got = dict(tuple(r) for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+        assert got == {n: 8 if n > 7 else 1 for e in edges for n in e}
+        assert len(names) == tables
