@@ -639,7 +639,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("qid"), text.canonical("text", nfc=False).alias("query"))
+    return texts(spark, d, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("qid"), text.canonical("text", nfc=False).alias("query"))
 
 
 _ITEMS = f"(select item_id as idx, {sql_canon('text')} as canon from benchmark)"
@@ -660,8 +660,8 @@ def trigram_topk(spark, d):
 )
 def jaccard_rerank(spark, d):
     asked, corpus = turns(spark, d), items(spark, d)
-    near = retrieval.gram_candidates(asked, retrieval.gram_index(corpus), n=10)
-    return retrieval.rerank(near.join(asked, "qid").join(corpus, "idx"), n=5, above=0).select("qid", "idx", c("rank").cast("long").alias("rank"))
+    near = retrieval.gram_candidates(asked, retrieval.gram_index(corpus), n=10, overlap=True)
+    return retrieval.rerank(near, n=5, above=0).select("qid", "idx", c("rank").cast("long").alias("rank"))
 
 
 _TERMS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
