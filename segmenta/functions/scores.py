@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,7 +70,7 @@ def corrected(match: Column, raw: Column) -> Column:
     return F.when(match.isNotNull(), lower)
 
 
-# Signals of what a lecture is doing.
+# Signals of what a lecture is doing, of two words at most (``signal_bits`` relies on it).
 SIGNALS = {
     "quran": ("سورة", "آية", "تلاوت", "قرآن", "اعوذ", "بسم الله"),
     "hadith": ("حدیث", "بخاری", "مسلم", "ترمذی", "روایت", "حدثنا", "اخبرنا", "قال رسول"),
@@ -76,10 +78,26 @@ SIGNALS = {
 }
 
 
-def content_mode(recent: Column) -> Column:
-    """The mode whose signals a text holds most of, two at least; else ``bayan``.  Ties go to the earlier mode."""
-    lower = F.lower(text.column(recent))
-    counts = {mode: sum((F.when(lower.contains(s), 1).otherwise(0) for s in signals), F.lit(0)) for mode, signals in SIGNALS.items()}
+def signal_bits(text_: Column) -> dict[str, Column]:
+    """Which of all signals a text holds (``held``), and of those of two words with which it ends (``ends``) and starts
+    (``starts``), as bits in the order of SIGNALS."""
+    lower = F.lower(text.column(text_))
+    every = [s for signals in SIGNALS.values() for s in signals]
+    bits = lambda test: reduce(lambda a, b: a.bitwiseOR(b), (F.when(test(s), 1 << k).otherwise(0) for k, s in enumerate(every) if test(s) is not None))
+    part = lambda s, k: s.split(" ")[k] if s.count(" ") == 1 else None
+    return {
+        "held": bits(lower.contains),
+        "ends": bits(lambda s: lower.endswith(part(s, 0)) if part(s, 0) else None),
+        "starts": bits(lambda s: lower.startswith(part(s, 1)) if part(s, 1) else None),
+    }
+
+
+def mode_of(held: Column) -> Column:
+    """The mode of whose signals most are among the bits, two at least; else ``bayan``.  Ties go to the earlier mode."""
+    counts, at = {}, 0
+    for mode, signals in SIGNALS.items():
+        counts[mode] = F.bit_count(held.bitwiseAND((1 << len(signals)) - 1 << at))
+        at += len(signals)
     best = F.greatest(*counts.values())
     out = F.lit("bayan")
     for mode in reversed(SIGNALS):
@@ -87,6 +105,11 @@ def content_mode(recent: Column) -> Column:
     return out
 
 
+def content_mode(recent: Column) -> Column:
+    """The mode of one text."""
+    return mode_of(signal_bits(recent)["held"])
+
+
 def markers(text_: Column | str) -> Column:
     """Hits of narration markers, in order of pattern: category and matched text.  Trimmed texts under five characters have none."""
     t = text.column(text_)

@@ -20,9 +20,17 @@ def language_prompt(language: Column) -> Column:
 
 
 def content_modes(df: DataFrame, order: list[str], *, window: int = 5, by: str = "file_id") -> DataFrame:
-    """Adds ``mode``, from the texts of the last ``window`` segments up to each."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(1 - window, 0)
-    return df.withColumn("mode", scores.content_mode(F.array_join(F.collect_list(text.column("text")).over(w), " ")))
+    """Adds ``mode``, from the texts of the last ``window`` segments up to each, joined by spaces.
+
+    Each text is searched once; the window joins bits.  A signal of two words may stand across two segments.
+    """
+    ordered = Window.partitionBy(by).orderBy(*order)
+    bits = scores.signal_bits(text.column("text"))
+    laid = df.withColumns({"_held": bits["held"], "_ends": bits["ends"], "_starts": bits["starts"]})
+    laid = laid.withColumn("_across", F.coalesce(F.lag("_ends").over(ordered).bitwiseAND(F.col("_starts")), F.lit(0)))
+    own = F.bit_or("_held").over(ordered.rowsBetween(1 - window, 0))
+    held = own.bitwiseOR(F.bit_or("_across").over(ordered.rowsBetween(2 - window, 0))) if window > 1 else own
+    return laid.withColumn("mode", scores.mode_of(held)).drop("_held", "_ends", "_starts", "_across")
 
 
 def contextual_prompts(df: DataFrame, order: list[str], *, history: int = 5, segments: int = 3, most: int = 50, most_compression: float = 1.8, require_prompt_safe: bool = True, by: str = "file_id") -> DataFrame:

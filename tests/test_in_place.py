@@ -45,3 +45,25 @@ def test_an_empty_corpus_and_rows_without_trigrams(spark):
     queries, corpus = frames(spark, ["", "ab"], ["", "abc", None])
     assert retrieval.gram_candidates(queries, retrieval.gram_index(corpus), overlap=True).collect() == []
     assert [len(x) for x in in_place.Grams(["abc"], __import__("numpy").array([5])).near([], 3)] == [0] * 5
+
+
+def test_modes_search_each_text_once_and_see_signals_across_two(spark):
+    from segmenta.functions import scores
+    from segmenta.operators import context
+
+    rng = random.Random(4)
+    some = [*(s for signals in scores.SIGNALS.values() for s in signals), "بسم", "الله", "قال", "رسول", "", None, "x", "الله قال", " ", "رسول ", None]
+    rows = [(f, k, rng.choice(some)) for f in range(5) for k in range(80)]
+    df = context.content_modes(spark.createDataFrame(rows, "file_id long, seq long, text string"), ["seq"])
+    assert df.columns == ["file_id", "seq", "text", "mode"]
+    got = {(r["file_id"], r["seq"]): r["mode"] for r in df.collect()}
+    for f in range(5):
+        own = [t or "" for g, _, t in rows if g == f]
+        for k in range(80):
+            recent = " ".join(own[max(0, k - 4) : k + 1])
+            counts = {m: sum(s in recent for s in signals) for m, signals in scores.SIGNALS.items()}
+            best = max(counts, key=counts.get)
+            assert got[f, k] == (best if counts[best] >= 2 else "bayan")
+    # no text is shuffled for the window
+    slim = df.select("file_id", "seq", "mode")._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in slim[slim.index("Window") : slim.index("Exchange")] and "collect_list" not in slim
