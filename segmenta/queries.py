@@ -712,8 +712,7 @@ def narration_match(spark, d):
 @query()
 def remote_match(spark, d):
     asked = damaged(spark, d).select("qid", "query")
-    hits = retrieval.search(asked, items(spark, d)).where("rank <= 5").select("qid", "idx", "rank").join(asked, "qid").join(items(spark, d), "idx")
-    return retrieval.score_remote(hits).select("qid.kind", "qid.n", "idx", "confidence")
+    return retrieval.match_remote(asked, items(spark, d)).select("qid.kind", "qid.n", "idx", "confidence")
 
 
 @query(f"select conv_id, turn, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double as jaccard from (select conv_id, turn, list_distinct({sql_words('text')}) as a, list_distinct({sql_words('before')}) as b from (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as before from conversations) where before is not null)")

@@ -100,3 +100,20 @@ def test_measures_side_by_side_equal_single_ones():
     assert sim.token_set_ratios(pairs).tolist() == [sim.token_set_ratio(*p) for p in pairs] == want
     assert sim.token_set_ratios(pairs, 70).tolist() == [w if w >= 70 else 0.0 for w in want]
     assert [len(f([])) for f in sim.BATCHED.values()] == [0] * 5
+
+
+def test_narrations_in_place_equal_the_joins(spark):
+    rng = random.Random(7)
+    corpus = lines(40, 8, least=3, most=30) + ["", "day day day"]
+    some = [" ".join(w for w in rng.choice(corpus).split()[rng.randrange(4) :][: rng.randrange(3, 12)] if rng.random() < 0.95) for _ in range(150)]
+    asked = [*some, *some[:20], *lines(60, 9), "", None]
+    queries, known = frames(spark, corpus, asked)
+    queries = queries.withColumn("span", F.lit("s"))
+    rows = [sorted(map(tuple, retrieval.match_narrations(queries, known, sent=sent).collect()), key=repr) for sent in (0, 10**6)]
+    assert rows[0] == rows[1] and len(rows[0]) > 50
+    rows = [sorted(map(tuple, retrieval.match_remote(queries, known, sent=sent).collect())) for sent in (0, 10**6)]
+    assert rows[0] == rows[1] and len(rows[0]) > 50
+    rows = [sorted(map(tuple, retrieval.search(queries, known, sent=sent).collect())) for sent in (0, 10**6)]
+    assert [r[:2] + r[3:] for r in rows[0]] == [r[:2] + r[3:] for r in rows[1]] and all(abs(a[2] - b[2]) < 2e-9 for a, b in zip(*rows, strict=True))
+    # each query is answered where it lies: nothing is shuffled
+    assert "Exchange" not in retrieval.match_narrations(queries, known)._jdf.queryExecution().executedPlan().toString()
