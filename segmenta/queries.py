@@ -49,8 +49,12 @@ def spread(df: DataFrame) -> DataFrame:
     A table beyond some megabytes a core has row groups enough and is left as it is, so nothing large is shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= cores * (64 << 20) else df
+    return df.repartition(cores) if stated_size(df) <= cores * (64 << 20) else df
+
+
+def stated_size(df: DataFrame) -> int:
+    """Bytes of a table by its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def texts(spark: SparkSession, d: str, name: str = "documents") -> DataFrame:
@@ -969,9 +973,12 @@ _CSV_KEPT = f"(select * from (select *, row_number() over (partition by collecti
 
 
 def told_in_csv(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as a CSV file of narrations in order of id, read again; some ids are no numbers."""
+    """Documents as CSV files of narrations, in order of id within and across files, read again; some ids are no numbers."""
     path = fresh_folder(spark, "csv")
-    rows = table(spark, d, "documents").orderBy("doc_id").coalesce(1).select(
+    df = table(spark, d, "documents")
+    # one file is one task when it is read: as many as the cores, and one for some megabytes of a larger table
+    files = max(spark.sparkContext.defaultParallelism, stated_size(df) >> 25)
+    rows = df.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id").select(
         c("doc_id").cast("string").alias("id"), F.when(c("doc_id") % 11 == 0, "x1").otherwise(c("doc_id").cast("string")).alias("hadith_id"), "source", F.lit("1").alias("chapter_no"), (c("n_chars") % 50).cast("string").alias("hadith_no"),
         F.lit("c").alias("chapter"), F.lit("0").alias("chain_indx"), c("text").alias("text_ar"), F.lit("e").alias("text_en"),
     )

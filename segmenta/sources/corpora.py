@@ -65,9 +65,15 @@ def narrations_of(raw: DataFrame, order: str, *, nfc: bool = True) -> DataFrame:
 
 
 def read_narrations(spark: SparkSession, path: str, *, nfc: bool = True) -> DataFrame:
-    """A CSV file with a header; rows of fewer than nine columns are skipped, further columns ignored."""
+    """A CSV file with a header, or a folder of such files in order of name; rows of fewer than nine columns are skipped, further
+    columns ignored.
+
+    One file is read by one task, since quoted texts have line ends; so a large corpus should be several files.
+    """
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True).schema(", ".join(f"{n} string" for n in NARRATIONS)).csv(path)
-    laid = raw.withColumn("_row", F.monotonically_increasing_id()).where(F.col("text_en").isNotNull() | F.col("text_ar").isNotNull())
+    # files are dealt to tasks by size: the name comes before the place in a task
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+    laid = raw.withColumn("_row", place).where(F.col("text_en").isNotNull() | F.col("text_ar").isNotNull())
     return narrations_of(laid, "_row", nfc=nfc).drop("_row")
 
 

@@ -140,3 +140,25 @@ def test_verses_in_place_equal_the_joins(spark, confidence):
         assert "Exchange" not in match(queries, known)._jdf.queryExecution().executedPlan().toString()
     empty = known.where("idx < 0")
     assert retrieval.fuzzy(queries, empty).collect() == [] and retrieval.window_fuzzy(queries, empty).collect() == []
+
+
+def test_narrations_of_several_files_keep_their_order(spark, tmp_path):
+    """Tasks take larger files first; the first file's row stays whatever the sizes."""
+    from segmenta.sources import corpora
+
+    names = corpora.NARRATIONS
+    for k, size in enumerate((20, 2000, 200_000)):
+        body = "".join(f'"{k}","{k * 10 + j}","c","1","{j}","h","0","text {k} of\nten letters {"x" * size}","e"\n' for j in range(3 + k))
+        (tmp_path / f"part-{k:05d}.csv").write_text(",".join(names) + "\n" + body)
+    got = {(r["hadith_no"], r["hadith_id"]) for r in corpora.read_narrations(spark, f"file://{tmp_path}").collect()}
+    assert got == {("0", 0), ("1", 1), ("2", 2), ("3", 13), ("4", 24)}
+
+
+def test_a_table_is_written_as_several_csv_files(spark, tmp_path):
+    from segmenta import queries as q
+
+    rows = spark.range(400).selectExpr("id as doc_id", "concat('text ', id, ' of ten') as text", "'s' as source", "cast(id as int) as n_chars")
+    rows.write.parquet(f"file://{tmp_path}/documents.parquet")
+    df = q.told_in_csv(spark, f"file://{tmp_path}")
+    assert sorted((r["hadith_no"], r["hadith_id"]) for r in df.collect()) == sorted((str(k), k if k % 11 else k + 50) for k in range(50))
+    assert len(df.inputFiles()) == spark.sparkContext.defaultParallelism
