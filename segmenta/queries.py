@@ -168,7 +168,8 @@ def _mapped(x: str) -> str:
 
 
 def mapped(x: str) -> Column:
-    return F.translate(arabic(x), text.CROSS + "گ", text.CROSS_PLAIN + "ع")
+    to = str.maketrans(text.CROSS + "گ", text.CROSS_PLAIN + "ع")
+    return F.translate(F.lower(x), LATIN + text.CROSS + "گ", (ARABIC + text.CROSS_PLAIN + "ع").translate(to))
 
 
 _URDU = f"(regexp_matches(a, '[{text.URDU_SIGNS}]') or len(list_intersect(string_split({sql_normal('a', True)}, ' '), {sql_list(lexicon.URDU_WORDS)})) >= 2)"
@@ -181,13 +182,14 @@ _URDU = f"(regexp_matches(a, '[{text.URDU_SIGNS}]') or len(list_intersect(string
 def lang_script(spark, d):
     extra = F.when(c("pos") % 5 == 1, " مسجد نماز").when(c("pos") % 5 == 3, " نماز").otherwise("")
     a = F.when(c("pos") % 2 == 0, c("line")).otherwise(F.concat(mapped("line"), extra))
-    return lines(spark, d).select("doc_id", c("pos").cast("long").alias("pos"), language.detect(a).alias("lang"))
+    # a column of its own is computed once, an expression wherever the rules name it
+    return lines(spark, d).select("doc_id", c("pos").cast("long").alias("pos"), a.alias("a")).select("doc_id", "pos", language.detect("a").alias("lang"))
 
 
 @query(f"select doc_id, {_URDU} as urdu from (select doc_id, {_mapped('text')} || case when doc_id % 2 = 0 then ' مسجد، نماز' else ' مسجد مسجد' end as a from documents)")
 def urdu_vocab(spark, d):
     a = F.concat(mapped("text"), F.when(c("doc_id") % 2 == 0, " مسجد، نماز").otherwise(" مسجد مسجد"))
-    return texts(spark, d).select("doc_id", language.likely_urdu(a).alias("urdu"))
+    return texts(spark, d).select("doc_id", a.alias("a")).select("doc_id", language.likely_urdu("a").alias("urdu"))
 
 
 @query(f"select doc_id, replace(lower({sql_collapse('text')}), 'ß', 'ss') as same from documents")

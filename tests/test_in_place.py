@@ -162,3 +162,22 @@ def test_a_table_is_written_as_several_csv_files(spark, tmp_path):
     df = q.told_in_csv(spark, f"file://{tmp_path}")
     assert sorted((r["hadith_no"], r["hadith_id"]) for r in df.collect()) == sorted((str(k), k if k % 11 else k + 50) for k in range(50))
     assert len(df.inputFiles()) == spark.sparkContext.defaultParallelism
+
+
+def test_composition_needs_no_python(spark):
+    import unicodedata
+
+    from segmenta import queries as q
+    from segmenta.functions import plain, text
+
+    rng = random.Random(15)
+    marks = [chr(k) for k in range(0x20000) if unicodedata.combining(chr(k))]
+    some = ["".join(rng.choice(["e", "o", "ا", "ہ", "ے", "ᄀ", "ᅡ", "ᆨ", "😀", " ", rng.choice(marks)]) for _ in range(12)) for _ in range(3000)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in some], "t string")
+    got = df.select(text.compose(F.col("t")), text.normalise_arabic("t"), text.canonical("t")).collect()
+    assert [tuple(r) for r in got] == [(unicodedata.normalize("NFC", t or ""), plain.normalise(t), plain.canonical(t)) for t in some]
+    for name in ("canon_text", "urdu_vocab", "lang_script", "normalise_text"):
+        plan = q.FOUND[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan
+        # what the rules name many times is computed once
+        assert name not in ("urdu_vocab", "lang_script") or plan.count("translate(") <= 3
