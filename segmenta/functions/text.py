@@ -149,8 +149,12 @@ def same_key(text: Column | str) -> Column:
 
 
 def replaced(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """Rules (pattern, replacement) in order."""
-    return reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, text)
+    """Rules (pattern, replacement) in order.
+
+    A text in which no pattern is found stays as it is, rule after rule: one search for all of them spares most texts the rest.
+    """
+    some = "|".join(f"(?:{pattern})" for pattern, _ in rules)
+    return F.when(text.rlike(some), reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, text)).otherwise(text)
 
 
 # Spellings of English terms, and what mixed-script damage is repaired to.

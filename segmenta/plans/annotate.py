@@ -21,13 +21,13 @@ def cleaned(segments: DataFrame, *, nfc: bool = True) -> DataFrame:
 
 def classified(segments: DataFrame, s: Settings, *, nfc: bool = True) -> DataFrame:
     """Languages by script with inheritance, fragments and quote blocks merged, then languages anew."""
-    found = language.inherit(segments.withColumn("lang", language.detect("text", nfc=nfc)), ["start", "seq"])
+    found = language.inherit(stored(segments, "cut").withColumn("lang", language.detect("text", nfc=nfc)), ["start", "seq"])
     found = found.withColumn("language", c("lang")).drop("lang")
     lock = language.lock(c("language"), c("language_probability"), s.language_lock_threshold)
     found = found.withColumn("language_locked", lock["locked"] & F.lit(s.enable_language_locking)).withColumn("lock_reason", lock["reason"])
-    merged = folds.merge_short(found)
+    merged = folds.merge_short(stored(found, "languages"))
     if s.merge_arabic_quote_blocks:
-        merged = folds.merge_quotes(merged)
+        merged = folds.merge_quotes(stored(merged, "merged"))
     return merged.withColumn("detected_lang", language.detect("text", nfc=nfc))
 
 
@@ -35,7 +35,9 @@ def corrected(segments: DataFrame, *, nfc: bool = True) -> DataFrame:
     """Texts corrected; Urdu and unknown ones also in Urdu form; raw_text and was_corrected keep what was."""
     fixed = text.correct("text")
     out = segments.withColumn("raw_text", c("text")).withColumn("text", fixed)
-    out = out.withColumn("text", F.when(c("detected_lang").isin("ur", "und"), text.roman_to_urdu(text.normalise_urdu("text"))).otherwise(c("text")))
+    # a column of its own is computed once
+    out = out.withColumn("_urdu", F.when(c("detected_lang").isin("ur", "und"), text.normalise_urdu("text")))
+    out = out.withColumn("text", F.when(c("detected_lang").isin("ur", "und"), text.roman_to_urdu("_urdu")).otherwise(c("text"))).drop("_urdu")
     out = out.withColumn("was_corrected", c("text") != c("raw_text"))
     again = language.detect("text", nfc=nfc)
     return out.withColumn("detected_lang", F.when(c("was_corrected") & (again != "und"), again).otherwise(c("detected_lang")))
@@ -61,7 +63,8 @@ def annotate(segments: DataFrame, verses: DataFrame, narrations: DataFrame | Non
     chapter, canon), or none.  Segments that need a source and have none are flagged with the reason.
     """
     s = config or settings()
-    cut = folds.trim_overlaps(cleaned(segments, nfc=nfc), overlap=s.chunk_overlap)
+    # a fold reads its rows more than once, so each begins with a table and not with the folds before it
+    cut = folds.trim_overlaps(stored(cleaned(segments, nfc=nfc), "cleaned"), overlap=s.chunk_overlap)
     out = stored(routed(corrected(classified(cut, s, nfc=nfc), nfc=nfc), s), "routed")
     key = F.struct("file_id", "seq")
     spans = F.when(c("route") == "arabic", F.array("text")).when(c("route") == "urdu", text.arabic_spans("text")).otherwise(F.array().cast("array<string>"))

@@ -181,3 +181,18 @@ def test_composition_needs_no_python(spark):
         assert "Python" not in plan
         # what the rules name many times is computed once
         assert name not in ("urdu_vocab", "lang_script") or plan.count("translate(") <= 3
+
+
+def test_rules_that_match_nothing_are_one_search(spark):
+    from functools import reduce
+
+    from segmenta.functions import lexicon, text
+
+    rules = [(text.edged(p), r) for p, r in lexicon.EXPANSIONS] + list(lexicon.TERMS) + [(text.edged(p), r) for p, r in text.ENGLISH] + [*text.REPAIRS, text.TRIM, (" {2,}", " "), text.TRIM]
+    some = [*lines(60, 16), " PBUH SAW insha allah اللah انشاءالله قران ab", "Sahih Bukhari, pbuh; xpbuh Insha Allah", "سلامxy", "a  b", " a", "", None]
+    df = spark.createDataFrame([(t,) for t in some], "t string")
+    every = reduce(lambda t, rule: F.regexp_replace(t, rule[0], rule[1]), rules, F.col("t"))
+    rows = df.select(text.replaced(F.col("t"), rules), every).collect()
+    assert all(a == b for a, b in rows) and sum(a != t for (a, _), t in zip(rows, some)) > 4
+    # the first thing that is asked is whether any rule applies
+    assert "CASE WHEN" in str(text.replaced(F.col("t"), rules))[:40]
